@@ -1,0 +1,105 @@
+"""A Java tree rendered from a star schema's rows: one file per region, nation, supplier and customer.
+
+Its structure follows from the foreign keys, so every analysis of the rendered
+text can be checked against a plain relational query over the same tables.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_REGION = """package com.acme.region;
+import javax.persistence.EntityManager;
+/** Keeps region {r}. */
+@Repository
+public class RegionStore{r} {
+    public void load() {}
+}
+"""
+_NATION = """package com.acme.nation;
+import com.acme.region.RegionStore{r};
+@Service
+public class NationService{n} {
+    private RegionStore{r} store;
+    void resolve() { store.load(); }
+}
+"""
+_SUPPLIER = """package com.acme.supplier;
+import com.acme.nation.NationService{n};
+@RestController
+@RequestMapping("/suppliers")
+public class SupplierApi{s} {
+    private NationService{n} service;
+    @GetMapping("/{s}")
+    public void get() { service.resolve(); }
+}
+"""
+_CUSTOMER = """package com.acme.customer;
+import com.acme.nation.NationService{n};
+import {library};
+/**
+ * Customer number {c}.
+ * @since 1
+ */
+@Entity
+public class Customer{c}{heritage} {
+{member}
+}
+"""
+
+
+def _render(template: str, **values):
+    """Template with `{name}` holes -> concat of literals and columns."""
+    parts, rest = [], template
+    while rest:
+        at = min((rest.find("{" + k + "}") for k in values if "{" + k + "}" in rest), default=-1)
+        if at < 0:
+            parts.append(F.lit(rest))
+            break
+        key = rest[at + 1 : rest.index("}", at)]
+        parts += [F.lit(rest[:at]), values[key].cast("string")]
+        rest = rest[at + len(key) + 2 :]
+    return F.concat(*parts)
+
+
+def star_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the rendered tree."""
+
+    def files(table, package, name, key, template, **values):
+        rows = spark.read.parquet(f"{folder}/{table}.parquet")
+        path = F.concat(F.lit(f"src/main/java/com/acme/{package}/{name}"), F.col(key).cast("string"), F.lit(".java"))
+        return rows.select(path.alias("path"), _render(template, **values).cast("binary").alias("content"))
+
+    c, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    service = F.concat(F.lit("NationService"), nation)
+    library = (
+        F.when(c % 3 == 0, "java.util.List")
+        .when(c % 3 == 1, "okhttp3.OkHttpClient")
+        .otherwise("org.apache.kafka.clients.producer.KafkaProducer")
+    )
+    heritage = (
+        F.when(c % 6 == 4, F.concat(F.lit(" extends "), service))
+        .when(c % 6 == 5, F.concat(F.lit(" implements "), service))
+        .otherwise("")
+    )
+    member = (
+        F.when(c % 6 == 0, F.concat(F.lit("    private "), service, F.lit(" owner;")))
+        .when(c % 6 == 1, F.concat(F.lit("    void accept("), service, F.lit(" owner) {}")))
+        .when(c % 6 == 2, F.concat(F.lit("    "), service, F.lit(" owner() { return null; }")))
+        .when(c % 6 == 3, F.concat(F.lit("    void make() { Object o = new "), service, F.lit("(); }")))
+        .otherwise("    private String name;")
+    )
+    return (
+        files("region", "region", "RegionStore", "r_regionkey", _REGION, r=F.col("r_regionkey"))
+        .unionByName(
+            files("nation", "nation", "NationService", "n_nationkey", _NATION,
+                  r=F.col("n_regionkey"), n=F.col("n_nationkey"))
+        )
+        .unionByName(
+            files("supplier", "supplier", "SupplierApi", "s_suppkey", _SUPPLIER,
+                  n=F.col("s_nationkey"), s=F.col("s_suppkey"))
+        )
+        .unionByName(
+            files("customer", "customer", "Customer", "c_custkey", _CUSTOMER,
+                  n=F.col("c_nationkey"), c=c, library=library, heritage=heritage, member=member)
+        )
+    )
