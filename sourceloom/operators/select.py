@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators.skew import first_per_group
 
+_NO_LIMIT = 1 << 40
+
 
 def running_cost(df: DataFrame, group: list[str], order: list[Column], cost: str, bound: int) -> DataFrame:
     """The first `bound` rows of every group with `rank` and running `used` cost.
@@ -47,7 +49,7 @@ def group_quotas(costed: DataFrame, group: str, labels: list, budget: int, max_c
     n = F.size("groups").cast("bigint")
     share = F.greatest(F.lit(budget).cast("bigint") - F.pmod(F.lit(budget).cast("bigint"), n), F.lit(0).cast("bigint"))
     share = F.greatest((share / n).cast("bigint"), F.lit(1).cast("bigint"))
-    count = F.lit(max_count).cast("bigint")
+    count = F.lit(_NO_LIMIT if max_count is None else max_count).cast("bigint")
     count_share = F.greatest(((count - F.pmod(count, n)) / n).cast("bigint"), F.lit(1).cast("bigint"))
 
     state = "struct<chars:bigint,count:bigint,kept:array<struct<label:string,n_kept:bigint>>>"
@@ -60,14 +62,14 @@ def group_quotas(costed: DataFrame, group: str, labels: list, budget: int, max_c
         chars, limit = share + left["chars"], count_share + left["count"]
         fitting = F.filter(
             g["runs"],
-            lambda r: ((r["rank"] == 1) | (r["used"] <= chars)) & (F.coalesce(r["rank"] <= limit, F.lit(True))),
+            lambda r: ((r["rank"] == 1) | (r["used"] <= chars)) & (r["rank"] <= limit),
         )
         n_kept = F.size(fitting).cast("bigint")
         used = F.coalesce(F.try_element_at(fitting, F.lit(-1))["used"], F.lit(0))
         none = F.lit(0).cast("bigint")
         return F.struct(
             F.greatest(chars - used, none).alias("chars"),
-            F.greatest(F.coalesce(limit - n_kept, none), none).alias("count"),
+            F.greatest(limit - n_kept, none).alias("count"),
             F.array_append(left["kept"], F.struct(g["label"].alias("label"), n_kept.alias("n_kept"))).alias("kept"),
         ).cast(state)
 
