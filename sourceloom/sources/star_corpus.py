@@ -103,3 +103,38 @@ def star_corpus(spark: SparkSession, folder: str) -> DataFrame:
                   n=F.col("c_nationkey"), c=c, library=library, heritage=heritage, member=member)
         )
     )
+
+
+def sql_text() -> str:
+    """SQL for (path, text, package, n_imports) of the same files."""
+
+    def files(table, package, name, key, n_imports, template, **values):
+        text = "'" + template.replace("'", "''") + "'"
+        for hole, value in values.items():
+            text = text.replace("{" + hole + "}", f"' || {value} || '")
+        path = f"'src/main/java/com/acme/{package}/{name}' || {key} || '.java'"
+        return f"SELECT {path} AS path, {text} AS text, 'com.acme.{package}' AS package, {n_imports} AS n_imports FROM {table}"
+
+    service = "'NationService' || c_nationkey"
+    member = (
+        f"CASE c_custkey % 6 WHEN 0 THEN '    private ' || {service} || ' owner;' "
+        f"WHEN 1 THEN '    void accept(' || {service} || ' owner) {{}}' "
+        f"WHEN 2 THEN '    ' || {service} || ' owner() {{ return null; }}' "
+        f"WHEN 3 THEN '    void make() {{ Object o = new ' || {service} || '(); }}' ELSE '    private String name;' END"
+    )
+    heritage = (
+        f"CASE c_custkey % 6 WHEN 4 THEN ' extends ' || {service} WHEN 5 THEN ' implements ' || {service} ELSE '' END"
+    )
+    library = (
+        "CASE c_custkey % 3 WHEN 0 THEN 'java.util.List' WHEN 1 THEN 'okhttp3.OkHttpClient' "
+        "ELSE 'org.apache.kafka.clients.producer.KafkaProducer' END"
+    )
+    return " UNION ALL ".join(
+        [
+            files("region", "region", "RegionStore", "r_regionkey", 1, _REGION, r="r_regionkey"),
+            files("nation", "nation", "NationService", "n_nationkey", 1, _NATION, r="n_regionkey", n="n_nationkey"),
+            files("supplier", "supplier", "SupplierApi", "s_suppkey", 1, _SUPPLIER, n="s_nationkey", s="s_suppkey"),
+            files("customer", "customer", "Customer", "c_custkey", 2, _CUSTOMER,
+                  n="c_nationkey", c="c_custkey", library=library, heritage=heritage, member=member),
+        ]
+    )
