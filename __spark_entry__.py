@@ -37,10 +37,16 @@ def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """The analysed tree of a folder, parsed once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _analyses:
-        _analyses[key] = Analysis(parse_files(star_corpus(spark, sf_dir)))
+        _analyses[key] = Analysis(parse_files(spread(star_corpus(spark, sf_dir))))
     return _analyses[key]
 
 
+def spread(contents: DataFrame) -> DataFrame:
+    """Rows over all cores where the tables have fewer partitions than that: a small row becomes a file to parse."""
+    cores = contents.sparkSession.sparkContext.defaultParallelism
+    return contents.repartition(cores, "path") if contents.rdd.getNumPartitions() < cores else contents
+
+
 _contexts: dict[tuple[str, str], ProjectContext] = {}
 
 

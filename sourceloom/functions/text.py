@@ -3,18 +3,22 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"\s"
+# --- fixed values: what counts as space and as a line break in text ---
+_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+_LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+# ----------------------------------------------------------------------
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def first_line(doc: Column) -> Column:
     """First line of a doc comment that says something: no markup, no @tag.  NULL if none."""
-    body = F.regexp_replace(strip(doc), r"^[/*]+", "")
-    body = strip(F.regexp_replace(body, r"[*/]+$", ""))
-    lines = F.transform(F.split(body, r"\R"), lambda x: strip(F.regexp_replace(strip(x), r"^\*+", "")))
+    body = strip(F.rtrim(F.ltrim(strip(doc), F.lit("/*")), F.lit("*/")))
+    lines = F.transform(F.split(body, _LINE_BREAK), lambda x: strip(F.ltrim(strip(x), F.lit("*"))))
     return F.get(F.filter(lines, lambda x: (x != "") & ~x.startswith("@")), 0)
 
 

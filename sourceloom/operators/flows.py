@@ -84,11 +84,12 @@ def reachable_calls(entries: DataFrame, edges: DataFrame, redirects: DataFrame)
         )
         calls = written(calls.select("flow_ord", "call_rank", *_CALLER, *_CALLEE), f"calls-level-{level}")
         reached = calls if reached is None else reached.unionByName(calls)
+        if calls.isEmpty():
+            break
         target = calls.select("flow_ord", *[F.col(c).alias(k) for c, k in zip(_CALLEE, _CALLER)]).distinct()
         frontier = target.join(F.broadcast(seen), ["flow_ord", *_CALLER], "left_anti")
         seen = seen.unionByName(frontier)
-        if level == MAX_DEPTH or frontier.isEmpty():
-            return reached
+    return reached
 
 
 def _trace(flow: pd.DataFrame) -> pd.DataFrame:

@@ -93,11 +93,17 @@ class Analysis:
     @property
     def implementors(self) -> DataFrame:
         """Project types named in `implements`, as written, by classes."""
-        refs = tables.classes(self.parsed).filter("kind = 'class'").select(
+        some = self.parsed.filter(F.exists("classes", lambda c: F.size(c["implements"]) > 0))
+        refs = tables.classes(some).filter("kind = 'class'").select(
             "path", "class_ord", F.col("fqn").alias("src"), "package", "import_paths", F.posexplode("implements").alias("ord", "name")
         )
         return self._resolve(refs)
 
+    @cached_property
+    def redirects(self) -> DataFrame:
+        """Interfaces with one implementing class; read once per level of a trace."""
+        return written(flows.sole_implementors(self.implementors), "redirects")
+
     # -- classification -----------------------------------------------------------------
     @property
     def categories(self) -> DataFrame:
@@ -126,9 +132,8 @@ class Analysis:
     # -- flows, cards, fingerprints ---------------------------------------------------------
     @cached_property
     def flows(self) -> DataFrame:
-        redirects = flows.sole_implementors(self.implementors)
         built = flows.build_flows(
-            self.parsed, self.symbols, self.meaningful_calls, self.methods, redirects, self.categories
+            self.parsed, self.symbols, self.meaningful_calls, self.methods, self.redirects, self.categories
         )
         return written(built, "flows")
 
