@@ -154,7 +154,7 @@ _CARDS = (
 def parsed_files(spark, sf_dir):
     p = analysis(spark, sf_dir).parsed
     return p.select(
-        "path", "content_hash", "package", F.size("imports").alias("n_imports"), F.size("classes").alias("n_classes"),
+        "path", "content_hash", "package", F.size("imports.path").alias("n_imports"), F.size("classes.name").alias("n_classes"),
         F.size("parse_errors").alias("n_errors"),
     )
 
@@ -175,7 +175,7 @@ def method_signatures(spark, sf_dir):
 FROM member WHERE field IS NOT NULL"""
 )
 def class_fields(spark, sf_dir):
-    rows = tables.fields(analysis(spark, sf_dir).parsed)
+    rows = tables.fields(analysis(spark, sf_dir).classes)
     return rows.select("fqn", "type", "name", strings("modifiers").alias("modifiers"))
 
 
@@ -280,7 +280,7 @@ def truncated_lists(spark, sf_dir):
 
 @query("SELECT 'com.acme.supplier.SupplierApi' || s_suppkey AS fqn, 'get' AS method, 'GET /suppliers/' || s_suppkey AS label FROM supplier")
 def route_labels(spark, sf_dir):
-    rows = tables.classes(analysis(spark, sf_dir).parsed).select("fqn", "annotations", "annotation_args", F.explode("methods").alias("m"))
+    rows = analysis(spark, sf_dir).classes.select("fqn", "annotations", "annotation_args", F.explode("methods").alias("m"))
     base = F.try_element_at("annotation_args", layers.route_annotation(F.col("annotations")))
     route = layers.route_annotation(F.col("m.annotations"))
     label = layers.route_label(base, route, F.try_element_at("m.annotation_args", route))
@@ -299,7 +299,7 @@ def symbol_index(spark, sf_dir):
 def unique_names(spark, sf_dir):
     from sourceloom.operators.symbols import unique_names as unique
 
-    return unique(analysis(spark, sf_dir).facts).select("name", "fqn")
+    return unique(analysis(spark, sf_dir).symbols).select("name", "fqn")
 
 
 @query(_TREE + "SELECT package, count(*) AS class_count FROM cls GROUP BY package")
@@ -316,7 +316,7 @@ def dependency_edges(spark, sf_dir):
 def dependency_edges_split(spark, sf_dir):
     """The same edges with every name of ten uses or more treated as a hot key."""
     a = analysis(spark, sf_dir)
-    found = resolve.candidates(dependencies.references(a.parsed))
+    found = resolve.candidates(dependencies.references(a.classes))
     edges = dependencies.dependency_edges(resolve.resolve(found, a.names, hot_keys(found, "key", 10)))
     return edges.select("src", "dst", strings(dependencies.kind_names(F.col("kind_mask"))).alias("kinds"))
 

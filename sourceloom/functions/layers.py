@@ -12,22 +12,14 @@ def _has_any(values: Column, wanted) -> Column:
 
 
 def all_annotations(annotations: Column, methods: Column) -> Column:
-    return F.array_union(annotations, F.flatten(F.transform(methods, lambda m: m["annotations"])))
+    return F.array_union(annotations, F.flatten(methods["annotations"]))
 
 
 def holds_data(kind: Column, fields: Column, methods: Column) -> Column:
     """Enum, or instance fields none of which is ever called upon."""
-    own = F.transform(
-        F.filter(fields, lambda f: ~F.array_contains(f["modifiers"], "static")), lambda f: f["name"]
-    )
-    receivers = F.flatten(
-        F.transform(
-            methods,
-            lambda m: F.transform(
-                F.filter(m["calls"], lambda c: c["receiver"].isNotNull()), lambda c: c["receiver"]
-            ),
-        )
-    )
+    named = F.arrays_zip(fields["name"].alias("name"), fields["modifiers"].alias("modifiers"))
+    own = F.filter(named, lambda f: ~F.array_contains(f["modifiers"], "static"))["name"]
+    receivers = F.filter(F.flatten(methods["calls"])["receiver"], lambda r: r.isNotNull())
     return (kind == "enum") | ((F.size(own) > 0) & ~F.arrays_overlap(own, receivers))
 
 

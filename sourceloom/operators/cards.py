@@ -11,7 +11,7 @@ from sourceloom.functions.rules import (
 from sourceloom.functions.text import capped, first_line, signature
 from sourceloom.operators.dependencies import fan
 from sourceloom.operators.skew import first_per_group
-from sourceloom.operators.tables import classes
+from sourceloom.operators.tables import zipped
 
 
 def ranking(syms: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,18 +26,25 @@ def ranking(syms: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def field_texts() -> Column:
+    return F.transform(zipped("fields", "name", "type"), lambda f: F.concat(f["type"], F.lit(" "), f["name"]))
+
+
+def signatures() -> Column:
+    return F.transform(zipped("methods", "name", "return_type", "parameters", "modifiers", "is_constructor"), signature)
+
+
 def _neighbours(edges: DataFrame, of: str, other: str, name: str, limit: int) -> DataFrame:
     """First `limit` neighbours by name; a class may have any number, so the cut precedes the gathering."""
     first = first_per_group(edges.select(of, other), [of], [F.col(other)], limit)
     return first.groupBy(F.col(of).alias("fqn")).agg(F.array_sort(F.collect_list(other)).alias(name))
 
 
-def class_cards(parsed: DataFrame, ranked: DataFrame, edges: DataFrame, few: DataFrame | None = None) -> DataFrame:
+def class_cards(rows: DataFrame, ranked: DataFrame, edges: DataFrame, few: DataFrame | None = None) -> DataFrame:
     """One card per class of `ranked`; of those in `few` (fqn, a bounded number) only, if given."""
-    rows = classes(parsed).select(
+    texts = rows.select(
         "path", "class_ord", "extends", "implements", first_line(F.col("doc_comment")).alias("summary"),
-        capped(F.transform("fields", lambda f: F.concat(f["type"], F.lit(" "), f["name"])), MAX_CARD_FIELDS).alias("fields"),
-        capped(F.transform("methods", signature), MAX_CARD_METHODS).alias("methods"),
+        capped(field_texts(), MAX_CARD_FIELDS).alias("fields"), capped(signatures(), MAX_CARD_METHODS).alias("methods"),
     )
     heads = ranked.select(
         "fqn", "path", "class_ord", "kind", "modifiers", "package", "layer", "importance", "fan_in", "fan_out", "n_declared",
@@ -50,7 +57,7 @@ def class_cards(parsed: DataFrame, ranked: DataFrame, edges: DataFrame, few: Dat
         out_edges = edges.join(small, edges["src"] == F.col("fqn"), "left_semi")
         in_edges = edges.join(small, edges["dst"] == F.col("fqn"), "left_semi")
     cards = (
-        rows.join(heads, ["path", "class_ord"])
+        texts.join(heads, ["path", "class_ord"])
         .join(_neighbours(out_edges, "src", "dst", "depends_on", MAX_CARD_METHODS), "fqn", "left")
         .join(_neighbours(in_edges, "dst", "src", "depended_on_by", MAX_CARD_METHODS), "fqn", "left")
     )

@@ -7,34 +7,32 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions.naming import type_names
 from sourceloom.operators.skew import lookup_join
-from sourceloom.operators.tables import classes
 
 # one bit per kind, in alphabetical order so that a decoded mask is sorted
 KINDS = ("creates", "extends", "field", "implements", "param", "return")
 
 
-def references(parsed: DataFrame) -> DataFrame:
+def references(rows: DataFrame) -> DataFrame:
     """Every type name a class mentions, once per class and kind: one pass, no shuffle."""
     methods = F.col("methods")
     texts = {
-        "creates": F.flatten(F.transform(methods, lambda m: m["creates"])),
+        "creates": F.flatten(methods["creates"]),
         "extends": F.col("extends"),
-        "field": F.transform("fields", lambda f: f["type"]),
+        "field": F.col("fields.type"),
         "implements": F.col("implements"),
-        "param": F.flatten(F.transform(methods, lambda m: F.transform(m["parameters"], lambda p: p["type"]))),
-        "return": F.transform(methods, lambda m: m["return_type"]),
+        "param": F.flatten(methods["parameters"])["type"],
+        "return": methods["return_type"],
     }
 
-    def names(kind: str) -> Column:
-        found = F.array_distinct(F.flatten(F.transform(texts[kind], type_names)))
+    def tagged(kind: str) -> Column:
         bit = F.lit(1 << KINDS.index(kind)).alias("kind")
-        return F.transform(found, lambda n: F.struct(n.alias("name"), bit))
+        return F.transform(texts[kind], lambda t: F.struct(t.alias("text"), bit))
 
-    rows = classes(parsed)
-    return rows.select(
-        "path", "class_ord", F.col("fqn").alias("src"), "package", "import_paths",
-        F.inline(F.concat(*[names(k) for k in KINDS])),
-    )
+    def names(tag: Column) -> Column:
+        return F.transform(type_names(tag["text"]), lambda n: F.struct(n.alias("name"), tag["kind"].alias("kind")))
+
+    found = F.array_distinct(F.flatten(F.transform(F.concat(*map(tagged, KINDS)), names)))
+    return rows.select("path", "class_ord", F.col("fqn").alias("src"), "package", "import_paths", F.inline(found))
 
 
 def dependency_edges(resolved: DataFrame) -> DataFrame:

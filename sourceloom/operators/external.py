@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourceloom.functions.layers import external_category
 from sourceloom.functions.naming import import_root
 from sourceloom.functions.rules import MAX_EXTERNAL_ROOTS
 from sourceloom.operators.tables import import_categories, imports
@@ -36,9 +37,7 @@ def external_systems(parsed: DataFrame) -> DataFrame:
 
 def file_categories(parsed: DataFrame) -> DataFrame:
     """Per file: the category of its first categorised import, and all its categories.  No shuffle."""
-    from sourceloom.functions.layers import external_category
-
-    hits = F.filter(F.transform("imports", lambda i: external_category(i["path"])["category"]), lambda c: c.isNotNull())
+    hits = F.filter(F.transform("imports.path", lambda p: external_category(p)["category"]), lambda c: c.isNotNull())
     return (
         parsed.select("path", F.array_distinct(hits).alias("categories"))
         .filter(F.size("categories") > 0)

@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.functions.text import signature
-from sourceloom.operators.tables import classes
+from sourceloom.operators.cards import field_texts, signatures
 
 README, ARCHITECTURE, SEQUENCE = "README.md", "ARCHITECTURE.md", "SEQUENCE.md"
 
@@ -37,21 +36,20 @@ def list_digest(df: DataFrame, order: str, value: str) -> DataFrame:
     return df.agg(F.sha2(F.to_json(F.transform(ordered, lambda x: x[value].cast("string"))), 256).alias("digest"))
 
 
-def class_shapes(parsed: DataFrame, syms: DataFrame) -> DataFrame:
+def class_shapes(rows: DataFrame, syms: DataFrame) -> DataFrame:
     """What a card shows of a class, apart from its edges: one hash per class."""
     sort = F.array_sort
-    rows = classes(parsed).select(
+    shapes = rows.select(
         "path", "class_ord",
         row_hash(
             F.col("fqn"), F.col("kind"), sort("modifiers"), sort("annotations"), sort("extends"), sort("implements"),
-            sort(F.transform("fields", lambda f: F.concat(f["type"], F.lit(" "), f["name"]))),
-            sort(F.transform("methods", signature)),
+            sort(field_texts()), sort(signatures()),
         ).alias("shape"),
     )
-    return rows.join(syms.select("path", "class_ord"), ["path", "class_ord"], "left_semi")
+    return shapes.join(syms.select("path", "class_ord"), ["path", "class_ord"], "left_semi")
 
 
-def fingerprints(parsed, syms, packages, edges, package_graph, roots, systems, flows) -> DataFrame:
+def fingerprints(rows, syms, packages, edges, package_graph, roots, systems, flows) -> DataFrame:
     """(doc, hash) of the three documents."""
     spark = syms.sparkSession
     ranked_roots = roots.select(F.struct(-F.col("n_imports"), "first").alias("place"), F.concat_ws("=", "root", "n_imports").alias("use"))
@@ -62,7 +60,7 @@ def fingerprints(parsed, syms, packages, edges, package_graph, roots, systems, f
         ],
         ARCHITECTURE: [
             set_digest(packages, "package"), set_digest(package_graph, "src_package", "dst_package"),
-            set_digest(syms, "fqn", "layer"), set_digest(class_shapes(parsed, syms), "shape"),
+            set_digest(syms, "fqn", "layer"), set_digest(class_shapes(rows, syms), "shape"),
             set_digest(edges, "src", "dst"), set_digest(systems, "category", "prefixes"),
             list_digest(flows.filter("flow_ord = 1"), "flow_ord", "mermaid"),
         ],

@@ -18,7 +18,7 @@ from sourceloom.functions.rules import (
     CLIENT, CLIENT_RANK, EXTERNAL_PREFIXES, EXTERNAL_RANK, MAX_DEPTH, MAX_FLOWS, MAX_STEPS,
 )
 from sourceloom.operators.calls import calls_by_caller
-from sourceloom.operators.tables import classes
+from sourceloom.operators.tables import zipped
 from sourceloom.session import written
 
 _CALLER, _CALLEE = ["caller_class", "caller_method"], ["callee_class", "callee_method"]
@@ -125,28 +125,28 @@ def trace_flows(entries: DataFrame, reached: DataFrame) -> DataFrame:
     return rows.groupBy("flow_ord").applyInPandas(_trace, f"{_STEP}, flow_ord int, step_ord int")
 
 
-def class_details(parsed: DataFrame, syms: DataFrame, names: DataFrame) -> DataFrame:
+def class_details(rows: DataFrame, syms: DataFrame, names: DataFrame) -> DataFrame:
     """Routes and methods of a bounded set of classes `names` (fqn)."""
     places = syms.join(F.broadcast(names), "fqn").select("fqn", "path", "class_ord", "layer")
-    rows = classes(parsed).select("path", "class_ord", "annotations", "annotation_args", "methods")
-    return rows.join(F.broadcast(places), ["path", "class_ord"])
+    methods = zipped("methods", "name", "return_type", "annotations", "annotation_args").alias("methods")
+    return rows.select("path", "class_ord", "annotations", "annotation_args", methods).join(F.broadcast(places), ["path", "class_ord"])
 
 
-def build_flows(parsed: DataFrame, syms: DataFrame, edges: DataFrame, methods: DataFrame,
+def build_flows(rows: DataFrame, syms: DataFrame, edges: DataFrame, methods: DataFrame,
                 redirects: DataFrame, categories: DataFrame) -> DataFrame:
     """flow_ord, entry, steps, label and diagram of every flow; at most MAX_FLOWS rows."""
     entries = written(entry_points(methods, edges), "entries")
     steps = written(trace_flows(entries, reachable_calls(entries, edges, redirects)), "steps")
-    return describe_flows(entries, steps, parsed, syms, categories)
+    return describe_flows(entries, steps, rows, syms, categories)
 
 
-def describe_flows(entries: DataFrame, steps: DataFrame, parsed: DataFrame, syms: DataFrame, categories: DataFrame) -> DataFrame:
+def describe_flows(entries: DataFrame, steps: DataFrame, rows: DataFrame, syms: DataFrame, categories: DataFrame) -> DataFrame:
     names = (
         steps.select(F.explode(F.array("caller_class", "callee_class")).alias("fqn"))
         .unionByName(entries.select(F.col("entry_class").alias("fqn")))
         .distinct()
     )
-    details = written(class_details(parsed, syms, names), "flow-classes")
+    details = written(class_details(rows, syms, names), "flow-classes")
     returns = (
         details.select("fqn", F.posexplode("methods").alias("method_ord", "m"))
         .groupBy("fqn", F.col("m.name").alias("method"))

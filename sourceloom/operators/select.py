@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.operators.skew import first_per_group
+from sourceloom.operators.skew import NATIVE_GROUP_LIMIT, in_pieces
 
 _NO_LIMIT = 1 << 40
 
 
-def running_cost(df: DataFrame, group: list[str], order: list[Column], cost: str, bound: int) -> DataFrame:
+def running_cost(df: DataFrame, group: list[str], order: list[Column], cost: str, bound: int, budget: int) -> DataFrame:
     """The first `bound` rows of every group with `rank` and running `used` cost.
 
     `bound` must be no less than what can be kept: at most budget // least cost + 1
     rows, or the count limit, whichever is smaller.  It keeps the rows one task
-    sees independent of the group's size.
+    sees independent of the group's size.  Where it is large, each piece of a
+    group is first cut at `budget`: a row that is over it within its piece is
+    over it within its group.
     """
-    first = first_per_group(df, group, order, bound)
+    if bound > NATIVE_GROUP_LIMIT:
+        df = in_pieces(df, group)
+        window = Window.partitionBy(*group, "_piece").orderBy(*order)
+        used = F.sum(cost).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        cut = df.withColumn("rank", F.row_number().over(window)).withColumn("used", used)
+        df = cut.filter((F.col("used") <= budget) | (F.col("rank") == 1)).drop("_piece", "rank", "used")
+    first = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= bound)
     window = Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return first.withColumn("used", F.sum(cost).over(window))
 
@@ -25,7 +33,7 @@ def running_cost(df: DataFrame, group: list[str], order: list[Column], cost: str
 def fit_to_budget(df: DataFrame, group: list[str], order: list[Column], cost: str, budget: int,
                   force_first: bool = True, least_cost: int = 1) -> DataFrame:
     """Longest prefix of every group whose cost fits; the first row always, if forced."""
-    costed = running_cost(df, group, order, cost, budget // least_cost + 1)
+    costed = running_cost(df, group, order, cost, budget // least_cost + 1, budget)
     fits = F.col("used") <= budget
     return costed.filter(fits | (F.col("rank") == 1) if force_first else fits)
 
@@ -82,6 +90,6 @@ def select_with_coverage(df: DataFrame, group: str, labels: list, order: list[Co
     """Rows kept under a shared budget such that no group is left out, with their `rank` in the group."""
     bound = budget // least_cost + 1
     bound = bound if max_count is None else min(bound, max_count)
-    costed = running_cost(df, [group], order, cost, max(bound, len(labels)))
+    costed = running_cost(df, [group], order, cost, max(bound, len(labels)), max(budget, len(labels)))
     quotas = group_quotas(costed, group, labels, budget, max_count)
     return costed.join(F.broadcast(quotas), group).filter(F.col("rank") <= F.col("n_kept")).drop("n_kept")

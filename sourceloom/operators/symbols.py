@@ -25,15 +25,16 @@ def symbols(facts: DataFrame) -> DataFrame:
     )
 
 
-def unique_names(facts: DataFrame) -> DataFrame:
+def unique_names(syms: DataFrame) -> DataFrame:
     """Simple names that exactly one declaration bears."""
-    one = facts.groupBy("name").agg(F.count("*").alias("n"), F.max(F.struct("fqn", "package", "kind", "layer")).alias("c"))
+    one = syms.groupBy("name").agg(F.sum("n_declared").alias("n"), F.max(F.struct("fqn", "package", "kind", "layer")).alias("c"))
     return one.filter("n = 1").select("name", "c.*")
 
 
-def package_counts(facts: DataFrame) -> DataFrame:
+def package_counts(parsed: DataFrame) -> DataFrame:
     """Declarations per package, equal qualified names counted each."""
-    return facts.groupBy("package").agg(F.count("*").alias("class_count"))
+    package = F.coalesce("package", F.lit("")).alias("package")
+    return parsed.groupBy(package).agg(F.sum(F.size("classes.name")).alias("class_count")).filter("class_count > 0")
 
 
 def public_api(syms: DataFrame) -> DataFrame:

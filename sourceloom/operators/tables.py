@@ -1,14 +1,18 @@
-"""Flat tables of a parsed tree: views over the nested file rows, no shuffle.
+"""Flat tables of a parsed tree: views over file or class rows, no shuffle.
+
+Parquet can leave out columns of a nested array only where they are taken as
+`array.field`, not inside a lambda or after an explode.  Hence `classes` is
+meant to be written as a table, and what is exploded from it is put together
+from single fields first (`zipped`).
 
 Order inside the tree is (path, class_ord, method_ord, call_ord); there is no
 global row number, which one task would have to hand out.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions import layers
-from sourceloom.functions.naming import last_segment
 from sourceloom.functions.text import signature
 
 
@@ -33,10 +37,14 @@ def classes(parsed: DataFrame) -> DataFrame:
     ).select("path", "package", "import_paths", "class_ord", F.col("c.qualified_name").alias("fqn"), "c.*")
 
 
-def class_facts(parsed: DataFrame) -> DataFrame:
+def zipped(array: str, *fields: str) -> Column:
+    """The array of structs with some of its fields only."""
+    return F.arrays_zip(*[F.col(f"{array}.{f}").alias(f) for f in fields])
+
+
+def class_facts(rows: DataFrame) -> DataFrame:
     """What other operators ask about a class, computed from its own row."""
-    c = classes(parsed)
-    return c.select(
+    return rows.select(
         "path", "class_ord", "fqn", "name", "package", "kind", "modifiers",
         layers.layer(F.col("fqn"), F.col("kind"), F.col("annotations"), F.col("fields"), F.col("methods")).alias("layer"),
         layers.is_route_handler(F.col("annotations"), F.col("methods")).alias("is_route"),
@@ -45,26 +53,27 @@ def class_facts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def fields(parsed: DataFrame) -> DataFrame:
-    return (
-        classes(parsed)
-        .select("path", "class_ord", "fqn", F.posexplode("fields").alias("field_ord", "f"))
-        .select("path", "class_ord", "fqn", "field_ord", "f.*")
-    )
+def fields(rows: DataFrame) -> DataFrame:
+    each = rows.select("path", "class_ord", "fqn", F.posexplode("fields").alias("field_ord", "f"))
+    return each.select("path", "class_ord", "fqn", "field_ord", "f.*")
 
 
-def methods(parsed: DataFrame) -> DataFrame:
-    rows = classes(parsed).select(
-        "path", "class_ord", "fqn", F.col("modifiers").alias("class_modifiers"), F.posexplode("methods").alias("method_ord", "m")
+def methods(rows: DataFrame) -> DataFrame:
+    """Declared methods with their signature; bodies and comments are left aside."""
+    declared = zipped(
+        "methods", "name", "return_type", "parameters", "modifiers", "annotations", "annotation_args", "is_constructor"
     )
-    return rows.select(
+    each = rows.select(
+        "path", "class_ord", "fqn", F.col("modifiers").alias("class_modifiers"), F.posexplode(declared).alias("method_ord", "m")
+    )
+    return each.select(
         "path", "class_ord", "fqn", "method_ord", "m.*", signature(F.col("m")).alias("signature"),
         layers.is_entry_candidate(F.col("class_modifiers"), F.col("m")).alias("is_entry_candidate"),
         layers.route_annotation(F.col("m.annotations")).alias("route"),
     )
 
 
-def call_sites(parsed: DataFrame) -> DataFrame:
+def call_sites(rows: DataFrame) -> DataFrame:
     """Every call with the type text its receiver stands for.
 
     A parameter hides a field of the same name, the last of equal names counts,
@@ -75,12 +84,13 @@ def call_sites(parsed: DataFrame) -> DataFrame:
         hits = F.filter(named, lambda x: x["name"] == receiver)
         return F.try_element_at(hits, F.lit(-1))["type"]
 
-    rows = classes(parsed).select(
-        "path", "class_ord", "fqn", "package", "import_paths", "fields", F.posexplode("methods").alias("method_ord", "m")
-    )
-    rows = rows.select("*", F.posexplode("m.calls").alias("call_ord", "call"))
+    each = rows.select(
+        "path", "class_ord", "fqn", "package", "import_paths", zipped("fields", "name", "type").alias("fields"),
+        F.posexplode(zipped("methods", "name", "parameters", "calls")).alias("method_ord", "m"),
+    )
+    each = each.select("*", F.posexplode("m.calls").alias("call_ord", "call"))
     receiver = F.col("call.receiver")
-    return rows.select(
+    return each.select(
         "path", "class_ord", "fqn", "package", "import_paths", "method_ord", "call_ord",
         F.col("m.name").alias("caller_method"), receiver.alias("receiver"), F.col("call.method").alias("callee_method"),
         (receiver.isNull() | (receiver == "this")).alias("is_self"),
@@ -92,7 +102,3 @@ def import_categories(parsed: DataFrame) -> DataFrame:
     """Imports of a known external system: path, import_ord, category, prefix."""
     rows = imports(parsed).withColumn("hit", layers.external_category(F.col("import_path")))
     return rows.filter("hit is not null").select("path", "import_ord", "import_path", "hit.category", "hit.prefix")
-
-
-def simple_name(column):
-    return last_segment(column)

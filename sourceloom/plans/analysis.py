@@ -16,8 +16,8 @@ from sourceloom.session import written
 class Analysis:
     """Tables over a parsed tree.
 
-    Those read by several others (`parsed`, `symbols`, `edges`, `calls`,
-    `ranked`, `flows`) are written to the shared folder at first use; the rest
+    Those read by several others (`parsed`, `classes`, `symbols`, `names`, `edges`, `calls`,
+    `redirects`, `ranked`, `flows`) are written to the shared folder at first use; the rest
     are plain lazy DataFrames.
     """
 
@@ -28,6 +28,11 @@ class Analysis:
     def parsed(self) -> DataFrame:
         return self._parsed if self._is_written else written(self._parsed, "parsed")
 
+    @cached_property
+    def classes(self) -> DataFrame:
+        """One row per class.  Its readers take few of its columns, which only a flat table lets them."""
+        return written(tables.classes(self.parsed), "classes")
+
     # -- tables -------------------------------------------------------------------
     @property
     def files(self) -> DataFrame:
@@ -39,15 +44,15 @@ class Analysis:
 
     @property
     def facts(self) -> DataFrame:
-        return tables.class_facts(self.parsed)
+        return tables.class_facts(self.classes)
 
     @property
     def methods(self) -> DataFrame:
-        return tables.methods(self.parsed)
+        return tables.methods(self.classes)
 
     @property
     def call_sites(self) -> DataFrame:
-        return tables.call_sites(self.parsed)
+        return tables.call_sites(self.classes)
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -55,11 +60,12 @@ class Analysis:
 
     @property
     def packages(self) -> DataFrame:
-        return symbols.package_counts(self.facts)
+        return symbols.package_counts(self.parsed)
 
     @cached_property
     def names(self) -> DataFrame:
-        return resolve.dictionary(self.symbols, symbols.unique_names(self.facts))
+        """What a name can mean; joined by every resolution."""
+        return written(resolve.dictionary(self.symbols, symbols.unique_names(self.symbols)), "names")
 
     def _resolve(self, refs: DataFrame) -> DataFrame:
         found = resolve.candidates(refs)
@@ -69,7 +75,7 @@ class Analysis:
     @cached_property
     def edges(self) -> DataFrame:
         """src, dst, kind_mask with package and layer of both ends."""
-        found = dependencies.dependency_edges(self._resolve(dependencies.references(self.parsed)))
+        found = dependencies.dependency_edges(self._resolve(dependencies.references(self.classes)))
         found = written(found, "class-edges")
         return written(dependencies.with_source(found, self.symbols, hot_keys(found, "src", self.hot_rows)), "edges")
 
@@ -93,8 +99,7 @@ class Analysis:
     @property
     def implementors(self) -> DataFrame:
         """Project types named in `implements`, as written, by classes."""
-        some = self.parsed.filter(F.exists("classes", lambda c: F.size(c["implements"]) > 0))
-        refs = tables.classes(some).filter("kind = 'class'").select(
+        refs = self.classes.filter("kind = 'class' and size(implements) > 0").select(
             "path", "class_ord", F.col("fqn").alias("src"), "package", "import_paths", F.posexplode("implements").alias("ord", "name")
         )
         return self._resolve(refs)
@@ -133,7 +138,7 @@ class Analysis:
     @cached_property
     def flows(self) -> DataFrame:
         built = flows.build_flows(
-            self.parsed, self.symbols, self.meaningful_calls, self.methods, self.redirects, self.categories
+            self.classes, self.symbols, self.meaningful_calls, self.methods, self.redirects, self.categories
         )
         return written(built, "flows")
 
@@ -143,14 +148,14 @@ class Analysis:
 
     @property
     def cards(self) -> DataFrame:
-        return cards.class_cards(self.parsed, self.ranked, self.edges)
+        return cards.class_cards(self.classes, self.ranked, self.edges)
 
     def cards_of(self, few: DataFrame) -> DataFrame:
-        return cards.class_cards(self.parsed, self.ranked, self.edges, few)
+        return cards.class_cards(self.classes, self.ranked, self.edges, few)
 
     @property
     def fingerprints(self) -> DataFrame:
         return prints.fingerprints(
-            self.parsed, self.symbols, self.packages, self.edges, self.package_edges,
+            self.classes, self.symbols, self.packages, self.edges, self.package_edges,
             self.external_roots, self.external_systems, self.flows,
         )

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from sourceloom.functions.naming import PLAIN_RECEIVER
 from sourceloom.sources.registry import get_language
 
+FILES_PER_BATCH = 256  # rows held as Python objects at a time
+
 _NAMED = "array<struct<name string, type string>>"
 _METHOD = (
     f"struct<name string, return_type string, parameters {_NAMED}, modifiers array<string>, "
@@ -67,9 +69,10 @@ def parse_files(contents: DataFrame, languages: list[str] | None = None) -> Data
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        pieces = (b.slice(at, FILES_PER_BATCH) for b in batches for at in range(0, b.num_rows, FILES_PER_BATCH))
+        for piece in pieces:
             rows = []
-            for row in batch.to_pylist():
+            for row in piece.to_pylist():
                 text = row.pop("content").decode("utf-8", errors="replace")
                 rows.append({**row, **scanners[row["language"]](text)})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)

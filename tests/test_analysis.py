@@ -139,7 +139,7 @@ def test_duplicate_names(analyse):
     assert edges_of(a, "p.X") == [("p.A", ["field"]), ("p.B", ["field"])]  # edges of both
     assert edges_of(a, "q.U") == []  # the simple name is not unique
     assert ("p", 4) in values(a.packages, "package", "class_count")
-    assert "X" not in {r.name for r in unique_names(a.facts).collect()}
+    assert "X" not in {r.name for r in unique_names(a.symbols).collect()}
 
 
 # -- external roots and systems -------------------------------------------------------
@@ -230,7 +230,7 @@ def test_calls(analyse):
     assert got == [("q.Dep", "x"), ("p.Other", "y"), ("p.A", "helper"), ("p.A", "z"), ("q.Dep", "make"), ("q.Dep", "t")]
     first = calls_by_caller(a.calls, 2).filter("caller_class = 'p.A'").orderBy("call_rank").collect()
     assert [(r.call_rank, r.callee_method) for r in first] == [(1, "x"), (2, "y")]
-    sites = tables.call_sites(a.parsed).filter("fqn = 'p.A'")
+    sites = tables.call_sites(a.classes).filter("fqn = 'p.A'")
     assert sites.filter("callee_method = 'x'").count() == 1  # each (receiver, method) once
 
 
