@@ -246,8 +246,8 @@ def strip_think(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[*/\\s]+$', ''), chr(10)),
-  lambda x: regexp_replace(regexp_replace(x, '^[\\s*]+', ''), '\\s+$', '')), lambda x: x <> '' AND NOT starts_with(x, '@'))[1] AS summary FROM documents"""
+    """SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+  lambda x: x <> '' AND NOT starts_with(x, '@'))[1] AS summary FROM documents"""
 )
 def first_line(spark, sf_dir):
     """First telling line of every document, put into a doc comment."""

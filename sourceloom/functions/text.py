@@ -3,12 +3,17 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: what counts as space and as a line break in text ---
-_SPACE = "".join(
-    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+# --- fixed values: code points that are space within a line, and line breaks ---
+_BLANK = [0x09, 0x1F, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
+_BREAK = [*range(0x0A, 0x0E), 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]
+# -------------------------------------------------------------------------------
+_SPACE = "".join(map(chr, _BLANK + _BREAK))
+_BLANKS, _BREAKS = ("".join(f"\\x{{{p:X}}}" for p in points) for points in (_BLANK, _BREAK))
+# start of a line, its leading stars, then text that does not begin with @
+_TELLING_LINE = (
+    rf"(?:\A|[{_BREAKS}])[{_BLANKS}]*+\**+[{_BLANKS}]*+"
+    rf"(?!@)([^{_BLANKS}{_BREAKS}][^{_BREAKS}]*?)[{_BLANKS}]*+(?=[{_BREAKS}]|\z)"
 )
-_LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
-# ----------------------------------------------------------------------
 
 
 def strip(text: Column) -> Column:
@@ -18,8 +23,7 @@ def strip(text: Column) -> Column:
 def first_line(doc: Column) -> Column:
     """First line of a doc comment that says something: no markup, no @tag.  NULL if none."""
     body = strip(F.rtrim(F.ltrim(strip(doc), F.lit("/*")), F.lit("*/")))
-    lines = F.transform(F.split(body, _LINE_BREAK), lambda x: strip(F.ltrim(strip(x), F.lit("*"))))
-    return F.get(F.filter(lines, lambda x: (x != "") & ~x.startswith("@")), 0)
+    return F.nullif(F.regexp_extract(body, _TELLING_LINE, 1), F.lit(""))
 
 
 def signature(method: Column) -> Column:

@@ -26,10 +26,11 @@ SYNTAX_ERROR = "syntax error encountered; partial IR extracted"
 _TOKEN = re.compile(
     r'(?P<block>/\*.*?\*/)|(?P<line>//[^\n]*)|(?P<text>"""(?:\\.|.)*?""")'
     r'|(?P<string>"(?:\\.|[^"\\\n])*")|(?P<char>\'(?:\\.|[^\'\\\n])*\')'
-    r"|(?P<word>non-sealed\b|(?:[^\W\d]|\$)[\w$]*)|(?P<number>\d[\w.]*)|(?P<op>\.\.\.|->|::|[^\s﻿])",
+    r"|(?P<word>non-sealed\b|(?:[^\W\d]|\$)[\w$]*)|(?P<number>\d[\w.]*)|(?P<op>\.\.\.|->|::|\S)",
     re.S,
 )
 _ESCAPE = re.compile(r"\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.)", re.S)
+_BYTE_ORDER_MARK = chr(0xFEFF)
 _CLOSERS = {"(": ")", "[": "]", "{": "}"}
 _TYPE_ARGUMENT_OPS = frozenset("<>,.?&[]@")
 
@@ -421,7 +422,7 @@ class JavaUnit:
 
 def scan_java(text: str) -> dict:
     """One file's text -> package, imports, classes (outer before nested), parse_errors."""
-    errors, unit = [], JavaUnit(text)
+    errors, unit = [], JavaUnit(text.removeprefix(_BYTE_ORDER_MARK))
     try:
         unit.unit()
     except (IndexError, KeyError, RecursionError) as problem:

@@ -80,6 +80,7 @@ def test_lookup_join_with_hot_keys(spark):
     [
         (None, None), ("", None), ("/** One. */", "One."), ("/**\n * First line.\n * Second.\n */", "First line."), ("/** @see X */", None),
         ("/**\n *\n * @a\n *   Then this. \n */", "Then this."), ("/***/", None), ("/** *bold* */", "bold*"), ("/** a\r\n * b */", "a"),
+        ("/**\n *@x y\n * * z  \n */", "* z"), ("/** \u00a0é\u2028b */", "é"), ("/**\n ** @y\n ***  w */", "w"), ("/** a @b */", "a @b"),
     ],
 )
 def test_first_line(spark, doc, line):
