@@ -138,3 +138,67 @@ def sql_text() -> str:
                   n="c_nationkey", c="c_custkey", library=library, heritage=heritage, member=member),
         ]
     )
+
+
+# -- a second tree: tasks that work through interfaces ---------------------------------------
+
+_BASE = {
+    "BaseTask": "package com.acme.base;\npublic abstract class BaseTask {\n}\n",
+    "Money": "package com.acme.base;\npublic record Money(long cents) {\n    void add() {}\n}\n",
+    "Meter": "package com.acme.base;\nimport java.sql.Connection;\n@Service\npublic class Meter {\n    void read() {}\n}\n",
+}
+_PORT = "package com.acme.port;\npublic interface Port{p} {\n    String quote();\n}\n"
+_ADAPTER = """package com.acme.adapter;
+import com.acme.base.Meter;
+import com.acme.port.Port{p};
+public class {kind}{p} implements Port{p} {
+    private Meter meter;
+    public String quote() { meter.read(); return "q"; }
+}
+"""
+_TASK = """package com.acme.task;
+import com.acme.base.BaseTask;
+import com.acme.base.Money;
+import com.acme.port.*;
+public class StockTask{p} extends BaseTask {
+    private Money total;
+{fields}
+    public void run() {
+        total.add();
+{calls}
+    }
+    public void run(int times) { total.add(); }
+}
+"""
+
+
+def port_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content): per part an interface, its adapters (two for every fifth part), and a task.
+
+    A task quotes the ports of up to fifteen parts before its own, so that flows
+    meet the step limit; every task has the same base class, which is therefore
+    the target of a large share of all edges.
+    """
+    part = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_size")
+    p = F.col("p_partkey")
+    lines = F.transform(
+        F.sequence(F.lit(1), F.col("p_size") % 15 + 1),
+        lambda i: F.struct(i.cast("string").alias("i"), F.greatest(p - i, F.lit(0)).cast("string").alias("port")),
+    )
+    fields = F.array_join(
+        F.transform(lines, lambda x: F.concat(F.lit("    private com.acme.port.Port"), x["port"], F.lit(" line"), x["i"], F.lit(";"))), "\n"
+    )
+    calls = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("        line"), x["i"], F.lit(".quote();"))), "\n")
+
+    def files(package, name, template, rows=part, **values):
+        path = F.concat(F.lit(f"src/main/java/com/acme/{package}/{name}"), p.cast("string"), F.lit(".java"))
+        return rows.select(path.alias("path"), _render(template, p=p, **values).cast("binary").alias("content"))
+
+    base = spark.createDataFrame([(f"src/main/java/com/acme/base/{n}.java", t.encode()) for n, t in _BASE.items()], "path string, content binary")
+    return (
+        files("port", "Port", _PORT)
+        .unionByName(files("adapter", "Adapter", _ADAPTER, kind=F.lit("Adapter")))
+        .unionByName(files("adapter", "Backup", _ADAPTER, part.filter(p % 5 == 0), kind=F.lit("Backup")))
+        .unionByName(files("task", "StockTask", _TASK, fields=fields, calls=calls))
+        .unionByName(base)
+    )
