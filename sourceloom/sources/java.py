@@ -32,6 +32,7 @@ _TOKEN = re.compile(
 _ESCAPE = re.compile(r"\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.)", re.S)
 _BYTE_ORDER_MARK = chr(0xFEFF)
 _CLOSERS = {"(": ")", "[": "]", "{": "}"}
+_PAIRED_OR_STRAY = frozenset("()[]{}\"'`#\\")
 _TYPE_ARGUMENT_OPS = frozenset("<>,.?&[]@")
 
 
@@ -43,41 +44,34 @@ class JavaUnit:
 
     def __init__(self, source: str):
         self.source, self.broken = source, False
-        self.token, self.kind, self.start, self.end, self.doc = [], [], [], [], []
-        comment = None
+        self.matches, self.comment_before = [], {}
         for m in _TOKEN.finditer(source):
-            if m.lastgroup in ("block", "line"):
-                comment = m.group() if m.group().startswith("/**") else None
-                continue
-            self.token.append(m.group())
-            self.kind.append(m.lastgroup)
-            self.start.append(m.start())
-            self.end.append(m.end())
-            self.doc.append(comment)
-            comment = None
-        self.size = len(self.token)
-        self.token += [""] * 3
-        self.kind += [""] * 3
+            if m.lastgroup == "block" or m.lastgroup == "line":
+                self.comment_before[len(self.matches)] = m.group()
+            else:
+                self.matches.append(m)
+        self.size = len(self.matches)
+        self.token = [m.group() for m in self.matches] + [""] * 3
+        self.kind = [m.lastgroup for m in self.matches] + [""] * 3
         self.newlines = [m.start() for m in re.finditer("\n", source)]
         self.partner = self._pair_brackets()
         self.package, self.imports, self.classes = None, [], []
 
     def _pair_brackets(self) -> dict[int, int]:
         partner, stack = {}, []
-        for i in range(self.size):
-            tok = self.token[i]
-            if self.kind[i] != "op":
+        for i, tok in enumerate(self.token):
+            if tok not in _PAIRED_OR_STRAY:
                 continue
             if tok in _CLOSERS:
                 stack.append(i)
-            elif tok in ")]}":
+            elif tok in _CLOSERS.values():
                 while stack and _CLOSERS[self.token[stack[-1]]] != tok:
                     partner[stack.pop()], self.broken = i, True
                 if stack:
                     partner[stack.pop()] = i
                 else:
                     self.broken = True
-            elif tok in "\"'`#\\":
+            else:
                 self.broken = True
         self.broken |= bool(stack)
         partner.update((i, self.size) for i in stack)
@@ -85,10 +79,15 @@ class JavaUnit:
 
     # -- small readers --------------------------------------------------------
     def slice(self, a: int, b: int) -> str:
-        return self.source[self.start[a] : self.end[b - 1]] if a < b <= self.size else ""
+        return self.source[self.matches[a].start() : self.matches[b - 1].end()] if a < b <= self.size else ""
+
+    def doc(self, i: int) -> str | None:
+        """Doc comment just before the token at i."""
+        comment = self.comment_before.get(i, "")
+        return comment if comment.startswith("/**") else None
 
     def line(self, i: int) -> int:
-        return bisect_right(self.newlines, self.start[min(i, self.size - 1)]) + 1
+        return bisect_right(self.newlines, self.matches[min(i, self.size - 1)].start()) + 1
 
     def word(self, i: int) -> bool:
         return self.kind[i] == "word"
@@ -247,7 +246,7 @@ class JavaUnit:
             "name": name, "kind": kind, "qualified_name": f"{scope}.{name}" if scope else name,
             "outer_ord": outer, "modifiers": mods[0], "annotations": mods[1],
             "annotation_args": list(mods[2].items()), "extends": [], "implements": [],
-            "type_parameters": [], "fields": [], "methods": [], "doc_comment": self.doc[first],
+            "type_parameters": [], "fields": [], "methods": [], "doc_comment": self.doc(first),
             "start_line": self.line(first),
         }
         me = len(self.classes)
@@ -324,7 +323,7 @@ class JavaUnit:
         if row["kind"] in ("class", "enum", "record"):
             for a, _ in self.split(j, stop - 1):
                 row["fields"].append(
-                    {"name": self.token[a], "type": self.slice(i, j), "modifiers": mods[0], "doc_comment": self.doc[first]}
+                    {"name": self.token[a], "type": self.slice(i, j), "modifiers": mods[0], "doc_comment": self.doc(first)}
                 )
         return stop
 
@@ -348,7 +347,7 @@ class JavaUnit:
         method = {
             "name": self.token[name_at], "return_type": return_type, "parameters": self.parameters(name_at + 1),
             "modifiers": mods[0], "annotations": mods[1], "annotation_args": list(mods[2].items()),
-            "doc_comment": self.doc[first], "is_constructor": not return_type,
+            "doc_comment": self.doc(first), "is_constructor": not return_type,
             "start_line": self.line(first), "calls": [], "creates": [],
         }
         row["methods"].append(method)

@@ -194,7 +194,7 @@ def port_corpus(spark: SparkSession, folder: str) -> DataFrame:
         path = F.concat(F.lit(f"src/main/java/com/acme/{package}/{name}"), p.cast("string"), F.lit(".java"))
         return rows.select(path.alias("path"), _render(template, p=p, **values).cast("binary").alias("content"))
 
-    base = spark.createDataFrame([(f"src/main/java/com/acme/base/{n}.java", t.encode()) for n, t in _BASE.items()], "path string, content binary")
+    base = spark.createDataFrame([(f"src/main/java/com/acme/base/{n}.java", t.encode()) for n, t in _BASE.items()], "path string, content binary").coalesce(1)
     return (
         files("port", "Port", _PORT)
         .unionByName(files("adapter", "Adapter", _ADAPTER, kind=F.lit("Adapter")))
