@@ -318,7 +318,7 @@ def dependency_edges_split(spark, sf_dir):
     """The same edges with every name of ten uses or more treated as a hot key."""
     a = analysis(spark, sf_dir)
     found = resolve.candidates(dependencies.references(a.classes))
-    edges = dependencies.dependency_edges(resolve.resolve(found, a.names, hot_keys(found, "key", 10)))
+    edges = dependencies.dependency_edges(resolve.resolve(found, a.names, dependencies.REFERENCE, hot_keys(found, "key", 10)))
     return edges.select("src", "dst", strings(dependencies.kind_names(F.col("kind_mask"))).alias("kinds"))
 
 
@@ -712,7 +712,7 @@ def port_edges_split(spark, sf_dir):
     """The same edges with the common base class treated as the hot key it is."""
     a = port_analysis(spark, sf_dir)
     found = resolve.candidates(dependencies.references(a.classes))
-    edges = dependencies.dependency_edges(resolve.resolve(found, a.names, hot_keys(found, "key", 100)))
+    edges = dependencies.dependency_edges(resolve.resolve(found, a.names, dependencies.REFERENCE, hot_keys(found, "key", 100)))
     return edges.select("src", "dst", strings(dependencies.kind_names(F.col("kind_mask"))).alias("kinds"))
 
 

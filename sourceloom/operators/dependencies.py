@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions.naming import type_names
 from sourceloom.operators.skew import lookup_join
 
+REFERENCE = ["path", "class_ord", "name", "kind"]
 # one bit per kind, in alphabetical order so that a decoded mask is sorted
 KINDS = ("creates", "extends", "field", "implements", "param", "return")
 

@@ -50,13 +50,15 @@ def candidates(refs: DataFrame, name: str = "name") -> DataFrame:
     return refs.select(*kept, F.inline(keys))
 
 
-def resolve(cands: DataFrame, names: DataFrame, hot: list | None = None) -> DataFrame:
-    """The candidates' rows, once each, with `target` and its package, kind and layer.
+def resolve(cands: DataFrame, names: DataFrame, by: list[str], hot: list | None = None) -> DataFrame:
+    """The candidates' rows, once per value of `by`, with `target` and its package, kind and layer.
 
-    Rows of which no candidate is a project class are dropped.
+    Rows of which no candidate is a project class are dropped.  `by` identifies
+    a row; the hash before it is what the aggregation sorts on, as paths and
+    qualified names differ only after long common beginnings.
     """
-    ids = [c for c in cands.columns if c not in ("rank", "key")]
+    rest = [c for c in cands.columns if c not in ("rank", "key", *by)]
     told = ["target", "target_package", "target_kind", "target_layer"]
-    best = F.min(F.struct("rank", *told)).alias("best")
-    found = lookup_join(cands, names, "key", hot=hot).groupBy(*ids).agg(best)
-    return found.select(*ids, *[f"best.{c}" for c in told])
+    best = F.min(F.struct("rank", *told, *rest)).alias("best")
+    found = lookup_join(cands, names, "key", hot=hot).groupBy(F.xxhash64(*by).alias("row_hash"), *by).agg(best)
+    return found.select(*by, *[f"best.{c}" for c in (*rest, *told)])

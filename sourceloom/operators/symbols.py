@@ -12,10 +12,11 @@ def symbols(facts: DataFrame) -> DataFrame:
     while `first_path`, `first_ord` keep the place the name first had.
 
     Both aggregates combine on the map side, so a name with very many
-    declarations reaches its reducer as one row per task.
+    declarations reaches its reducer as one row per task.  The hash is what
+    they sort on: qualified names differ only after long common beginnings.
     """
     return (
-        facts.groupBy("fqn")
+        facts.groupBy(F.xxhash64("fqn").alias("name_hash"), "fqn")
         .agg(
             F.max(F.struct(*_PLACE, *_FACTS)).alias("last"),
             F.min(F.struct(*_PLACE)).alias("first"),

@@ -67,15 +67,15 @@ class Analysis:
         """What a name can mean; joined by every resolution."""
         return written(resolve.dictionary(self.symbols, symbols.unique_names(self.symbols)), "names")
 
-    def _resolve(self, refs: DataFrame) -> DataFrame:
+    def _resolve(self, refs: DataFrame, by: list[str]) -> DataFrame:
         found = resolve.candidates(refs)
-        return resolve.resolve(found, self.names, hot_keys(found, "key", self.hot_rows))
+        return resolve.resolve(found, self.names, by, hot_keys(found, "key", self.hot_rows))
 
     # -- edges ----------------------------------------------------------------------
     @cached_property
     def edges(self) -> DataFrame:
         """src, dst, kind_mask with package and layer of both ends."""
-        found = dependencies.dependency_edges(self._resolve(dependencies.references(self.classes)))
+        found = dependencies.dependency_edges(self._resolve(dependencies.references(self.classes), dependencies.REFERENCE))
         found = written(found, "class-edges")
         return written(dependencies.with_source(found, self.symbols, hot_keys(found, "src", self.hot_rows)), "edges")
 
@@ -90,7 +90,7 @@ class Analysis:
     @cached_property
     def calls(self) -> DataFrame:
         """Every resolved call, in tree order by its ordinals."""
-        return written(calls.call_edges(self.call_sites, self._resolve(calls.receiver_references(self.call_sites))), "calls")
+        return written(calls.call_edges(self.call_sites, self._resolve(calls.receiver_references(self.call_sites), calls.CALL_ORDER)), "calls")
 
     @property
     def meaningful_calls(self) -> DataFrame:
@@ -102,7 +102,7 @@ class Analysis:
         refs = self.classes.filter("kind = 'class' and size(implements) > 0").select(
             "path", "class_ord", F.col("fqn").alias("src"), "package", "import_paths", F.posexplode("implements").alias("ord", "name")
         )
-        return self._resolve(refs)
+        return self._resolve(refs, ["path", "class_ord", "ord"])
 
     @cached_property
     def redirects(self) -> DataFrame:
