@@ -9,12 +9,13 @@ must find from the keys alone.  The others run operators on the text tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.documents import prompts
+from sourceloom.documents import prompts, texts
 from sourceloom.functions import layers, naming, text
 from sourceloom.operators import changes, components, dependencies, flows, mermaid, resolve, tables
 from sourceloom.operators.cards import render_card
@@ -135,9 +136,9 @@ _CARDS = (
   SELECT dst AS fqn, count(*) AS n, list_slice(list_sort(list(src)), 1, 40) AS users FROM edge GROUP BY dst
 ), uses AS (SELECT src AS fqn, min(dst) AS dst FROM edge GROUP BY src
 ), card AS (
-  SELECT r.fqn, r.layer, r.label, r.importance, concat_ws(chr(10),
+  SELECT r.fqn, r.layer, r.label, r.importance, m.field, m.summary, concat_ws(chr(10),
       '### class ' || r.fqn, '- layer: ' || r.layer, '- modifiers: public', '- ' || m.heritage, '- summary: ' || m.summary,
-      '- fields: ' || m.field, '- methods:' || chr(10) || '  - ' || m.method, '- depends on: ' || d.dst,
+      '- fields: ' || m.field, '- methods:' || chr(10) || '  - ' || m.method) AS brief, concat_ws(chr(10), brief, '- depends on: ' || d.dst,
       '- used by: ' || array_to_string(u.users, ', ') || CASE WHEN u.n > 40 THEN ', ... (' || (u.n - 40) || ' more not shown)' ELSE '' END
     ) AS card
   FROM ranked r JOIN member m USING (fqn) LEFT JOIN used u USING (fqn) LEFT JOIN uses d USING (fqn)
@@ -489,22 +490,24 @@ def class_cards(spark, sf_dir):
     return analysis(spark, sf_dir).cards.select("fqn", render_card().alias("card"))
 
 
-def _coverage_sql(source: str, labels: list[str], budget: int, max_count: int | None) -> str:
+def _coverage_sql(source: str, labels: list[str], budget: int | str, max_count: int | None, picked: str = "picked") -> str:
     """SQL of a shared-budget selection over `source`(label, cost, rn, used): one CTE per group, slack carried on."""
     count = max_count if max_count is not None else 1 << 40
-    sql = f""", present AS (SELECT count(DISTINCT label) AS n FROM {source}),
-  share AS (SELECT greatest({budget} // n, 1) AS chars, greatest({count} // n, 1) AS cnt FROM present), k0 AS (SELECT 0 AS chars, 0 AS cnt)"""
+    share = f"share_{picked}"
+    sql = f""", {share} AS (SELECT greatest({budget} // count(DISTINCT label), 1) AS chars, greatest({count} // count(DISTINCT label), 1) AS cnt FROM {source}),
+  k0 AS (SELECT 0 AS chars, 0 AS cnt)"""
     for i, label in enumerate(labels, 1):
-        sql += f""", g{i} AS (SELECT s.chars + k.chars AS chars, s.cnt + k.cnt AS cnt FROM share s, k{i - 1} k),
+        sql += f""", g{i} AS (SELECT s.chars + k.chars AS chars, s.cnt + k.cnt AS cnt FROM {share} s, k{i - 1} k),
   s{i} AS (SELECT r.* FROM {source} r, g{i} WHERE label = '{label}' AND (rn = 1 OR used <= g{i}.chars) AND rn <= g{i}.cnt),
   k{i} AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM {source} WHERE label = '{label}') THEN greatest(g{i}.chars - (SELECT max(used) FROM s{i}), 0) ELSE k{i - 1}.chars END AS chars,
     CASE WHEN EXISTS (SELECT 1 FROM {source} WHERE label = '{label}') THEN greatest(g{i}.cnt - (SELECT count(*) FROM s{i}), 0) ELSE k{i - 1}.cnt END AS cnt FROM g{i}, k{i - 1})"""
-    return sql + ", picked AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, len(labels) + 1)) + ")\n"
+    sql += f", {picked} AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, len(labels) + 1)) + ")\n"
+    return re.sub(r"\b([gsk])(\d)\b", rf"\1\2_{picked}", sql)
 
 
 _SELECTED = (
     _CARDS
-    + """, costed AS (SELECT fqn, label, card, importance, length(card) + 2 AS cost FROM card),
+    + """, costed AS (SELECT fqn, label, card, brief, field, summary, importance, length(card) + 2 AS cost FROM card),
   run AS (SELECT *, row_number() OVER w AS rn, sum(cost) OVER (PARTITION BY label ORDER BY importance DESC, fqn ROWS UNBOUNDED PRECEDING) AS used
     FROM costed WINDOW w AS (PARTITION BY label ORDER BY importance DESC, fqn))"""
     + _coverage_sql("run", ["API", "Service", "Domain", "Data"], 12_288, 150)
@@ -554,10 +557,96 @@ def budget_prefix(spark, sf_dir):
     return kept.select("source", "doc_id", F.col("rank").cast("bigint").alias("rank"), "used")
 
 
-@query()
-def document_prompts(spark, sf_dir):
-    """The prompts of all three documents."""
-    return prompts.prompts(context(spark, sf_dir))
+def _lit(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_README = (
+    _SELECTED
+    + """, top AS (SELECT fqn, brief, row_number() OVER (ORDER BY importance DESC, fqn) AS place FROM picked QUALIFY place <= 25),
+  cut AS (SELECT *, sum(length(brief) + 2) OVER (ORDER BY place) AS used FROM top QUALIFY place = 1 OR used <= 6144),
+  types AS (SELECT string_agg(brief, chr(10) || chr(10) ORDER BY place) || CASE WHEN count(*) < (SELECT count(*) FROM top)
+      THEN chr(10) || chr(10) || '... and ' || ((SELECT count(*) FROM top) - count(*)) || ' more not shown in detail' ELSE '' END AS t FROM cut),
+  packs AS (SELECT string_agg('- `' || package || '` (' || n || ' types)', chr(10) ORDER BY package) AS t FROM (SELECT package, count(*) AS n FROM cls GROUP BY package)),
+  root AS (SELECT array_to_string(list_slice(string_split(import_path, '.'), 1, 2), '.') AS root, count(*) AS n, min(path || import_ord) AS at_first FROM imp
+    WHERE NOT starts_with(import_path, 'com.acme') GROUP BY 1),
+  roots AS (SELECT string_agg(root, ', ' ORDER BY n DESC, at_first) AS t FROM root)
+SELECT 'README.md' AS doc, 'Write README.md for the repository "acme".\n\nFacts:\n- Languages: java\n- Files: ' || (SELECT count(*) FROM cls)
+  || '\n- Types: ' || (SELECT count(*) FROM cls) || '\n- Packages:\n' || (SELECT t FROM packs)
+  || '\n- External dependencies, most imported first: ' || (SELECT t FROM roots)
+  || CASE WHEN (SELECT count(*) FROM picked) < (SELECT count(*) FROM cls)
+       THEN '\nNote: the code base is large; the types below are a part of it.\n' ELSE '\n' END
+  || '\nPublic types:\n\n' || (SELECT t FROM types) || """
+    + _lit("\n\n" + texts.README_TASK)
+    + " AS prompt"
+)
+
+
+@query(_README)
+def readme_prompt(spark, sf_dir):
+    return prompts.readme_prompt(context(spark, sf_dir))
+
+
+_FLOW_TEXT = f"""'Flow from a client call of com.acme.supplier.SupplierApi' || s_suppkey || '.get():
+  1. Client calls com.acme.supplier.SupplierApi' || s_suppkey || '.get()
+  2. com.acme.supplier.SupplierApi' || s_suppkey || '.get() calls com.acme.nation.NationService' || s_nationkey || '.resolve()
+  3. com.acme.nation.NationService' || s_nationkey || '.resolve() calls com.acme.region.RegionStore' || n_regionkey || '.load()
+  4. com.acme.region.RegionStore' || n_regionkey || '.load() calls Relational Database.load()\n' || {_lit(texts.FLOW_NOTE)}
+  || '\n```mermaid\n' || {_DIAGRAM} || '\n```'"""
+
+
+@query(
+    _TREE
+    + f""", text AS (SELECT flow_ord, {_FLOW_TEXT} AS t FROM entry), cut AS (SELECT *, sum(length(t) + 2) OVER (ORDER BY flow_ord) AS used FROM text
+  QUALIFY flow_ord = 1 OR used <= 12288)
+SELECT 'SEQUENCE.md' AS doc, 'Write SEQUENCE.md, the main call flows of the repository "acme".\n\n' || {_lit(texts.SEQUENCE_HEAD)} || '\n\n'
+  || string_agg(t, '\n\n' ORDER BY flow_ord) || CASE WHEN count(*) < (SELECT count(*) FROM text)
+       THEN '\n\n... and ' || ((SELECT count(*) FROM text) - count(*)) || ' more flow(s) not shown due to prompt size limits' ELSE '' END
+  || '\n\n' || {_lit(texts.SEQUENCE_TASK)} AS prompt FROM cut"""
+)
+def sequence_prompt(spark, sf_dir):
+    return prompts.sequence_prompt(context(spark, sf_dir))
+
+
+_ARCHITECTURE = (
+    _SELECTED.replace(", costed AS", _SYSTEM + """, comp AS (
+  SELECT DISTINCT s.label AS src, d.label AS dst FROM edge JOIN cls s ON s.fqn = src JOIN cls d ON d.fqn = dst WHERE s.label <> d.label
+  UNION SELECT c.label, sys.category FROM cls c JOIN sys USING (path) WHERE category IS NOT NULL
+  UNION SELECT 'Client', 'API' FROM supplier)""" + _GRAPH_LINES.format("comp") + ", costed AS", 1)
+    + f""", nth AS (SELECT layer, fqn, row_number() OVER (PARTITION BY layer ORDER BY path) AS rn, count(*) OVER (PARTITION BY layer) AS n FROM cls),
+  listing AS (SELECT layer, string_agg(fqn, ', ' ORDER BY rn) || CASE WHEN max(n) > 15 THEN ', and ' || (max(n) - 15) || ' more' ELSE '' END AS t
+    FROM nth WHERE rn <= 15 GROUP BY layer),
+  layers AS (SELECT {_lit(texts.LAYERS)} || '\n' || string_agg(CASE layer WHEN 'api' THEN {_lit(texts.LAYER_LINES["api"])} WHEN 'service' THEN
+    {_lit(texts.LAYER_LINES["service"])} WHEN 'domain' THEN {_lit(texts.LAYER_LINES["domain"])} ELSE {_lit(texts.LAYER_LINES["data"])} END || t, '\n'
+    ORDER BY CASE layer WHEN 'api' THEN 0 WHEN 'service' THEN 1 WHEN 'domain' THEN 2 ELSE 3 END) AS t FROM listing),
+  systems AS (SELECT {_lit(texts.SYSTEMS)} || '\n' || string_agg('- ' || category || ' (via ' || prefix || ')', '\n' ORDER BY category) AS t
+    FROM (SELECT DISTINCT category, prefix FROM sys WHERE category IS NOT NULL)),
+  nouns AS (SELECT *, row_number() OVER (ORDER BY importance DESC, fqn) AS place FROM picked WHERE label = 'Domain'),
+  domain AS (SELECT {_lit(texts.DOMAIN)} || '\n' || string_agg('- **' || fqn || '** (class): ' || coalesce(field, 'no fields') || ' — ' || summary, '\n' ORDER BY place)
+    || CASE WHEN (SELECT count(*) FROM nouns) > 12 THEN '\n- ...and ' || ((SELECT count(*) FROM nouns) - 12) || ' more domain types not shown in detail' ELSE '' END
+    || '\n' || {_lit(texts.DOMAIN_NOTE)} AS t FROM nouns WHERE place <= 12),
+  primary_flow AS (SELECT {_FLOW_TEXT} AS t FROM entry WHERE flow_ord = 1),
+  graph AS (SELECT 'graph TD\n' || string_agg(line, '\n' ORDER BY src, dst, part) AS t FROM lines),
+  facts AS (SELECT layers.t AS l, systems.t AS s, domain.t AS d, primary_flow.t AS p, graph.t AS g FROM layers, systems, domain, primary_flow, graph),
+  room AS (SELECT greatest(12288 - length(l) - length(s) - length(d) - length(p) - length(g), 1500) AS n FROM facts),
+  rest AS (SELECT label, card, row_number() OVER w AS rn, sum(cost) OVER w AS used
+    FROM (SELECT * EXCLUDE (rn, used) FROM picked WHERE label <> 'Domain') WINDOW w AS (PARTITION BY label ORDER BY importance DESC, fqn ROWS UNBOUNDED PRECEDING))"""
+    + _coverage_sql("rest", ["API", "Service", "Data"], "(SELECT n FROM room)", None, "shown")
+    + f""", section AS (SELECT label, '#### ' || label || ' layer\n\n' || string_agg(card, '\n\n' ORDER BY rn) AS t FROM shown GROUP BY label),
+  detail AS (SELECT string_agg(t, '\n\n' ORDER BY CASE label WHEN 'API' THEN 0 WHEN 'Service' THEN 1 ELSE 2 END) ||
+    CASE WHEN (SELECT count(*) FROM rest) > (SELECT count(*) FROM shown) THEN '\n\n... and ' || ((SELECT count(*) FROM rest) - (SELECT count(*) FROM shown)) ||
+      ' more classes not shown in detail due to prompt size limits' ELSE '' END AS t FROM section)
+SELECT 'ARCHITECTURE.md' AS doc, 'Write ARCHITECTURE.md for the repository "acme".\n\n' || {_lit(texts.ARCHITECTURE_HEAD)} || '\n\n' || l || '\n\n' || s
+  || '\n\nDomain model:\n' || d || '\n\nPrimary request flow, traced through the call graph:\n' || p
+  || '\n\nVERIFIED FACT: component graph (nodes are layers and external systems; an edge means `uses`):\n```mermaid\n' || g
+  || '\n```\n\nClasses by verified layer, as evidence for your text:\n\n' || detail.t || '\n\n---\n\n' || {_lit(texts.ARCHITECTURE_TASK)} AS prompt
+FROM facts, detail"""
+)
+
+
+@query(_ARCHITECTURE)
+def architecture_prompt(spark, sf_dir):
+    return prompts.architecture_prompt(context(spark, sf_dir))
 
 
 # -- snapshots, fingerprints -------------------------------------------------------------------------------
