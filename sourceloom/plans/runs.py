@@ -14,6 +14,7 @@ from sourceloom.documents.generate import DocResult, write_documents
 from sourceloom.documents.provider import Provider
 from sourceloom.operators.changes import merge_snapshot, run_counters, update_plan
 from sourceloom.operators.fingerprints import regeneration
+from sourceloom.operators.skew import hot_keys, lookup_join
 from sourceloom.plans.analysis import Analysis
 from sourceloom.plans.context import ProjectContext
 from sourceloom.session import written
@@ -114,7 +115,8 @@ def detail_budget(num_ctx: int):
 def package_report(a: Analysis) -> DataFrame:
     """package, class_count and, per declared class, its kind, name, methods and dependencies."""
     deps = a.ranked.select("fqn", "fan_out")
-    rows = a.facts.join(deps, "fqn").join(a.packages, "package")
+    rows = lookup_join(a.facts, deps, "fqn", hot=hot_keys(a.facts, "fqn", a.hot_rows))
+    rows = lookup_join(rows, a.packages, "package", hot=hot_keys(a.facts, "package", a.hot_rows))
     return rows.select("package", "class_count", "path", "class_ord", "kind", "name", "n_methods", "fan_out")
 
 

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from sourceloom.operators.changes import CHANGE_SCHEMA
 from sourceloom.sources.registry import language_extensions
 
-FILES_PER_TASK = 2_000
-
 
 class NotAWorkTreeError(RuntimeError):
     """The folder is not inside a Git working tree."""
