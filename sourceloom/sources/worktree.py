@@ -69,8 +69,8 @@ def parse_name_status(raw: str) -> list[tuple[str, str, str | None]]:
 
 
 def changes_since(spark: SparkSession, root: str | Path, commit: str) -> DataFrame:
-    """Change set between a commit and the working tree; empty without a commit."""
-    raw = git(root, "diff", "--name-status", "-M", "-z", commit, "--") if commit else ""
+    """Change set between a commit and the working tree, with paths below `root`; empty without a commit."""
+    raw = git(root, "diff", "--relative", "--name-status", "-M", "-z", commit, "--") if commit else ""
     return spark.createDataFrame(parse_name_status(raw), CHANGE_SCHEMA)
 
 

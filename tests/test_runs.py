@@ -91,6 +91,9 @@ def test_changes_since(spark, worktree):
     assert values(changes.changed_paths(rows), "path") == [("Moved.java",)]
     assert values(changes.removed_paths(rows), "path") == [("src/main/java/com/shop/model/Widget.java",), (SERVICE,)]
     assert wt.changes_since(spark, worktree, "").count() == 0
+    below = worktree / "src/main"
+    assert values(wt.changes_since(spark, below, first), "path") == [("java/com/shop/model/Widget.java",), ("java/com/shop/service/WidgetService.java",)]
+    assert {r.path for r in wt.list_files(spark, below).collect()} == {"java/com/shop/repo/WidgetRepository.java", "java/com/shop/repo/InMemoryWidgetRepository.java"}
 
 
 def test_update_plan(spark):
