@@ -9,25 +9,29 @@ must find from the keys alone.  The others run operators on the text tables.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.documents import prompts, texts
-from sourceloom.functions import layers, naming, text
-from sourceloom.operators import changes, components, dependencies, flows, mermaid, resolve, tables
-from sourceloom.operators.cards import render_card
-from sourceloom.operators.fingerprints import regeneration
-from sourceloom.operators.select import fit_to_budget, select_with_coverage
-from sourceloom.operators.skew import first_per_group, hot_keys
-from sourceloom.plans.analysis import Analysis
-from sourceloom.plans.context import ProjectContext
-from sourceloom.plans.runs import package_report
-from sourceloom.sources.parse import file_hash, parse_files
-from sourceloom.sources.star_corpus import port_corpus, sql_text, star_corpus
-from sourceloom.sources.worktree import has_extension, is_excluded
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from sourceloom.documents import prompts, texts  # noqa: E402
+from sourceloom.functions import layers, naming, text  # noqa: E402
+from sourceloom.operators import changes, components, dependencies, flows, mermaid, resolve, tables  # noqa: E402
+from sourceloom.operators.cards import render_card  # noqa: E402
+from sourceloom.operators.fingerprints import regeneration  # noqa: E402
+from sourceloom.operators.select import fit_to_budget, select_with_coverage  # noqa: E402
+from sourceloom.operators.skew import first_per_group, hot_keys  # noqa: E402
+from sourceloom.plans.analysis import Analysis  # noqa: E402
+from sourceloom.plans.context import ProjectContext  # noqa: E402
+from sourceloom.plans.runs import package_report  # noqa: E402
+from sourceloom.sources.parse import file_hash, parse_files  # noqa: E402
+from sourceloom.sources.star_corpus import port_corpus, sql_text, star_corpus  # noqa: E402
+from sourceloom.sources.worktree import has_extension, is_excluded  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 _analyses: dict[tuple[str, str, str], Analysis] = {}

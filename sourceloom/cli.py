@@ -13,7 +13,7 @@ from sourceloom.config import Config, load_config
 from sourceloom.documents.provider import get_provider
 from sourceloom.logs import configure_logging
 from sourceloom.plans.runs import Runner
-from sourceloom.session import local_session
+from sourceloom.session import local_session, scratch
 from sourceloom.sources.worktree import is_work_tree
 
 
@@ -62,12 +62,14 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None, provid
         if not provider.is_available():
             print(f"Error: model {config.model.name!r} is not available at {config.model.host}", file=sys.stderr)
             return 1
-    runner = Runner(spark or local_session(), root, config, provider)
-    if args.verb == "scan":
-        for line in runner.report():
-            print(line)
-        return 0
-    summary = runner.full(args.force) if args.verb == "generate" else runner.update(args.force)
+    spark = spark or local_session()
+    runner = Runner(spark, root, config, provider)
+    with scratch(spark):
+        if args.verb == "scan":
+            for line in runner.report():
+                print(line)
+            return 0
+        summary = runner.full(args.force) if args.verb == "generate" else runner.update(args.force)
     print(f"Mode: {summary.mode}")
     print(
         f"Files scanned: {summary.files_scanned}  parsed: {summary.files_parsed}  "

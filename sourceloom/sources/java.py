@@ -403,6 +403,8 @@ class JavaUnit:
         if self.token[dot] == ">":  # explicit type arguments: x.<T>call()
             depth = 0
             for at in range(dot, -1, -1):
+                if not (self.word(at) or self.token[at] in _TYPE_ARGUMENT_OPS):
+                    break
                 depth += (self.token[at] == ">") - (self.token[at] == "<")
                 if depth == 0:
                     dot = at - 1 if self.token[at - 1] == "." else dot

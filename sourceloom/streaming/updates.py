@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sourceloom.session import written
+from sourceloom.session import scratch, written
 from sourceloom.sources.parse import file_hash, parse_files
 from sourceloom.sources.state import State, StateStore
 
@@ -38,8 +38,13 @@ def apply_batch(batch: DataFrame, store: StateStore, languages: list[str]) -> No
 def start_updates(contents: DataFrame, store: StateStore, checkpoint: str, languages: list[str] | None = None) -> StreamingQuery:
     """Merge what a stream of files has into the snapshot, and stop."""
     languages = languages or ["java"]
+
+    def merge(batch: DataFrame, _: int) -> None:
+        with scratch(batch.sparkSession):
+            apply_batch(batch, store, languages)
+
     return (
-        contents.writeStream.foreachBatch(lambda batch, _: apply_batch(batch, store, languages))
+        contents.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

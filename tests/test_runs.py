@@ -1,6 +1,7 @@
 """Working tree, change sets, state, fingerprints, runs, command line and stream."""
 
 import json
+import os
 from io import BytesIO
 from urllib.error import URLError
 
@@ -14,6 +15,7 @@ from sourceloom.documents.provider import OllamaProvider, ProviderError, availab
 from sourceloom.operators import changes
 from sourceloom.operators.fingerprints import regeneration
 from sourceloom.plans.runs import Runner
+from sourceloom.session import scratch, written
 from sourceloom.sources import worktree as wt
 from sourceloom.sources.state import State, StateStore
 from sourceloom.streaming.updates import start_updates
@@ -262,6 +264,15 @@ def test_failing_provider_keeps_parsed_files_and_is_made_up_for(spark, worktree,
     assert [(r.filename, r.reason) for r in summary.doc_results] == [("SEQUENCE.md", "initial")] and summary.files_reused == 4
 
 
+def test_scratch_deletes_its_own_tables_only(spark):
+    kept = written(spark.range(3), "kept")
+    with scratch(spark):
+        gone = written(spark.range(2), "gone")
+        assert gone.count() == 2
+        path = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert kept.count() == 3 and not os.path.exists(path)
+
+
 def test_command_line(spark, worktree, tmp_path, echo, capsys):
     (worktree / "Bad.java").write_text("class {")
     assert cli.run(["scan", str(worktree)], spark) == 0
