@@ -854,9 +854,32 @@ def entry(spark: SparkSession) -> DataFrame:
     return dependency_edges(spark, "/root/testdata/sf0.001")
 
 
+def _optional() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the subpackage `llm` and of the pipeline, as far as they are there."""
+    found, sql = {}, {}
+    try:
+        from sourceloom.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("sourceloom.llm", "sourceloom.llm.queries"):
+            raise
+        return found, sql
+    found.update(llm.QUERIES)
+    sql.update(llm.ORACLES)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _optional()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | _optional()[1]
