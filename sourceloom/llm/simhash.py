@@ -98,9 +98,9 @@ def _near(table: pa.Table) -> pa.Table:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) that join fingerprints (column `fp`, distinct) at most DISTANCE bits apart into their components.
 
-    Any two such fingerprints are connected by the result, and only such are linked;
-    under a key with many of them, not every pair is listed: blocks of them are compared
-    in memory and each gives a tree.
+    Any two such fingerprints are connected by the result, and what it connects is connected
+    by such pairs.  Under a key with many of them not every pair is listed: blocks of them are
+    compared in memory and each gives a tree, every member tied to the first of its component.
     """
     base = fps.select(F.explode(F.array(*(_key(F.col("fp"), i) for i in range(_N)))).alias("key"), "fp")
     hot = base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select("key")
