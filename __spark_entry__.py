@@ -443,7 +443,7 @@ def call_edges(spark, sf_dir):
 def calls_by_caller(spark, sf_dir):
     from sourceloom.operators.calls import calls_by_caller as grouped
 
-    rows = grouped(analysis(spark, sf_dir).calls, 12)
+    rows = grouped(analysis(spark, sf_dir).calls)
     first = F.min_by(F.concat("callee_class", F.lit("."), "callee_method"), "call_rank")
     return rows.groupBy("caller_class", "caller_method").agg(F.count("*").alias("n_calls"), first.alias("first_call"))
 
@@ -557,7 +557,20 @@ SELECT source, doc_id, rn AS rank, CAST(used AS BIGINT) AS used FROM run WHERE r
 def budget_prefix(spark, sf_dir):
     """Per source the longest run of documents that fits a budget; the first always."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.length("text") + 2).cast("bigint").alias("cost"))
-    kept = fit_to_budget(docs, ["source"], [F.asc("doc_id")], "cost", 40_000, least_cost=3)
+    kept = fit_to_budget(docs, ["source"], [F.asc("doc_id")], "cost", 40_000)
+    return kept.select("source", "doc_id", F.col("rank").cast("bigint").alias("rank"), "used")
+
+
+@query(
+    """WITH c AS (SELECT doc_id, source, doc_id % 3 AS cost FROM documents),
+run AS (SELECT doc_id, source, row_number() OVER w AS rn, sum(cost) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used
+  FROM c WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+SELECT source, doc_id, rn AS rank, CAST(used AS BIGINT) AS used FROM run WHERE rn = 1 OR used <= 20"""
+)
+def budget_of_small_costs(spark, sf_dir):
+    """The same with costs from 0 on (an empty text): rows that cost nothing fit without limit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.expr("repeat('x', cast(doc_id % 3 as int))")).cast("bigint").alias("cost"))
+    kept = fit_to_budget(docs, ["source"], [F.asc("doc_id")], "cost", 20)
     return kept.select("source", "doc_id", F.col("rank").cast("bigint").alias("rank"), "used")
 
 
@@ -814,6 +827,15 @@ def port_fan_in(spark, sf_dir):
     return dependencies.fan(port_analysis(spark, sf_dir).edges).filter("fan_in > 0").select("fqn", "fan_in")
 
 
+@query(_PORTS + "SELECT caller_class, caller_method, count(*) AS n_calls, count(*) AS last_rank FROM call GROUP BY ALL")
+def port_calls_by_caller(spark, sf_dir):
+    """Methods with up to 17 calls: all are kept."""
+    from sourceloom.operators.calls import calls_by_caller as grouped
+
+    rows = grouped(port_analysis(spark, sf_dir).calls).groupBy("caller_class", "caller_method")
+    return rows.agg(F.count("*").alias("n_calls"), F.max("call_rank").cast("bigint").alias("last_rank"))
+
+
 @query(_PORTS + "SELECT caller_class, caller_method, callee_class, callee_method, count(*) AS n FROM call GROUP BY ALL")
 def port_calls(spark, sf_dir):
     columns = ["caller_class", "caller_method", "callee_class", "callee_method"]

@@ -20,7 +20,7 @@ from sourceloom.operators.select import fit_to_budget, select_with_coverage
 from sourceloom.plans.context import GROUPS, ProjectContext, best_first, group_label
 from sourceloom.session import written
 
-LEAST_CARD = len("### enum X") + 2  # no rendered card costs less
+LEAST_CARD = len("### enum X") + 2  # no card costs less: each has a head; so no more than budget // LEAST_CARD fit
 
 
 def joined(df: DataFrame, order: list[str], text: str, separator: str = "\n") -> DataFrame:
@@ -32,7 +32,7 @@ def joined(df: DataFrame, order: list[str], text: str, separator: str = "\n") ->
 def fitted(df: DataFrame, order: list[str], text: str, budget: int, more: str) -> DataFrame:
     """One row: as many texts as fit, and how many did not."""
     costed = df.withColumn("cost", F.length(text) + 2).withColumn("all", F.lit(1))
-    kept = fit_to_budget(costed, ["all"], [F.asc(c) for c in order], "cost", budget, least_cost=LEAST_CARD)
+    kept = fit_to_budget(costed, ["all"], [F.asc(c) for c in order], "cost", budget)
     left = df.select(F.count("*")).scalar() - kept.select(F.count("*")).scalar()
     note = F.when(left > 0, F.format_string(f"\n\n... and %d more {more}", left)).otherwise("")
     return joined(kept, ["rank"], text, "\n\n").select(F.concat("text", note).alias("text"))
@@ -82,7 +82,7 @@ def component_section(ctx: ProjectContext, budget: int) -> DataFrame:
     labels = [g for g in GROUPS if g != "Domain"]
     cards = ctx.cards("layer is null or layer <> 'domain'", budget // LEAST_CARD + 1)
     cards = cards.withColumn("group", group_label()).withColumn("text", render_card()).withColumn("cost", F.length("text") + 2)
-    kept = select_with_coverage(cards, "group", labels, best_first(), "cost", budget, least_cost=LEAST_CARD)
+    kept = select_with_coverage(cards, "group", labels, best_first(), "cost", budget)
     order = F.array_position(F.array(*map(F.lit, labels)), F.col("group"))
     texts_ = F.array_sort(F.collect_list(F.struct("rank", "text")))
     sections = kept.groupBy(order.alias("place"), "group").agg(F.array_join(F.transform(texts_, lambda r: r["text"]), "\n\n").alias("cards"))

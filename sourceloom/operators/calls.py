@@ -1,6 +1,6 @@
 """The call graph."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.operators.skew import first_per_group
@@ -36,7 +36,10 @@ def is_meaningful() -> Column:
     return (F.col("caller_class") == F.col("callee_class")) | ~F.col("callee_layer").eqNullSafe("domain")
 
 
-def calls_by_caller(edges: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` calls of every (class, method), in order, numbered from 1."""
+def calls_by_caller(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """The calls of every (class, method), in order, numbered from 1: all of them, or the first `limit`."""
     order = [F.col(c) for c in CALL_ORDER]
-    return first_per_group(edges, ["caller_class", "caller_method"], order, limit, "call_rank")
+    caller = ["caller_class", "caller_method"]
+    if limit is None:
+        return edges.withColumn("call_rank", F.row_number().over(Window.partitionBy(*caller).orderBy(*order)))
+    return first_per_group(edges, caller, order, limit, "call_rank")

@@ -5,35 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.operators.skew import NATIVE_GROUP_LIMIT, in_pieces
+from sourceloom.operators.skew import in_pieces
 
 _NO_LIMIT = 1 << 40
 
 
-def running_cost(df: DataFrame, group: list[str], order: list[Column], cost: str, bound: int, budget: int) -> DataFrame:
-    """The first `bound` rows of every group with `rank` and running `used` cost.
+def running_cost(df: DataFrame, group: list[str], order: list[Column], cost: str, budget: int,
+                 max_count: int | None = None, least_cost: int = 0) -> DataFrame:
+    """The rows of every group that can be kept, with `rank` and running `used` cost.
 
-    `bound` must be no less than what can be kept: at most budget // least cost + 1
-    rows, or the count limit, whichever is smaller.  It keeps the rows one task
-    sees independent of the group's size.  Where it is large, each piece of a
-    group is first cut at `budget`: a row that is over it within its piece is
-    over it within its group.
+    Each hash piece of a group is first cut where its own running cost exceeds `budget` (or
+    its own rank `max_count`): such a row is beyond it within its group as well, so what meets
+    in one task depends on the budget and not on the group.  The first row of a group is never
+    cut.  Costs must not be NULL or below `least_cost`; a row that has such a cost raises an error.
     """
-    if bound > NATIVE_GROUP_LIMIT:
-        df = in_pieces(df, group)
-        window = Window.partitionBy(*group, "_piece").orderBy(*order)
-        used = F.sum(cost).over(window.rowsBetween(Window.unboundedPreceding, 0))
-        cut = df.withColumn("rank", F.row_number().over(window)).withColumn("used", used)
-        df = cut.filter((F.col("used") <= budget) | (F.col("rank") == 1)).drop("_piece", "rank", "used")
-    first = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= bound)
-    window = Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn("used", F.sum(cost).over(window))
-
-
-def fit_to_budget(df: DataFrame, group: list[str], order: list[Column], cost: str, budget: int,
-                  force_first: bool = True, least_cost: int = 1) -> DataFrame:
-    """Longest prefix of every group whose cost fits; the first row always, if forced."""
-    costed = running_cost(df, group, order, cost, budget // least_cost + 1, budget)
+    checked = F.when(F.col(cost) >= least_cost, F.col(cost)).otherwise(F.raise_error(F.lit(f"{cost} is NULL or below {least_cost}")).cast(df.schema[cost].dataType))
+    pieces = in_pieces(df.withColumn(cost, checked), group)
+    window = Window.partitionBy(*group, "_piece").orderBy(*order)
+    used = F.sum(cost).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    cut = pieces.withColumn("rank", F.row_number().over(window)).withColumn("used", used)
+    cut = cut.filter((F.col("used") <= budget) | (F.col("rank") == 1))
+    cut = cut if max_count is None else cut.filter(F.col("rank") <= max_count)
+    window = Window.partitionBy(*group).orderBy(*order)
+    rows = cut.drop("_piece", "rank", "used").withColumn("rank", F.row_number().over(window))
+    return rows.withColumn("used", F.sum(cost).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def fit_to_budget(df: DataFrame, group: list[str], order: list[Column], cost: str, budget: int, force_first: bool = True) -> DataFrame:
+    """Longest prefix of every group whose cost (0 or more) fits; the first row always, if forced."""
+    costed = running_cost(df, group, order, cost, budget)
     fits = F.col("used") <= budget
     return costed.filter(fits | (F.col("rank") == 1) if force_first else fits)
 
@@ -86,10 +86,12 @@ def group_quotas(costed: DataFrame, group: str, labels: list, budget: int, max_c
 
 
 def select_with_coverage(df: DataFrame, group: str, labels: list, order: list[Column], cost: str, budget: int,
-                         max_count: int | None = None, least_cost: int = 1) -> DataFrame:
-    """Rows kept under a shared budget such that no group is left out, with their `rank` in the group."""
-    bound = budget // least_cost + 1
-    bound = bound if max_count is None else min(bound, max_count)
-    costed = running_cost(df, [group], order, cost, max(bound, len(labels)), max(budget, len(labels)))
+                         max_count: int | None = None) -> DataFrame:
+    """Rows kept under a shared budget such that no group is left out, with their `rank` in the group.
+
+    Costs are 1 or more, so at most as many rows of a group as the budget counts can be kept.
+    """
+    most = None if max_count is None else max(max_count, len(labels))
+    costed = running_cost(df, [group], order, cost, max(budget, len(labels)), most, least_cost=1)
     quotas = group_quotas(costed, group, labels, budget, max_count)
     return costed.join(F.broadcast(quotas), group).filter(F.col("rank") <= F.col("n_kept")).drop("n_kept")

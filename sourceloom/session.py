@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +29,12 @@ _temporary: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir; unset, a temporary one if all runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _temporary:
         _temporary.append(tempfile.mkdtemp(prefix="sourceloom-"))
     return _temporary[0]

@@ -382,11 +382,16 @@ class JavaUnit:
 
     # -- method bodies ------------------------------------------------------------
     def read_body(self, a: int, b: int, method: dict) -> None:
-        created = -1
+        created = pattern = -1
         for k in range(a, b):
-            if not self.word(k):
+            if not self.word(k) or k < pattern:
                 continue
             tok = self.token[k]
+            if tok in ("instanceof", "case"):
+                # A record pattern: the names in its parentheses are types and variables, not calls.
+                end = self.after_type(self.modifiers(k + 1)[3])
+                if end > k + 1 and self.token[end] == "(":
+                    pattern = self.after_group(end)
             if tok == "new":
                 begin = self.modifiers(k + 1)[3]
                 created = self.after_type(begin)

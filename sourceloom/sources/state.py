@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourceloom.sources.parse import FILE_SCHEMA
@@ -26,6 +27,19 @@ class State:
     complete: bool = True  # all documents of this snapshot were written
 
 
+def filled(value: Column, kind: T.DataType) -> Column:
+    """`value` with empty lists and maps for NULL ones, also inside lists of structs."""
+    if isinstance(kind, T.MapType):
+        return F.coalesce(value, F.create_map().cast(kind))
+    if isinstance(kind, T.ArrayType):
+        whole = F.coalesce(value, F.array().cast(kind))
+        return F.transform(whole, lambda x: filled(x, kind.elementType)) if isinstance(kind.elementType, T.StructType) else whole
+    if isinstance(kind, T.StructType):
+        parts = F.struct(*(filled(value[f.name], f.dataType).alias(f.name) for f in kind.fields))
+        return F.when(value.isNotNull(), parts)
+    return value
+
+
 class StateStore:
     """A folder with one Parquet table of parsed files and a manifest.
 
@@ -46,8 +60,10 @@ class StateStore:
         return state if (self.folder / state.snapshot).is_dir() else None
 
     def parsed(self, state: State) -> DataFrame:
-        """The snapshot's file rows; columns it lacks are NULL."""
-        return self.spark.read.schema(T._parse_datatype_string(FILE_SCHEMA)).parquet(str(self.folder / state.snapshot))
+        """The snapshot's file rows; lists and maps that an older one lacks are empty, at any depth."""
+        schema = T._parse_datatype_string(FILE_SCHEMA)
+        rows = self.spark.read.schema(schema).parquet(str(self.folder / state.snapshot))
+        return rows.select(*(filled(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields))
 
     def write_snapshot(self, parsed: DataFrame) -> str:
         name = f"files-{uuid.uuid4().hex}"

@@ -9,61 +9,61 @@ from sourceloom.operators.calls import calls_by_caller
 from sourceloom.operators.external import external_roots
 from sourceloom.operators.symbols import public_api, unique_names
 
-W, R = "com.shop.model.Widget", "com.shop.repo.WidgetRepository"
-M, S = "com.shop.repo.InMemoryWidgetRepository", "com.shop.service.WidgetService"
+T, S, F_ = "org.quay.control.TowerController", "org.quay.ship.Ship", "org.quay.ship.Ship.Flag"
+B, D, I = "org.quay.berth.Berthing", "org.quay.berth.DeepBerth", "org.quay.berth.TidalBerth"  # noqa: E741
 
 
-# -- the widget shop ------------------------------------------------------------
+# -- the harbour ------------------------------------------------------------
 
 
-def test_widget_dependencies(widgets):
-    assert values(widgets.dependency_edges, "src", "dst", "kinds") == [
-        (M, W, ["field", "param", "return"]), (M, R, ["implements"]), (R, W, ["param", "return"]),
-        (S, W, ["creates", "return"]), (S, R, ["field", "param"]),
+def test_harbour_dependencies(harbour):
+    """Flag is found by its unique name, Ship through a wildcard import; Slot means two types, so none."""
+    assert values(harbour.dependency_edges, "src", "dst", "kinds") == [
+        (B, S, ["param"]), (D, B, ["implements"]), (D, S, ["param"]), (I, B, ["implements"]), (I, S, ["param"]),
+        (T, B, ["field"]), (T, S, ["param"]), (S, F_, ["field"]),
     ]
-    assert values(dependencies.dependents_of(widgets.dependency_edges, R), "src") == [(M,), (S,)]
-    assert values(dependencies.dependencies_of(widgets.dependency_edges, S), "dst") == [(W,), (R,)]
+    assert values(dependencies.dependents_of(harbour.dependency_edges, B), "src") == [(D,), (I,), (T,)]
+    assert values(dependencies.dependencies_of(harbour.dependency_edges, I), "dst") == [(B,), (S,)]
 
 
-def test_widget_packages_and_importance(widgets):
-    assert values(widgets.package_edges, "src_package", "dst_package") == [
-        ("com.shop.repo", "com.shop.model"), ("com.shop.service", "com.shop.model"), ("com.shop.service", "com.shop.repo"),
+def test_harbour_packages_and_importance(harbour):
+    assert values(harbour.package_edges, "src_package", "dst_package") == [
+        ("org.quay.berth", "org.quay.ship"), ("org.quay.control", "org.quay.berth"), ("org.quay.control", "org.quay.ship"),
     ]
-    assert values(widgets.ranked, "fqn", "fan_in", "fan_out", "importance") == sorted(
-        [(W, 3, 0, 9), (R, 2, 1, 7), (M, 0, 2, 2), (S, 0, 2, 2)], key=repr
-    )
-    assert values(widgets.packages, "package", "class_count") == [("com.shop.model", 1), ("com.shop.repo", 2), ("com.shop.service", 1)]
+    ranks = {r.fqn: (r.fan_in, r.fan_out, r.importance) for r in harbour.ranked.collect()}
+    assert ranks == {B: (3, 1, 10), D: (0, 2, 2), I: (0, 2, 2), T: (0, 2, 2), S: (4, 1, 13), F_: (1, 0, 3), f"{I}.Slot": (0, 0, 0), "org.quay.crane.Slot": (0, 0, 0)}
+    assert values(harbour.packages, "package", "class_count") == [("org.quay.berth", 4), ("org.quay.control", 1), ("org.quay.crane", 1), ("org.quay.ship", 2)]
 
 
-def test_widget_layers_and_components(widgets):
-    assert dict(values(widgets.symbols, "fqn", "layer")) == {W: "domain", R: "data", M: "data", S: None}
-    assert values(widgets.component_edges, "src", "dst") == [("Data", "Domain"), ("Other", "Data"), ("Other", "Domain")]
-    assert values(widgets.external_roots, "root", "n_imports") == [("java.util", 8)]
-    assert widgets.external_systems.count() == 0
+def test_harbour_layers_and_components(harbour):
+    assert {fqn for fqn, layer in values(harbour.symbols, "fqn", "layer") if layer == "api"} == {T}
+    assert {r.fqn for r in unique_names(harbour.symbols).collect()} == {B, D, I, T, S, F_}
+    assert values(harbour.component_edges, "src", "dst") == [("API", "Other"), ("Client", "API"), ("Domain", "Other"), ("Other", "Domain")]
+    assert values(harbour.external_roots, "root", "n_imports") == [("java.time", 1), ("java.util", 1)]
+    assert harbour.external_systems.count() == 0
 
 
-def test_widget_calls_and_flow(widgets):
-    assert values(widgets.calls, "caller_class", "caller_method", "callee_class", "callee_method") == [
-        (S, "createWidget", R, "save"), (S, "findWidget", R, "findByName"), (S, "listWidgets", R, "findAll"),
+def test_harbour_calls_and_flow(harbour):
+    """Berthing has two implementors, so the flow stays at the interface; the logger is no class of the tree."""
+    assert values(harbour.calls, "caller_class", "caller_method", "callee_class", "callee_method") == [
+        (T, "dock", B, "admit"), (T, "dock", T, "note"), (T, "note", S, "callSign"), (S, "callSign", F_, "name"),
     ]
-    flows = widgets.flows.orderBy("flow_ord").collect()
-    assert [f.entry_method for f in flows] == ["createWidget", "findWidget", "listWidgets"]
-    assert [tuple(s) for s in flows[0].steps] == [(S, "createWidget", M, "save", None)]
-    assert flows[0].mermaid == "\n".join(
-        [
-            "sequenceDiagram",
-            "    participant Client as Client",
-            "    participant com_shop_service_WidgetService as WidgetService",
-            "    participant com_shop_repo_InMemoryWidgetRepository as InMemoryWidgetRepository",
-            "    Client->>com_shop_service_WidgetService: createWidget()",
-            "    com_shop_service_WidgetService->>com_shop_repo_InMemoryWidgetRepository: save()",
-            "    com_shop_service_WidgetService-->>Client: Widget",
-        ]
-    )
+    flow = harbour.flows.first()
+    assert (flow.entry_class, flow.entry_method, flow.entry_return) == (T, "dock", "String")
+    assert [tuple(s) for s in flow.steps] == [(T, "dock", B, "admit", "boolean"), (T, "dock", T, "note", "String"), (T, "note", S, "callSign", "String")]
+    lines = flow.mermaid.split("\n")
+    assert lines[0] == "sequenceDiagram" and [x.split(" as ")[1] for x in lines if " as " in x] == ["Client", "TowerController", "Berthing", "Ship"]
+    assert "    org_quay_control_TowerController->>org_quay_berth_Berthing: admit()" in lines
+
+
+def test_public_api(harbour):
+    assert {r.fqn for r in public_api(harbour.symbols).collect()} == {B, I, T, S, "org.quay.crane.Slot"}
 
 
-def test_public_api(widgets):
-    assert {r.fqn for r in public_api(widgets.symbols).collect()} == {W, R, M, S}
+def test_all_calls_of_a_method_are_kept(analyse):
+    a = analyse({"p/A.java": "package p; class A { B b; void f() { " + "".join(f"b.g{k}(); " for k in range(15)) + "} }", "p/B.java": "package p; class B { }"})
+    assert calls_by_caller(a.calls).agg(F.max("call_rank")).first()[0] == 15
+    assert calls_by_caller(a.calls, 12).count() == 12
 
 
 # -- resolution -------------------------------------------------------------------

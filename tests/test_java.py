@@ -174,3 +174,11 @@ def test_registry():
     assert language_for_extension(".java", ["java"]).name == "java" and language_for_extension(".py", ["java"]) is None
     with pytest.raises(ValueError, match="cobol"):
         get_language("cobol")
+
+
+def test_record_patterns_are_no_calls():
+    source = """package a; class A { void f(Object o) {
+        if (o instanceof Line(Point(int x, int y), Point q) && q.ok()) { run(x); }
+        switch (o) { case Line(Point(var a, var b), var c) -> go(a); case Point p -> stop(); default -> { } } } }"""
+    method = scan_java(source)["classes"][0]["methods"][0]
+    assert [(c["receiver"], c["method"]) for c in method["calls"]] == [("q", "ok"), (None, "run"), (None, "go"), (None, "stop")]

@@ -27,36 +27,36 @@ def wide(spark):
     spark.conf.unset("spark.sql.debug.maxToStringFields")
 
 
-def test_scans_read_what_they_need(widgets, wide):
-    read = read_columns(dependencies.references(widgets.classes))
+def test_scans_read_what_they_need(harbour, wide):
+    read = read_columns(dependencies.references(harbour.classes))
     assert "creates" in read and "return_type" in read
     for unread in ("doc_comment", "calls", "annotation", "start_line"):
         assert unread not in read, unread
-    read = read_columns(calls.receiver_references(widgets.call_sites))
+    read = read_columns(calls.receiver_references(harbour.call_sites))
     assert "receiver" in read
     for unread in ("doc_comment", "creates", "annotation", "return_type", "start_line"):
         assert unread not in read, unread
-    read = read_columns(widgets.packages)
+    read = read_columns(harbour.packages)
     assert "methods" not in read and "fields" not in read
 
 
-def test_groups_are_cut_before_the_shuffle(widgets):
+def test_groups_are_cut_before_the_shuffle(harbour):
     for df in (
-        first_per_group(widgets.edges, ["dst"], [F.col("src")], 40),
-        calls.calls_by_caller(widgets.calls, 12),
-        shortlist(widgets.ranked),
-        components.layer_breakdown(widgets.symbols),
+        first_per_group(harbour.edges, ["dst"], [F.col("src")], 40),
+        calls.calls_by_caller(harbour.calls, 12),
+        shortlist(harbour.ranked),
+        components.layer_breakdown(harbour.symbols),
     ):
         assert "WindowGroupLimit" in plan(df)
 
 
-def test_no_products_of_tables(widgets):
-    found = resolve.candidates(dependencies.references(widgets.classes))
+def test_no_products_of_tables(harbour):
+    found = resolve.candidates(dependencies.references(harbour.classes))
     for df in (
-        resolve.resolve(found, widgets.names, dependencies.REFERENCE),
-        resolve.resolve(found, widgets.names, dependencies.REFERENCE, hot=["F:Widget"]),
-        widgets.external_roots, widgets.external_systems, widgets.component_edges, widgets.cards, widgets.ranked,
-        mermaid.graph_lines(widgets.edges.select("src", "dst")), widgets.fingerprints,
+        resolve.resolve(found, harbour.names, dependencies.REFERENCE),
+        resolve.resolve(found, harbour.names, dependencies.REFERENCE, hot=["F:Ship"]),
+        harbour.external_roots, harbour.external_systems, harbour.component_edges, harbour.cards, harbour.ranked,
+        mermaid.graph_lines(harbour.edges.select("src", "dst")), harbour.fingerprints,
     ):
         text = plan(df)
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

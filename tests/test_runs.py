@@ -6,7 +6,7 @@ from io import BytesIO
 from urllib.error import URLError
 
 import pytest
-from conftest import WIDGETS, git, values
+from conftest import HARBOUR, git, values
 from pyspark.sql import functions as F
 
 from sourceloom import cli
@@ -20,7 +20,7 @@ from sourceloom.sources import worktree as wt
 from sourceloom.sources.state import State, StateStore
 from sourceloom.streaming.updates import start_updates
 
-SERVICE = "src/main/java/com/shop/service/WidgetService.java"
+TOWER = "quay/control/TowerController.java"
 
 
 # -- working tree -----------------------------------------------------------------
@@ -31,10 +31,10 @@ def test_listing(spark, worktree):
     for name in ("x.log", "new.java", "build/Out.java", "src/test/T.java", "FooTest.java", "AUDIT.java", "NOTES.md", "ünï.java"):
         (worktree / name).parent.mkdir(parents=True, exist_ok=True)
         (worktree / name).write_text("class X {}")
-    (worktree / SERVICE).unlink()  # still tracked, but no file any more
+    (worktree / TOWER).unlink()  # still tracked, but no file any more
     listed = wt.list_files(spark, worktree, load_config().exclude_patterns)
     paths = {r.path for r in listed.collect()}
-    assert paths == set(WIDGETS) - {SERVICE} | {".gitignore", "new.java", "NOTES.md", "ünï.java"}
+    assert paths == set(HARBOUR) - {TOWER} | {".gitignore", "new.java", "NOTES.md", "ünï.java"}
     sources = wt.source_files(listed, ["java"])
     assert {r.path for r in sources.collect()} == paths - {".gitignore", "NOTES.md"}
     contents = dict(values(wt.read_contents(sources, worktree), "path", "content"))
@@ -83,19 +83,19 @@ def test_name_status():
 
 def test_changes_since(spark, worktree):
     first = wt.current_commit(worktree)
-    git(worktree, "mv", SERVICE, "Moved.java")
-    (worktree / "src/main/java/com/shop/model/Widget.java").unlink()
+    git(worktree, "mv", TOWER, "Moved.java")
+    (worktree / "quay/ship/Ship.java").unlink()
     (worktree / "untracked.java").write_text("class U {}")
     rows = wt.changes_since(spark, worktree, first)
     assert values(rows, "status", "path", "old_path") == [
-        ("D", "src/main/java/com/shop/model/Widget.java", None), ("R", "Moved.java", SERVICE),
+        ("D", "quay/ship/Ship.java", None), ("R", "Moved.java", TOWER),
     ]
     assert values(changes.changed_paths(rows), "path") == [("Moved.java",)]
-    assert values(changes.removed_paths(rows), "path") == [("src/main/java/com/shop/model/Widget.java",), (SERVICE,)]
+    assert values(changes.removed_paths(rows), "path") == [(TOWER,), ("quay/ship/Ship.java",)]
     assert wt.changes_since(spark, worktree, "").count() == 0
-    below = worktree / "src/main"
-    assert values(wt.changes_since(spark, below, first), "path") == [("java/com/shop/model/Widget.java",), ("java/com/shop/service/WidgetService.java",)]
-    assert {r.path for r in wt.list_files(spark, below).collect()} == {"java/com/shop/repo/WidgetRepository.java", "java/com/shop/repo/InMemoryWidgetRepository.java"}
+    below = worktree / "quay"
+    assert values(wt.changes_since(spark, below, first), "path") == [("control/TowerController.java",), ("ship/Ship.java",)]
+    assert {r.path for r in wt.list_files(spark, below).collect()} == {"berth/Berthing.java", "berth/DeepBerth.java", "berth/TidalBerth.java", "crane/Slot.java"}
 
 
 def test_update_plan(spark):
@@ -224,18 +224,18 @@ def test_runs_over_a_changing_tree(spark, worktree, echo):
     provider = echo()
     runner = Runner(spark, worktree, config, provider)
     first = runner.update()
-    assert (first.mode, first.files_scanned, first.files_parsed) == ("full (no prior state)", 4, 4)
+    assert (first.mode, first.files_scanned, first.files_parsed) == ("full (no prior state)", 6, 6)
     assert [(r.filename, r.written, r.reason) for r in first.doc_results] == [(d, True, "initial") for d in config.docs]
     readme = worktree / "docs/generated/README.md"
     assert readme.read_text().startswith("text 1\n\n---\n") and len(provider.prompts) == 3
 
     again = runner.update()
-    assert again.message and not again.doc_results and again.files_reused == 4
+    assert again.message and not again.doc_results and again.files_reused == 6
 
-    body = worktree / "src/main/java/com/shop/model/Widget.java"
-    body.write_text(body.read_text().replace("return price;", "return price + 0;"))
+    body = worktree / "quay/ship/Ship.java"
+    body.write_text(body.read_text().replace("+ draught;", "+ draught + 0;"))
     edited = runner.update()
-    assert (edited.files_parsed, edited.files_reused) == (1, 3)
+    assert (edited.files_parsed, edited.files_reused) == (1, 5)
     assert {r.reason for r in edited.doc_results} == {"unchanged"} and len(provider.prompts) == 3
 
     # an untracked file, and then an edit of it, which the version history never lists
@@ -245,15 +245,24 @@ def test_runs_over_a_changing_tree(spark, worktree, echo):
         "README.md": "changed", "ARCHITECTURE.md": "changed", "SEQUENCE.md": "unchanged",
     }
     extra.write_text("package x; public class Extra { int n; }")
-    assert runner.update().files_parsed == 2  # with Widget.java, which still differs from the commit
+    assert runner.update().files_parsed == 2  # with Ship.java, which still differs from the commit
 
-    (worktree / SERVICE).unlink()
+    (worktree / TOWER).unlink()
     gone = runner.update()
-    assert (gone.files_removed, gone.files_scanned) == (1, 4)
+    assert (gone.files_removed, gone.files_scanned) == (1, 6)
     assert {r.filename: r.reason for r in gone.doc_results}["SEQUENCE.md"] == "changed"
     assert StateStore(spark, worktree / ".sourceloom").load().complete
 
 
+def test_an_older_snapshot_lacks_columns(spark, tmp_path):
+    """Its lists and maps read as empty ones, also inside classes."""
+    store = StateStore(spark, tmp_path)
+    spark.sql("SELECT 'A.java' AS path, 'h' AS content_hash, array(named_struct('name', 'A')) AS classes").write.parquet(str(tmp_path / "old"))
+    row = store.parsed(State(snapshot="old")).first()
+    assert row.path == "A.java" and row.imports == [] and row.parse_errors == []
+    assert row.classes[0].name == "A" and row.classes[0].methods == [] and row.classes[0].fields == []
+
+
 def test_failing_provider_keeps_parsed_files_and_is_made_up_for(spark, worktree, echo):
     config = load_config(overrides={"docs": ["SEQUENCE.md", "UNKNOWN.md"]})
     with pytest.raises(ProviderError):
@@ -261,7 +270,7 @@ def test_failing_provider_keeps_parsed_files_and_is_made_up_for(spark, worktree,
     state = StateStore(spark, worktree / ".sourceloom").load()
     assert not state.complete and state.snapshot
     summary = Runner(spark, worktree, config, echo()).update()
-    assert [(r.filename, r.reason) for r in summary.doc_results] == [("SEQUENCE.md", "initial")] and summary.files_reused == 4
+    assert [(r.filename, r.reason) for r in summary.doc_results] == [("SEQUENCE.md", "initial")] and summary.files_reused == 6
 
 
 def test_scratch_deletes_its_own_tables_only(spark):
@@ -277,8 +286,8 @@ def test_command_line(spark, worktree, tmp_path, echo, capsys):
     (worktree / "Bad.java").write_text("class {")
     assert cli.run(["scan", str(worktree)], spark) == 0
     out = capsys.readouterr().out
-    assert "Files scanned:       5" in out and "Types discovered:" in out and "  - Bad.java: ['syntax error" in out
-    assert "com.shop.repo (2 types)\n  - class InMemoryWidgetRepository (3 methods, 2 internal deps)" in out
+    assert "Files scanned:       7" in out and "Types discovered:" in out and "  - Bad.java: ['syntax error" in out
+    assert "org.quay.ship (2 types)\n  - class Ship (1 methods, 1 internal deps)" in out
     assert cli.run(["generate", str(tmp_path)], spark) == 1
     assert "not inside a Git working tree" in capsys.readouterr().err
     assert cli.run(["update", str(worktree)], spark, echo(available=False)) == 1

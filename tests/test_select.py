@@ -54,6 +54,20 @@ def test_fit_to_budget(spark):
     assert kept(force_first=False) == [("b", 1), ("b", 2)]
 
 
+def test_costs_of_nothing_fit_without_limit(spark):
+    df = spark.range(3000).select(F.lit("a").alias("g"), "id", F.when(F.col("id") == 2999, 5).otherwise(0).cast("bigint").alias("cost"))
+    assert fit_to_budget(df, ["g"], [F.asc("id")], "cost", 4).count() == 2999
+    two = spark.range(20_000).select(F.lit("a").alias("g"), "id", F.lit(2).cast("bigint").alias("cost"))
+    assert fit_to_budget(two, ["g"], [F.asc("id")], "cost", 40_000).count() == 20_000
+
+
+@pytest.mark.parametrize("cost", ["-1", "CAST(NULL AS BIGINT)"])
+def test_costs_below_nothing_are_errors(spark, cost):
+    df = spark.range(3).select(F.lit("a").alias("g"), "id", F.expr(cost).cast("bigint").alias("cost"))
+    with pytest.raises(Exception, match="NULL or below"):
+        fit_to_budget(df, ["g"], [F.asc("id")], "cost", 4).collect()
+
+
 def test_first_per_group_above_the_native_limit(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("g"), "id")
     got = first_per_group(df, ["g"], [F.desc("id")], 1500)
