@@ -63,70 +63,91 @@ class Lattice:
             node[""] = i
         self.single = {p for p in pieces if len(p) == 1}
 
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of all pieces in `word`, by start; a character that is no piece falls back to its bytes: piece -1."""
-        out, n, root = [], len(word), self.root
-        for s in range(n):
-            node = root
-            if word[s] not in self.single:
-                out.append((s, s + 1, -1))
-            for e in range(s, n):
-                node = node.get(word[e])
-                if node is None:
-                    break
-                if "" in node:
-                    out.append((s, e + 1, node[""]))
-        return out
-
     def _bytes(self, c: str) -> list[int]:
         return [self.n + b for b in c.encode("utf-8", "replace")]
 
+    def _weight(self, i: int, c: str, weights: list[float]) -> float:
+        return weights[i] if i >= 0 else sum(weights[j] for j in self._bytes(c))
+
+    # The walk from each start along the trie is written out in all three: it is what their time goes into.
+
     def log_likelihood(self, word: str, weights: list[float]) -> float:
         """Natural logarithm of the probability of `word`, over all ways to cut it into pieces."""
-        n = len(word)
+        n, root, single = len(word), self.root, self.single
         incoming: list[list[float]] = [[] for _ in range(n + 1)]
-        at, here = -1, 0.0
-        for s, e, i in self.arcs(word):
-            if s != at:
-                at, here = s, _log_sum(incoming[s]) if s else 0.0
-                incoming[s] = []
-            incoming[e].append(here + (weights[i] if i >= 0 else sum(weights[j] for j in self._bytes(word[s]))))
+        incoming[0].append(0.0)
+        for s in range(n):
+            here, incoming[s] = _log_sum(incoming[s]), []
+            if word[s] not in single:
+                incoming[s + 1].append(here + self._weight(-1, word[s], weights))
+            node, e = root, s
+            while e < n:
+                node = node.get(word[e])
+                if node is None:
+                    break
+                e += 1
+                i = node.get("")
+                if i is not None:
+                    incoming[e].append(here + weights[i])
         return _log_sum(incoming[n])
 
-    def expect(self, word: str, times: int, weights: list[float], probabilities: list[float], expected) -> None:
-        """Adds to `expected` how often each piece occurs in `times` such words on average."""
-        arcs, n = self.arcs(word), len(word)
+    def expect(self, word: str, weights: list[float], probabilities: list[float], expected) -> None:
+        """Adds to `expected` how often each piece occurs in `word` on average over its cuts."""
+        n, root, single = len(word), self.root, self.single
         if n > LONG:
-            return self._expect_long(word, arcs, times, weights, expected)
-        ps = [probabilities[i] if i >= 0 else math.prod(probabilities[j] for j in self._bytes(word[s])) for s, _, i in arcs]
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        forward[0] = backward[n] = 1.0
-        for (s, e, _), p in zip(arcs, ps):
-            forward[e] += forward[s] * p
-        for (s, e, _), p in zip(reversed(arcs), reversed(ps)):
-            backward[s] += backward[e] * p
+            return self._expect_in_logarithms(word, weights, expected)
+        forward = [0.0] * (n + 1)
+        forward[0] = 1.0
+        arcs = []
+        for s in range(n):
+            here = forward[s]
+            if word[s] not in single:
+                p = math.prod(probabilities[j] for j in self._bytes(word[s]))
+                forward[s + 1] += here * p
+                arcs.append((s, s + 1, -1, p))
+            node, e = root, s
+            while e < n:
+                node = node.get(word[e])
+                if node is None:
+                    break
+                e += 1
+                i = node.get("")
+                if i is not None:
+                    p = probabilities[i]
+                    forward[e] += here * p
+                    arcs.append((s, e, i, p))
         if forward[n] < 1e-280:
-            return self._expect_long(word, arcs, times, weights, expected)
-        share = times / forward[n]
-        for (s, e, i), p in zip(arcs, ps):
-            x = forward[s] * p * backward[e] * share
+            return self._expect_in_logarithms(word, weights, expected)
+        backward = [0.0] * (n + 1)
+        backward[n] = 1.0 / forward[n]
+        for s, e, i, p in reversed(arcs):
+            x = p * backward[e]
+            backward[s] += x
             if i >= 0:
-                expected[i] += x
+                expected[i] += x * forward[s]
             else:
                 for j in self._bytes(word[s]):
-                    expected[j] += x
+                    expected[j] += x * forward[s]
 
-    def _expect_long(self, word, arcs, times, weights, expected) -> None:
-        n = len(word)
-        ws = [weights[i] if i >= 0 else sum(weights[j] for j in self._bytes(word[s])) for s, _, i in arcs]
+    def _expect_in_logarithms(self, word, weights, expected) -> None:
+        n, root = len(word), self.root
         forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
         forward[0] = backward[n] = 0.0
-        for (s, e, _), w in zip(arcs, ws):
-            forward[e] = _log_add(forward[e], forward[s] + w)
-        for (s, e, _), w in zip(reversed(arcs), reversed(ws)):
+        arcs = []
+        for s in range(n):
+            ends = [] if word[s] in self.single else [(s + 1, -1)]
+            node, e = root, s
+            while e < n and (node := node.get(word[e])) is not None:
+                e += 1
+                if "" in node:
+                    ends.append((e, node[""]))
+            for e, i in ends:
+                w = self._weight(i, word[s], weights)
+                forward[e] = _log_add(forward[e], forward[s] + w)
+                arcs.append((s, e, i, w))
+        for s, e, i, w in reversed(arcs):
             backward[s] = _log_add(backward[s], backward[e] + w)
-        for (s, e, i), w in zip(arcs, ws):
-            x = times * math.exp(forward[s] + w + backward[e] - forward[n])
+            x = math.exp(forward[s] + w + backward[e] - forward[n])
             for j in [i] if i >= 0 else self._bytes(word[s]):
                 expected[j] += x
 
@@ -200,7 +221,7 @@ def fit(words: DataFrame, pieces: list[str], prior: np.ndarray, rounds: int = RO
             expected = [0.0] * len(ws)
             for batch in batches:
                 for word in batch.column("word").to_pylist():
-                    lattice.expect(MARK + word.decode("utf-8", "replace"), 1, ws, ps, expected)
+                    lattice.expect(MARK + word.decode("utf-8", "replace"), ws, ps, expected)
             x = np.array(expected)
             some = np.nonzero(x)[0]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(x[some])], names=["piece", "expected"])
