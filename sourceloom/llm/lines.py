@@ -31,7 +31,12 @@ def later_runs(runs: DataFrame) -> DataFrame:
     runs = written(runs, "runs")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key1", "key2", "begin")
     repeated = runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h1", "h2", "first")
-    later = runs.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select("key1", "key2", "begin", "end")
+    return stretches(runs.join(repeated, ["h1", "h2"]).filter(place != F.col("first")))
+
+
+def stretches(later: DataFrame) -> DataFrame:
+    """(key1, key2, stretches) of runs (key1, key2, begin, end) whose ends don't fall as begins rise."""
+    later = later.select("key1", "key2", "begin", "end")
     by_doc = later.groupBy("key1", "key2").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("r"))
     return by_doc.select("key1", "key2", merged(F.col("r")).alias("stretches"))
 

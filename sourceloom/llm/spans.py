@@ -14,14 +14,15 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sourceloom.llm.common import fresh, row_key, with_columns_from
-from sourceloom.llm.lines import later_runs
+from sourceloom.llm.lines import stretches
 
 LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 25, 12
+HELD_RUNS = 100_000  # runs that a task compares among themselves before it passes them on
 
 _WORD = re.compile(r"\S+")
 _STOPS = (".", "!", "?")
@@ -60,33 +61,62 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def span_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs of all documents as `later_runs` takes them, in characters."""
+    """Runs of all documents, in characters: (id, key1, key2, begin, end, h1, h2, later).
+
+    later: the same run stands at an earlier place among the last HELD_RUNS that the task has
+    read, so it can't be the first one.  That leaves one row for each content and stretch of a
+    task which may be; a content that a third of all documents have is cut down where it is read.
+    """
     k1, k2 = row_key(doc_id, text)
     rows = docs.select(F.col(doc_id).alias("id"), k1.alias("key1"), k2.alias("key2"), F.col(text).alias("text"))
-    schema = T.StructType([rows.schema["id"], *(T.StructField(n, T.LongType()) for n in ("key1", "key2")), *(T.StructField(n, T.IntegerType()) for n in ("begin", "end")), *(T.StructField(n, T.LongType()) for n in ("h1", "h2"))])
+    schema = T.StructType([rows.schema["id"], *(T.StructField(n, T.LongType()) for n in ("key1", "key2")), *(T.StructField(n, T.IntegerType()) for n in ("begin", "end")), *(T.StructField(n, T.LongType()) for n in ("h1", "h2")), T.StructField("later", T.BooleanType())])
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches):
+        first: dict[tuple, tuple] = {}  # content -> (place, number of its row among those held)
+        ids, keys1, keys2, found, later = [], [], [], [], []
+
+        def out(id_type):
+            columns = list(zip(*found)) if found else [[]] * 4
+            arrays = [pa.array(ids, id_type), pa.array(keys1, pa.int64()), pa.array(keys2, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(later, pa.bool_())]
+            for held in (first, ids, keys1, keys2, found, later):
+                held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        kind = None
         for batch in batches:
-            source, found = [], []
-
-            def out():
-                part = batch.take(pa.array(source, pa.int64()))
-                columns = list(zip(*found)) if found else [[]] * 4
-                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
-                return pa.RecordBatch.from_arrays([part.column("id"), part.column("key1"), part.column("key2"), *arrays], names=schema.names)
-
-            for i in range(batch.num_rows):
-                mine = runs(batch.column("text")[i].as_py() or "")
-                source += [i] * len(mine)
-                found += mine
-                if len(found) > 50_000:
-                    yield out()
-                    source, found = [], []
-            yield out()
+            kind = batch.column("id").type
+            names = zip(*(batch.column(c).to_pylist() for c in ("id", "key1", "key2")))
+            for i, (name, key1, key2) in enumerate(names):
+                for mine in runs(batch.column("text")[i].as_py() or ""):
+                    place, n = ((name is None, name, key1, key2, mine[0]), len(found))
+                    before = first.get(mine[2:])
+                    if before is None or place < before[0]:
+                        first[mine[2:]] = (place, n)
+                        if before is not None:
+                            later[before[1]] = True
+                    ids.append(name), keys1.append(key1), keys2.append(key2), found.append(mine)
+                    later.append(before is not None and first[mine[2:]][1] != n)
+                if len(found) > HELD_RUNS:
+                    yield out(kind)
+        if found:
+            yield out(kind)
 
     return rows.mapInArrow(run, schema)
 
 
+def later_spans(found: DataFrame) -> DataFrame:
+    """`stretches` of all runs that are not the first of their content, by (id, key1, key2, begin), null ids last.
+
+    Rows known to be later need no comparison and are dealt evenly; the others meet by content, at
+    most one for each stretch of a task.
+    """
+    apart = F.when(F.col("later"), F.pmod(F.xxhash64("key1", "begin"), F.lit(1 << 20)) + 1).otherwise(0).alias("apart")
+    order = [F.col("id").isNull(), "id", "key1", "key2", "begin"]
+    number = F.row_number().over(Window.partitionBy("h1", "h2", "apart").orderBy(*order))
+    return stretches(found.select("*", apart).withColumn("number", number).filter("later or number > 1"))
+
+
 def cut(text: str, stretches: list[dict] | None) -> tuple[str, int]:
     """`text` without the stretches, and the number of words in them."""
     if not stretches:
@@ -110,7 +140,7 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
     docs = docs.drop(removed)
     a, b, name, both = fresh("_k1", docs), fresh("_k2", docs), fresh("_stretches", docs), fresh("_cut", docs)
     k1, k2 = row_key(doc_id, text)
-    covered = later_runs(span_runs(docs, doc_id, text)).select(F.col("key1").alias(a), F.col("key2").alias(b), F.col("stretches").alias(name))
+    covered = later_spans(span_runs(docs, doc_id, text)).select(F.col("key1").alias(a), F.col("key2").alias(b), F.col("stretches").alias(name))
     joined = docs.withColumn(a, k1).withColumn(b, k2).join(covered, [a, b], "left").drop(a, b)
     # Only texts with something to cut pass through Python.
     whole = joined.filter(F.col(name).isNull()).drop(name).withColumn(removed, F.lit(0).cast("long"))
