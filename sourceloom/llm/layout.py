@@ -68,11 +68,13 @@ def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
-    at = 0
+    at = open_p = 0
 
     def end(tags, barrier) -> None:
+        nonlocal open_p
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
+                open_p -= sum(n.tag == "p" for n in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in barrier:
@@ -96,7 +98,7 @@ def build(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not open_p:
                 stack[-1].children.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
@@ -110,7 +112,7 @@ def build(page: str) -> Node:
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             stack.pop()
-        if tag in CLOSES_P and any(n.tag == "p" for n in stack[-64:]):
+        if tag in CLOSES_P and open_p:
             end({"p"}, SCOPE)
         if tag in ENDS:
             end(*ENDS[tag])
@@ -131,6 +133,7 @@ def build(page: str) -> Node:
             at = close.end() if close else len(page)
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "use")):
             stack.append(node)
+            open_p += tag == "p"
 
 
 class Writer:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,7 +144,7 @@ def _describe(points: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             vectors, near = batch.column("vector"), [None] * batch.num_rows
-            dims = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
                 mine = np.nonzero(dims == d)[0]
                 some = pivots.value.get(int(d))

@@ -150,6 +150,11 @@ def test_layout_survives(page):
     assert isinstance(layout.render(page), str)
 
 
+def test_layout_ends_paragraphs_however_deep():
+    for depth in (1, 63, 64, 500):
+        assert layout.render("<p>a" + "<i>" * depth + "x<div>b</div>c<p>d</p></p>e") == "ax\n\nb\nc\n\nd\n\ne"
+
+
 def test_layout_rows(spark):
     pages = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old"), (3, "", None)], "page_id long, html string, text string")
     rows = {r["page_id"]: r["text"] for r in layout.extract(pages).collect()}
