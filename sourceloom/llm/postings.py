@@ -79,7 +79,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     windows = written(item_windows(benchmark, item_id, item_text, window), "windows")
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
     tokens = docs.select(F.explode(words(F.col(text))).alias("term"))
-    counts = tokens.join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # Counted before they are joined: a join that a sum by the same key follows would take all of a frequent word into one task.
+    counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term")
     anchored = written(anchors(windows, counts), "anchors")
     reach = F.when(F.size(F.array_distinct("rarest")) >= NEAR_TERMS, F.lit(slop)).otherwise(F.lit(0))
     terms = anchored.groupBy("term").agg(F.max(F.greatest("at", reach)).alias("before"), F.max(F.greatest(F.size("words") - 1 - F.col("at"), reach)).alias("after"))
