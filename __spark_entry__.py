@@ -13,6 +13,7 @@ import os
 import re
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -694,11 +695,21 @@ diff AS (SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL
 
 
 def _change_set(spark, sf_dir):
-    """The change set version control would list: moved-in items count as renames of nothing, so as added."""
-    old, new = _snapshots(spark, sf_dir)
-    codes = F.when(F.col("change") == "added", "A").when(F.col("change") == "removed", "D").otherwise("M")
-    rows = changes.compare_snapshots(old, new).filter("change <> 'unchanged'")
-    return rows.select(codes.alias("status"), "path", F.lit(None).cast("string").alias("old_path"))
+    """What version control lists, whatever the contents say: documents of good quality as modified, toxic ones as deleted."""
+    marked = table(spark, sf_dir, "labels").filter("toxic = 1 or quality = 1")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(marked, "doc_id")
+    status = F.when(F.col("toxic") == 1, "D").otherwise("M")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    return rows.select(status.alias("status"), path.alias("path"), F.lit(None).cast("string").alias("old_path"))
+
+
+_ACTIONS = (
+    _SNAPSHOTS
+    + """, listed AS (SELECT source || '/' || doc_id AS path FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic IS DISTINCT FROM 1),
+act AS (SELECT path, CASE change WHEN 'removed' THEN 'remove' WHEN 'unchanged' THEN 'reuse' ELSE 'parse' END AS action,
+        change IN ('added', 'modified') OR change = 'unchanged' AND path IN (SELECT path FROM listed) AS in_change_set FROM diff)
+"""
+)
 
 
 @query(_SNAPSHOTS + "SELECT path, change FROM diff")
@@ -723,20 +734,16 @@ def change_set_paths(spark, sf_dir):
     return changed.unionByName(changes.removed_paths(rows).withColumn("side", F.lit("removed")))
 
 
-@query(
-    _SNAPSHOTS
-    + """SELECT path, CASE change WHEN 'removed' THEN 'remove' WHEN 'unchanged' THEN 'reuse' ELSE 'parse' END AS action,
-change IN ('added', 'modified') AS in_change_set FROM diff"""
-)
+@query(_ACTIONS + "SELECT path, action, in_change_set FROM act")
 def update_actions(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
     return changes.update_plan(old, new, _change_set(spark, sf_dir))
 
 
 @query(
-    _SNAPSHOTS
-    + """SELECT count(*) FILTER (change <> 'removed') AS files_scanned, count(*) FILTER (change IN ('added', 'modified')) AS files_parsed,
-count(*) FILTER (change = 'removed') AS files_removed, count(*) FILTER (change = 'unchanged') AS files_reused FROM diff"""
+    _ACTIONS
+    + """SELECT count(*) FILTER (action <> 'remove') AS files_scanned, count(*) FILTER (in_change_set) AS files_parsed,
+count(*) FILTER (action = 'remove') AS files_removed, count(*) FILTER (action <> 'remove' AND NOT in_change_set) AS files_reused FROM act"""
 )
 def update_counters(spark, sf_dir):
     return changes.run_counters(update_actions(spark, sf_dir))
@@ -760,6 +767,26 @@ def fingerprint_decisions(spark, sf_dir):
     return regeneration(after, analysis(spark, sf_dir).fingerprints).select("doc", "reason")
 
 
+@query(
+    _TREE
+    + """, indebted AS (SELECT flow_ord FROM entry JOIN supplier USING (s_suppkey) WHERE s_acctbal < 0),
+doc AS (SELECT unnest(['README.md', 'ARCHITECTURE.md', 'SEQUENCE.md']) AS doc)
+SELECT 'edited' AS run, doc, CASE WHEN doc = 'SEQUENCE.md' AND EXISTS (FROM indebted) OR doc = 'ARCHITECTURE.md' AND EXISTS (FROM indebted WHERE flow_ord = 1)
+  THEN 'changed' ELSE 'unchanged' END AS reason FROM doc
+UNION ALL SELECT 'first', doc, 'initial' FROM doc UNION ALL SELECT 'forced', doc, 'forced' FROM doc"""
+)
+def route_edit_decisions(spark, sf_dir):
+    """What to write after the routes of suppliers with debts got another path: only flows that show one change."""
+    name = F.concat(F.lit("src/main/java/com/acme/supplier/SupplierApi"), F.col("s_suppkey").cast("string"), F.lit(".java"))
+    indebted = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(name.alias("path"), F.lit(True).alias("indebted"))
+    other = F.replace(F.col("content").cast("string"), F.lit('@GetMapping("/'), F.lit('@GetMapping("/debts/')).cast("binary")
+    edited = star_corpus(spark, sf_dir).join(indebted, "path", "left")
+    edited = edited.select("path", F.when(F.col("indebted"), other).otherwise(F.col("content")).alias("content"))
+    before, after = analysis(spark, sf_dir).fingerprints, Analysis(parse_files(spread(edited))).fingerprints
+    runs = {"edited": regeneration(after, before), "first": regeneration(after, None), "forced": regeneration(after, before, force=True)}
+    return reduce(DataFrame.unionByName, (d.select(F.lit(run).alias("run"), "doc", "reason") for run, d in runs.items()))
+
+
 @query(_TREE + """SELECT package, count(*) OVER (PARTITION BY package) AS class_count, 'class' AS kind, name, n_methods, fan_out
 FROM cls JOIN ranked USING (fqn)""")
 def scan_report(spark, sf_dir):

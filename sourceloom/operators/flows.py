@@ -1,8 +1,8 @@
 """Request flows: entry points, bounded traces through the call graph, diagrams.
 
 Sizes here follow from the limits, not from the data: at most MAX_FLOWS
-entries, MAX_STEPS calls followed per method and MAX_DEPTH + 1 levels.  Tables
-that grow with the tree (calls, methods, classes) are only ever scanned
+entries, and calls that one of MAX_STEPS steps can be in MAX_DEPTH + 1 levels.
+Tables that grow with the tree (calls, methods, classes) are only ever scanned
 against such bounded sides, which are broadcast.
 """
 
@@ -65,64 +65,71 @@ def sole_implementors(resolved_implements: DataFrame) -> DataFrame:
     )
 
 
-def reachable_calls(entries: DataFrame, edges: DataFrame, redirects: DataFrame) -> DataFrame:
+def reachable_calls(entries: DataFrame, edges: DataFrame, redirects: DataFrame, steps: int = MAX_STEPS, depth: int = MAX_DEPTH) -> DataFrame:
     """Per flow, the calls a trace from its entry could take, callees redirected to sole implementors.
 
-    One level per round; a round reads `edges` once against the broadcast frontier.
+    One level per round; a round reads `edges` once against the broadcast frontier.  A trace
+    takes all earlier calls of a method before a later one, so a call is step number (sum of the ranks
+    along its path) at the earliest; beyond `steps` it is left out.  So a flow has at most as many
+    paths as sums of `depth` + 1 ranks stay within `steps` (792 for 12 and 5), however many calls methods have.
+    A method is followed again only if it is reached with a smaller sum than before.
     """
-    frontier = entries.select(
-        "flow_ord", F.col("entry_class").alias(_CALLER[0]), F.col("entry_method").alias(_CALLER[1])
-    )
+    method = ["flow_ord", *_CALLER]
+    frontier = entries.select("flow_ord", F.col("entry_class").alias(_CALLER[0]), F.col("entry_method").alias(_CALLER[1]), F.lit(0).alias("spent")).distinct()
     reached, seen = None, frontier
-    for level in range(MAX_DEPTH + 1):
-        calls = calls_by_caller(edges.join(F.broadcast(frontier.select(*_CALLER).distinct()), _CALLER, "left_semi"), MAX_STEPS)
-        calls = frontier.join(calls, _CALLER).select("flow_ord", "call_rank", *_CALLER, *_CALLEE)
+    for level in range(depth + 1):
+        calls = calls_by_caller(edges.join(F.broadcast(frontier.select(*_CALLER).distinct()), _CALLER, "left_semi"), steps)
+        calls = frontier.join(calls, _CALLER).withColumn("spent", (F.col("spent") + F.col("call_rank")).cast("int")).filter(F.col("spent") <= steps)
         names = calls.select(F.col("callee_class").alias("interface")).distinct()
         bound = redirects.join(F.broadcast(names), "interface").select(F.col("interface").alias("callee_class"), "implementor")
         calls = calls.join(F.broadcast(bound), "callee_class", "left").withColumn(
             "callee_class", F.coalesce("implementor", "callee_class")
         )
-        calls = written(calls.select("flow_ord", "call_rank", *_CALLER, *_CALLEE), f"calls-level-{level}")
+        calls = written(calls.select("flow_ord", "call_rank", *_CALLER, *_CALLEE, "spent"), f"calls-level-{level}")
         reached = calls if reached is None else reached.unionByName(calls)
         if calls.isEmpty():
             break
-        target = calls.select("flow_ord", *[F.col(c).alias(k) for c, k in zip(_CALLEE, _CALLER)]).distinct()
-        frontier = target.join(F.broadcast(seen), ["flow_ord", *_CALLER], "left_anti")
+        target = calls.filter(F.col("spent") < steps).groupBy("flow_ord", *[F.col(c).alias(k) for c, k in zip(_CALLEE, _CALLER)]).agg(F.min("spent").alias("spent"))
+        before = seen.groupBy(*method).agg(F.min("spent").alias("before"))
+        frontier = target.join(F.broadcast(before), method, "left").filter("before is null or spent < before").drop("before")
         seen = seen.unionByName(frontier)
-    return reached
-
-
-def _trace(flow: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first walk of one flow: a method is expanded once, to a depth and a number of steps."""
-    follow: dict = {}
-    for row in flow[flow["call_rank"] > 0].sort_values("call_rank").itertuples():
-        follow.setdefault((row.caller_class, row.caller_method), []).append(
-            (row.caller_class, row.caller_method, row.callee_class, row.callee_method)
-        )
-    start = next(flow[flow["call_rank"] == 0].itertuples())
-    entry = (start.caller_class, start.caller_method)
-    steps, expanded, open_calls = [], {entry}, [iter(follow.get(entry, ()))]
-    while open_calls and len(steps) < MAX_STEPS:
-        step = next(open_calls[-1], None)
-        if step is None:
-            open_calls.pop()
-            continue
-        steps.append(step)
-        if len(open_calls) <= MAX_DEPTH and len(steps) < MAX_STEPS and step[2:] not in expanded:
-            expanded.add(step[2:])
-            open_calls.append(iter(follow.get(step[2:], ())))
-    out = pd.DataFrame(steps, columns=[*_CALLER, *_CALLEE])
-    return out.assign(flow_ord=start.flow_ord, step_ord=range(1, len(out) + 1))
-
-
-def trace_flows(entries: DataFrame, reached: DataFrame) -> DataFrame:
-    """flow_ord, step_ord and the calls of every flow; one flow per task."""
+    return reached.drop("spent").distinct()
+
+
+def _tracer(steps_at_most: int, depth: int):
+    def trace(flow: pd.DataFrame) -> pd.DataFrame:
+        """Depth-first walk of one flow: a method is expanded once, to a depth and a number of steps."""
+        follow: dict = {}
+        for row in flow[flow["call_rank"] > 0].sort_values("call_rank").itertuples():
+            follow.setdefault((row.caller_class, row.caller_method), []).append(
+                (row.caller_class, row.caller_method, row.callee_class, row.callee_method)
+            )
+        start = next(flow[flow["call_rank"] == 0].itertuples())
+        entry = (start.caller_class, start.caller_method)
+        steps, expanded, open_calls = [], {entry}, [iter(follow.get(entry, ()))]
+        while open_calls and len(steps) < steps_at_most:
+            step = next(open_calls[-1], None)
+            if step is None:
+                open_calls.pop()
+                continue
+            steps.append(step)
+            if len(open_calls) <= depth and len(steps) < steps_at_most and step[2:] not in expanded:
+                expanded.add(step[2:])
+                open_calls.append(iter(follow.get(step[2:], ())))
+        out = pd.DataFrame(steps, columns=[*_CALLER, *_CALLEE])
+        return out.assign(flow_ord=start.flow_ord, step_ord=range(1, len(out) + 1))
+
+    return trace
+
+
+def trace_flows(entries: DataFrame, reached: DataFrame, steps: int = MAX_STEPS, depth: int = MAX_DEPTH) -> DataFrame:
+    """flow_ord, step_ord and the calls of every flow; one flow per task.  `reached` is for as many `steps` and `depth`."""
     starts = entries.select(
         "flow_ord", F.lit(0).alias("call_rank"), F.col("entry_class").alias(_CALLER[0]), F.col("entry_method").alias(_CALLER[1]),
         *[F.lit("").alias(c) for c in _CALLEE],
     )
     rows = starts.unionByName(reached)
-    return rows.groupBy("flow_ord").applyInPandas(_trace, f"{_STEP}, flow_ord int, step_ord int")
+    return rows.groupBy("flow_ord").applyInPandas(_tracer(steps, depth), f"{_STEP}, flow_ord int, step_ord int")
 
 
 def class_details(rows: DataFrame, syms: DataFrame, names: DataFrame) -> DataFrame:

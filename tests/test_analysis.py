@@ -359,3 +359,37 @@ def test_component_graph_has_client_and_systems(analyse):
     assert values(a.component_edges, "src", "dst") == [
         ("API", "HTTP / REST Client"), ("API", "Service"), ("Client", "API"), ("Service", "Other"),
     ]
+
+
+def test_wide_and_deep_calls_are_traced_as_in_full(spark):
+    """Against a plain walk of the whole graph; a method is followed for no more calls than the steps that are left."""
+    import random
+
+    from sourceloom.functions.rules import MAX_DEPTH, MAX_STEPS
+    from sourceloom.operators.flows import reachable_calls, trace_flows
+
+    rng = random.Random(5)
+    calls = {m: [rng.randrange(300) for _ in range(rng.choice([0, 1, 2, 3, 30]))] for m in range(300)}
+    rows = [("p", m, 0, i, f"C{m}", "f", f"C{t}", "f", None) for m, ts in calls.items() for i, t in enumerate(ts)]
+    columns = "path string, class_ord int, method_ord int, call_ord int, caller_class string, caller_method string, callee_class string, callee_method string, callee_layer string"
+    starts = [m for m in calls if calls[m]][:8]
+    entries = spark.createDataFrame([(i + 1, f"C{m}", "f") for i, m in enumerate(starts)], "flow_ord int, entry_class string, entry_method string")
+    none = spark.createDataFrame([], "interface string, implementor string")
+    reached = reachable_calls(entries, spark.createDataFrame(rows, columns), none)
+
+    def walk(m, level, steps, expanded):
+        for t in calls[m]:
+            if len(steps) == MAX_STEPS:
+                return
+            steps.append((f"C{m}", f"C{t}"))
+            if level <= MAX_DEPTH and len(steps) < MAX_STEPS and t not in expanded:
+                expanded.add(t)
+                walk(t, level + 1, steps, expanded)
+
+    expected = []
+    for i, m in enumerate(starts):
+        steps = []
+        walk(m, 1, steps, {m})
+        expected += [(i + 1, k + 1, *s) for k, s in enumerate(steps)]
+    assert sorted(values(trace_flows(entries, reached), "flow_ord", "step_ord", "caller_class", "callee_class")) == sorted(expected)
+    assert reached.groupBy("flow_ord").count().agg(F.max("count")).first()[0] <= 792
