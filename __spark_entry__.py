@@ -769,19 +769,19 @@ def fingerprint_decisions(spark, sf_dir):
 
 @query(
     _TREE
-    + """, indebted AS (SELECT flow_ord FROM entry JOIN supplier USING (s_suppkey) WHERE s_acctbal < 0),
+    + """, small AS (SELECT flow_ord FROM entry JOIN supplier USING (s_suppkey) WHERE s_acctbal < 5000),
 doc AS (SELECT unnest(['README.md', 'ARCHITECTURE.md', 'SEQUENCE.md']) AS doc)
-SELECT 'edited' AS run, doc, CASE WHEN doc = 'SEQUENCE.md' AND EXISTS (FROM indebted) OR doc = 'ARCHITECTURE.md' AND EXISTS (FROM indebted WHERE flow_ord = 1)
+SELECT 'edited' AS run, doc, CASE WHEN doc = 'SEQUENCE.md' AND EXISTS (FROM small) OR doc = 'ARCHITECTURE.md' AND EXISTS (FROM small WHERE flow_ord = 1)
   THEN 'changed' ELSE 'unchanged' END AS reason FROM doc
 UNION ALL SELECT 'first', doc, 'initial' FROM doc UNION ALL SELECT 'forced', doc, 'forced' FROM doc"""
 )
 def route_edit_decisions(spark, sf_dir):
-    """What to write after the routes of suppliers with debts got another path: only flows that show one change."""
+    """What to write after the routes of suppliers with small balances got another path: only flows that show one change."""
     name = F.concat(F.lit("src/main/java/com/acme/supplier/SupplierApi"), F.col("s_suppkey").cast("string"), F.lit(".java"))
-    indebted = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(name.alias("path"), F.lit(True).alias("indebted"))
-    other = F.replace(F.col("content").cast("string"), F.lit('@GetMapping("/'), F.lit('@GetMapping("/debts/')).cast("binary")
-    edited = star_corpus(spark, sf_dir).join(indebted, "path", "left")
-    edited = edited.select("path", F.when(F.col("indebted"), other).otherwise(F.col("content")).alias("content"))
+    small = table(spark, sf_dir, "supplier").filter("s_acctbal < 5000").select(name.alias("path"), F.lit(True).alias("small"))
+    other = F.replace(F.col("content").cast("string"), F.lit('@GetMapping("/'), F.lit('@GetMapping("/small/')).cast("binary")
+    edited = star_corpus(spark, sf_dir).join(small, "path", "left")
+    edited = edited.select("path", F.when(F.col("small"), other).otherwise(F.col("content")).alias("content"))
     before, after = analysis(spark, sf_dir).fingerprints, Analysis(parse_files(spread(edited))).fingerprints
     runs = {"edited": regeneration(after, before), "first": regeneration(after, None), "forced": regeneration(after, before, force=True)}
     return reduce(DataFrame.unionByName, (d.select(F.lit(run).alias("run"), "doc", "reason") for run, d in runs.items()))
