@@ -134,8 +134,11 @@ def _describe(points: DataFrame) -> DataFrame:
     LEAST_PIVOTS to MAX_PIVOTS, which keeps lists short.
     """
     spark = points.sparkSession
-    sample = points.orderBy("k1", "k2").limit(SAMPLE).select("vector").collect()  # bounded by SAMPLE
-    n = min(MAX_PIVOTS, max(LEAST_PIVOTS, int(points.count() ** 0.5)))
+    count = points.count()
+    n = min(MAX_PIVOTS, max(LEAST_PIVOTS, int(count**0.5)))
+    # Keys are hashes, so about 2 * SAMPLE lie below this one; without it every task would send the driver SAMPLE points.
+    below = min((1 << 63) - 1, (2 * SAMPLE << 64) // max(1, count) - (1 << 63))
+    sample = points.filter(F.col("k1") <= below).orderBy("k1", "k2").limit(SAMPLE).select("vector").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(len(r["vector"]), []).append(r["vector"])
