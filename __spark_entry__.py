@@ -2,7 +2,9 @@
 
 Most queries run on a Java tree rendered from the star-schema tables (one file
 per region, nation, supplier and customer), those named `port_*` on a second
-one rendered from `part` (interfaces, implementors, long methods, overloads).
+one rendered from `part` (interfaces, implementors, long methods, overloads),
+those named `yard_*` on a third one rendered from `orders`, `lineitem` and
+`supplier` (every way to name a class, every kind of declaration).
 Their structure follows from the keys, so the SQL derives what the analysis
 must find from the keys alone.  The others run operators on the text tables.
 """
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from rendered.star import port_corpus, sql_text, star_corpus  # noqa: E402
+from rendered.yard import yard_corpus  # noqa: E402
 from sourceloom.documents import prompts, texts  # noqa: E402
 from sourceloom.functions import layers, naming, text  # noqa: E402
-from sourceloom.operators import changes, components, dependencies, flows, mermaid, resolve, tables  # noqa: E402
+from sourceloom.operators import changes, components, dependencies, flows, mermaid, resolve, symbols, tables  # noqa: E402
 from sourceloom.operators.cards import render_card  # noqa: E402
 from sourceloom.operators.fingerprints import regeneration  # noqa: E402
 from sourceloom.operators.select import fit_to_budget, select_with_coverage  # noqa: E402
@@ -31,7 +35,6 @@ from sourceloom.plans.analysis import Analysis  # noqa: E402
 from sourceloom.plans.context import ProjectContext  # noqa: E402
 from sourceloom.plans.runs import package_report  # noqa: E402
 from sourceloom.sources.parse import file_hash, parse_files  # noqa: E402
-from sourceloom.sources.star_corpus import port_corpus, sql_text, star_corpus  # noqa: E402
 from sourceloom.sources.worktree import has_extension, is_excluded  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,9 +307,7 @@ def symbol_index(spark, sf_dir):
 
 @query(_TREE + "SELECT name, fqn FROM cls")
 def unique_names(spark, sf_dir):
-    from sourceloom.operators.symbols import unique_names as unique
-
-    return unique(analysis(spark, sf_dir).symbols).select("name", "fqn")
+    return symbols.unique_names(analysis(spark, sf_dir).symbols).select("name", "fqn")
 
 
 @query(_TREE + "SELECT package, count(*) AS class_count FROM cls GROUP BY package")
@@ -895,6 +896,191 @@ def port_flows(spark, sf_dir):
     return rows.select("flow_ord", (F.col("i") + 1).cast("bigint").alias("step_ord"), "s.*")
 
 
+# -- the third tree: every way to name a class, every kind of declaration ---------------------------------------
+
+_YARD = """
+WITH base AS (
+  SELECT o_orderkey AS o, min(l_suppkey) AS s, o_orderkey % 8 AS way, o_orderkey % 3 AS form, o_orderkey % 5 < 3 AS is_public
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
+), ord AS (
+  SELECT *, CASE way WHEN 3 THEN 'yard.bins' WHEN 4 THEN 'yard.spare' WHEN 7 THEN '' ELSE 'yard.orders' END AS package,
+    CASE WHEN package = '' THEN '' ELSE package || '.' END || 'Order' || o AS fqn, 'src/yard/Order' || o || '.java' AS path,
+    CASE way WHEN 6 THEN 'yard.bins.' ELSE '' END || 'Bin' || s AS bin,
+    'yard.bins.Bin' || s AS near, 'yard.spare.Bin' || s AS spare, s % 3 = 0 AS has_spare, s % 3 <> 0 AND s % 4 <> 0 AS is_single,
+    CASE WHEN way IN (0, 3, 6) THEN near WHEN way IN (4, 5) AND has_spare THEN spare
+         WHEN way = 5 OR way = 4 AND is_single THEN near WHEN way IN (1, 2, 7) AND is_single THEN near END AS typed,
+    CASE WHEN way <> 6 THEN typed WHEN has_spare THEN spare WHEN is_single THEN near END AS called
+  FROM base
+), decl AS (
+  SELECT fqn, 'Order' || o AS name, package, path, CASE form WHEN 0 THEN 'class' WHEN 1 THEN 'enum' ELSE 'record' END AS kind, is_public FROM ord
+  UNION ALL SELECT fqn || '.Line', 'Line', package, path, 'class', FALSE FROM ord WHERE form = 0
+  UNION ALL SELECT fqn || '.Line.Probe', 'Probe', package, path, 'interface', FALSE FROM ord WHERE form = 0
+  UNION ALL SELECT fqn || '.Mark', 'Mark', package, path, 'annotation', TRUE FROM ord WHERE form = 0
+  UNION ALL SELECT 'yard.bins.Bin' || s_suppkey, 'Bin' || s_suppkey, 'yard.bins', 'src/yard/bins/Bin' || s_suppkey || '.java', 'class', TRUE FROM supplier
+  UNION ALL SELECT 'yard.spare.Bin' || s_suppkey, 'Bin' || s_suppkey, 'yard.spare', 'src/yard/spare/Bin' || s_suppkey || '.java', 'class', TRUE
+    FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL SELECT 'yard.bins.Bin' || s_suppkey, 'Bin' || s_suppkey, 'yard.bins', 'src/yard/twice/Bin' || s_suppkey || '.java', 'enum', TRUE
+    FROM supplier WHERE s_suppkey % 4 = 0
+  UNION ALL SELECT 'yard.book.Ledger', 'Ledger', 'yard.book', 'src/yard/book/Ledger.java', 'class', TRUE
+), imp AS (
+  SELECT path, unnest(CASE way WHEN 0 THEN [near] WHEN 2 THEN ['yard.bins.*', near || '.open'] WHEN 5 THEN [spare, near] WHEN 6 THEN [spare] ELSE [] END) AS import_path,
+    unnest(CASE way WHEN 0 THEN [0] WHEN 2 THEN [0, 1] WHEN 5 THEN [0, 1] WHEN 6 THEN [0] ELSE [] END) AS import_ord,
+    way = 2 AND import_ord = 1 AS is_static, way = 2 AND import_ord = 0 AS is_wildcard FROM ord
+), edge AS (
+  SELECT fqn AS src, typed AS dst, CASE form WHEN 0 THEN 'field,param' ELSE 'field' END AS kinds FROM ord WHERE typed IS NOT NULL
+  UNION ALL SELECT fqn, 'yard.book.Ledger', CASE form WHEN 0 THEN 'creates,param' WHEN 1 THEN 'return' ELSE 'creates,return' END FROM ord
+  UNION ALL SELECT 'yard.book.Ledger', 'yard.bins.Bin1', 'field'
+), call AS (
+  SELECT fqn AS caller_class, m.caller_method, m.callee_class, m.callee_method FROM (
+    SELECT fqn, unnest(CASE form WHEN 0 THEN [
+        {'caller_method': 'Order' || o, 'callee_class': fqn, 'callee_method': 'check'},
+        {'caller_method': 'handle', 'callee_class': 'yard.book.Ledger', 'callee_method': 'post'},
+        {'caller_method': 'handle', 'callee_class': typed, 'callee_method': 'fill'},
+        {'caller_method': 'handle', 'callee_class': fqn, 'callee_method': 'check'},
+        {'caller_method': 'handle', 'callee_class': fqn, 'callee_method': 'check'},
+        {'caller_method': 'handle', 'callee_class': called, 'callee_method': 'open'},
+        {'caller_method': 'handle', 'callee_class': typed, 'callee_method': 'next'}]
+      WHEN 2 THEN [{'caller_method': 'total', 'callee_class': typed, 'callee_method': 'next'}] ELSE [] END) AS m FROM ord)
+  WHERE m.callee_class IS NOT NULL
+  UNION ALL SELECT 'yard.book.Ledger', 'post', 'yard.book.Ledger', 'part' || unnest(range(1, 21))
+)
+"""
+
+
+def yard_analysis(spark, sf_dir):
+    return analysis(spark, sf_dir, yard_corpus)
+
+
+@query(
+    _YARD
+    + """SELECT d.path, nullif(any_value(d.package), '') AS package, count(*) AS n_classes, coalesce(any_value(i.n), 0) AS n_imports,
+  CASE WHEN any_value(ord.o) % 11 = 0 THEN 1 ELSE 0 END AS n_errors
+FROM decl d LEFT JOIN ord USING (path) LEFT JOIN (SELECT path, count(*) AS n FROM imp GROUP BY path) i USING (path) GROUP BY d.path"""
+)
+def yard_files(spark, sf_dir):
+    """Files with several classes, without a package, with a syntax error."""
+    return yard_analysis(spark, sf_dir).parsed.select(
+        "path", "package", F.size("classes.name").cast("bigint").alias("n_classes"), F.size("imports.path").cast("bigint").alias("n_imports"),
+        F.size("parse_errors").alias("n_errors"),
+    )
+
+
+@query(_YARD + "SELECT path, import_ord, import_path, is_static, is_wildcard FROM imp")
+def yard_imports(spark, sf_dir):
+    """Plain, static and wildcard imports."""
+    return yard_analysis(spark, sf_dir).imports
+
+
+@query(
+    _YARD
+    + """SELECT fqn, max_by(path, path) AS path, max_by(kind, path) AS kind, max_by(package, path) AS package, bool_or(is_public) AS is_public,
+  count(*) AS n_declared FROM decl GROUP BY fqn"""
+)
+def yard_symbols(spark, sf_dir):
+    """Nested types of all kinds; of equal qualified names the last declaration."""
+    return yard_analysis(spark, sf_dir).symbols.select("fqn", "path", "kind", "package", "is_public", "n_declared")
+
+
+@query(_YARD + "SELECT name, any_value(fqn) AS fqn FROM decl GROUP BY name HAVING count(*) = 1")
+def yard_unique_names(spark, sf_dir):
+    """Simple names that one declaration bears; others are ambiguous or declared twice."""
+    return symbols.unique_names(yard_analysis(spark, sf_dir).symbols).select("name", "fqn")
+
+
+@query(_YARD + "SELECT DISTINCT fqn FROM decl WHERE is_public")
+def yard_public_api(spark, sf_dir):
+    return symbols.public_api(yard_analysis(spark, sf_dir).symbols).select("fqn")
+
+
+@query(_YARD + "SELECT fqn, CASE form WHEN 0 THEN 'T extends Comparable<T>|U' ELSE 'K' END AS type_parameters FROM ord WHERE form <> 1")
+def yard_type_parameters(spark, sf_dir):
+    rows = yard_analysis(spark, sf_dir).classes.filter(F.size("type_parameters") > 0)
+    return rows.select("fqn", F.array_join("type_parameters", "|").alias("type_parameters"))
+
+
+@query(
+    _YARD
+    + """SELECT fqn, f.field_ord, f.name, f.type, f.modifiers FROM (SELECT fqn, unnest(CASE form
+  WHEN 0 THEN [{'field_ord': 0, 'name': 'bin', 'type': bin, 'modifiers': 'private'}, {'field_ord': 1, 'name': 'other', 'type': bin, 'modifiers': 'private'},
+    {'field_ord': 2, 'name': 'first', 'type': 'Line', 'modifiers': 'private'}]
+  WHEN 1 THEN [{'field_ord': 0, 'name': 'OPEN', 'type': 'Order' || o, 'modifiers': 'static,final'},
+    {'field_ord': 1, 'name': 'CLOSED', 'type': 'Order' || o, 'modifiers': 'static,final'}, {'field_ord': 2, 'name': 'bin', 'type': bin, 'modifiers': 'private'}]
+  ELSE [{'field_ord': 0, 'name': 'bin', 'type': bin, 'modifiers': 'final'}] END) AS f FROM ord)
+UNION ALL SELECT fqn || '.Line', 0, 'qty', 'int', '' FROM ord WHERE form = 0
+UNION ALL SELECT 'yard.bins.Bin' || s_suppkey, unnest([0, 1]), unnest(['LEFT', 'RIGHT']), 'Bin' || s_suppkey, 'static,final' FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 'yard.book.Ledger', 0, 'first', 'yard.bins.Bin1', 'private'"""
+)
+def yard_fields(spark, sf_dir):
+    """Several declarators, enum constants, record components, fields of nested types."""
+    rows = tables.fields(yard_analysis(spark, sf_dir).classes)
+    return rows.select("fqn", "field_ord", "name", "type", strings("modifiers").alias("modifiers"))
+
+
+@query(
+    _YARD
+    + """SELECT fqn, m.method_ord, m.signature, m.is_constructor FROM (SELECT fqn, unnest(CASE form
+  WHEN 0 THEN [{'method_ord': 0, 'signature': 'protected Order' || o || '(' || bin || '... many)', 'is_constructor': TRUE},
+    {'method_ord': 1, 'signature': 'public void handle(Ledger bin, int times)', 'is_constructor': FALSE},
+    {'method_ord': 2, 'signature': 'private void check()', 'is_constructor': FALSE}]
+  ELSE [{'method_ord': 0, 'signature': 'Ledger total()', 'is_constructor': FALSE}] END) AS m FROM ord)
+UNION ALL SELECT fqn || '.Line.Probe', 0, 'void look()', FALSE FROM ord WHERE form = 0
+UNION ALL SELECT fqn, unnest([0, 1, 2]), unnest(['public static void open()', 'public ' || name || ' next()', 'void fill()']), FALSE
+  FROM decl WHERE name LIKE 'Bin%' AND kind = 'class'
+UNION ALL SELECT fqn, 0, 'void fill()', FALSE FROM decl WHERE name LIKE 'Bin%' AND kind = 'enum'
+UNION ALL SELECT 'yard.book.Ledger', 0, 'public void post()', FALSE"""
+)
+def yard_signatures(spark, sf_dir):
+    """Constructors, a variable number of arguments, methods of nested types."""
+    return yard_analysis(spark, sf_dir).methods.select("fqn", "method_ord", "signature", "is_constructor")
+
+
+@query(_YARD + "SELECT src, dst, kinds FROM edge")
+def yard_dependency_edges(spark, sf_dir):
+    """Qualified names, imports in order, the own package, unique simple names: each decides some edges, and some names mean nothing."""
+    return yard_analysis(spark, sf_dir).dependency_edges.select("src", "dst", strings("kinds").alias("kinds"))
+
+
+@query(
+    _YARD
+    + """, place AS (SELECT fqn, max_by(package, path) AS package FROM decl GROUP BY fqn)
+SELECT DISTINCT s.package AS src_package, d.package AS dst_package FROM edge JOIN place s ON s.fqn = src JOIN place d ON d.fqn = dst
+WHERE s.package <> d.package"""
+)
+def yard_package_graph(spark, sf_dir):
+    return yard_analysis(spark, sf_dir).package_edges
+
+
+@query(_YARD + "SELECT 'used by' AS side, src AS fqn FROM edge WHERE dst = 'yard.book.Ledger' UNION ALL SELECT 'uses', dst FROM edge WHERE src = 'yard.book.Ledger'")
+def yard_neighbours(spark, sf_dir):
+    """Both sides of one class that all others use."""
+    edges, fqn = yard_analysis(spark, sf_dir).edges, "yard.book.Ledger"
+    users = dependencies.dependents_of(edges, fqn).select(F.lit("used by").alias("side"), F.col("src").alias("fqn"))
+    return users.unionByName(dependencies.dependencies_of(edges, fqn).select(F.lit("uses").alias("side"), F.col("dst").alias("fqn")))
+
+
+@query(_YARD + "SELECT caller_class, caller_method, callee_class, callee_method, count(*) AS n FROM call GROUP BY ALL")
+def yard_calls(spark, sf_dir):
+    """Calls on oneself, on parameters that hide fields, on fields and on class names; chained and foreign ones are dropped."""
+    columns = ["caller_class", "caller_method", "callee_class", "callee_method"]
+    return yard_analysis(spark, sf_dir).calls.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+@query(
+    _YARD
+    + """, called AS (SELECT DISTINCT callee_class, callee_method FROM call),
+able AS (SELECT fqn, 'handle' AS method FROM ord WHERE form = 0 AND is_public UNION ALL SELECT 'yard.book.Ledger', 'post'),
+ranked AS (SELECT fqn, method, (fqn, method) IN (SELECT (callee_class, callee_method) FROM called) AS is_called,
+    (SELECT count(*) FROM call WHERE caller_class = fqn AND caller_method = method) AS n FROM able)
+SELECT row_number() OVER (ORDER BY is_called, n DESC, fqn, method) AS flow_ord, fqn AS entry_class, method AS entry_method FROM ranked
+QUALIFY flow_ord <= 8"""
+)
+def yard_entry_points(spark, sf_dir):
+    """Methods that nobody calls come before one with more calls that all others call."""
+    a = yard_analysis(spark, sf_dir)
+    rows = flows.entry_points(a.methods, a.calls)
+    return rows.select(F.col("flow_ord").cast("bigint").alias("flow_ord"), "entry_class", "entry_method")
+
+
 # -- contract --------------------------------------------------------------------------------------------------
 
 

@@ -47,7 +47,7 @@ public class Customer{c}{heritage} {
 """
 
 
-def _render(template: str, **values):
+def render(template: str, **values):
     """Template with `{name}` holes -> concat of literals and columns."""
     parts, rest = [], template
     while rest:
@@ -67,7 +67,7 @@ def star_corpus(spark: SparkSession, folder: str) -> DataFrame:
     def files(table, package, name, key, template, **values):
         rows = spark.read.parquet(f"{folder}/{table}.parquet")
         path = F.concat(F.lit(f"src/main/java/com/acme/{package}/{name}"), F.col(key).cast("string"), F.lit(".java"))
-        return rows.select(path.alias("path"), _render(template, **values).cast("binary").alias("content"))
+        return rows.select(path.alias("path"), render(template, **values).cast("binary").alias("content"))
 
     c, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     service = F.concat(F.lit("NationService"), nation)
@@ -192,7 +192,7 @@ def port_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
     def files(package, name, template, rows=part, **values):
         path = F.concat(F.lit(f"src/main/java/com/acme/{package}/{name}"), p.cast("string"), F.lit(".java"))
-        return rows.select(path.alias("path"), _render(template, p=p, **values).cast("binary").alias("content"))
+        return rows.select(path.alias("path"), render(template, p=p, **values).cast("binary").alias("content"))
 
     base = spark.createDataFrame([(f"src/main/java/com/acme/base/{n}.java", t.encode()) for n, t in _BASE.items()], "path string, content binary").coalesce(1)
     return (
