@@ -26,13 +26,11 @@ def references(rows: DataFrame) -> DataFrame:
     }
 
     def tagged(kind: str) -> Column:
-        bit = F.lit(1 << KINDS.index(kind)).alias("kind")
-        return F.transform(texts[kind], lambda t: F.struct(t.alias("text"), bit))
+        # distinct among strings is hashed, among structs it would compare every pair
+        names = F.array_distinct(F.flatten(F.transform(texts[kind], type_names)))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(1 << KINDS.index(kind)).alias("kind")))
 
-    def names(tag: Column) -> Column:
-        return F.transform(type_names(tag["text"]), lambda n: F.struct(n.alias("name"), tag["kind"].alias("kind")))
-
-    found = F.array_distinct(F.flatten(F.transform(F.concat(*map(tagged, KINDS)), names)))
+    found = F.concat(*map(tagged, KINDS))
     return rows.select("path", "class_ord", F.col("fqn").alias("src"), "package", "import_paths", F.inline(found))
 
 

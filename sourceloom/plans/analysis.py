@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators import calls, cards, components, dependencies, external, flows, mermaid, resolve, symbols, tables
 from sourceloom.operators import fingerprints as prints
-from sourceloom.operators.skew import HOT_ROWS, hot_keys
+from sourceloom.operators.skew import hot_keys
 from sourceloom.session import written
 
 
@@ -19,9 +19,12 @@ class Analysis:
     Those read by several others (`parsed`, `classes`, `symbols`, `names`, `edges`, `calls`,
     `redirects`, `ranked`, `flows`) are written to the shared folder at first use; the rest
     are plain lazy DataFrames.
+
+    Joins on names are plain ones: adaptive execution splits the partitions of hot names, however
+    many there are.  Where it is off, `hot_rows` names the row count from which a key is treated apart.
     """
 
-    def __init__(self, parsed: DataFrame, hot_rows: int = HOT_ROWS, is_written: bool = False):
+    def __init__(self, parsed: DataFrame, hot_rows: int | None = None, is_written: bool = False):
         self._parsed, self.hot_rows, self._is_written = parsed, hot_rows, is_written
 
     @cached_property
@@ -67,9 +70,12 @@ class Analysis:
         """What a name can mean; joined by every resolution."""
         return written(resolve.dictionary(self.symbols, symbols.unique_names(self.symbols)), "names")
 
+    def hot(self, rows: DataFrame, key: str) -> list | None:
+        return hot_keys(rows, key, self.hot_rows) if self.hot_rows else None
+
     def _resolve(self, refs: DataFrame, by: list[str]) -> DataFrame:
         found = resolve.candidates(refs)
-        return resolve.resolve(found, self.names, by, hot_keys(found, "key", self.hot_rows))
+        return resolve.resolve(found, self.names, by, self.hot(found, "key"))
 
     # -- edges ----------------------------------------------------------------------
     @cached_property
@@ -77,7 +83,7 @@ class Analysis:
         """src, dst, kind_mask with package and layer of both ends."""
         found = dependencies.dependency_edges(self._resolve(dependencies.references(self.classes), dependencies.REFERENCE))
         found = written(found, "class-edges")
-        return written(dependencies.with_source(found, self.symbols, hot_keys(found, "src", self.hot_rows)), "edges")
+        return written(dependencies.with_source(found, self.symbols, self.hot(found, "src")), "edges")
 
     @property
     def dependency_edges(self) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from sourceloom.documents.generate import DocResult, write_documents
 from sourceloom.documents.provider import Provider
 from sourceloom.operators.changes import merge_snapshot, run_counters, update_plan
 from sourceloom.operators.fingerprints import regeneration
-from sourceloom.operators.skew import hot_keys, lookup_join
+from sourceloom.operators.skew import lookup_join
 from sourceloom.plans.analysis import Analysis
 from sourceloom.plans.context import ProjectContext
 from sourceloom.session import written
@@ -39,7 +40,8 @@ class RunSummary:
 class Runner:
     def __init__(self, spark: SparkSession, root: str | Path, config: Config, provider: Provider | None = None):
         self.spark, self.root, self.config, self.provider = spark, Path(root).resolve(), config, provider
-        self.store = StateStore(spark, self.root / config.state_dir)
+        elsewhere = re.match(r"[a-z][a-z0-9+.-]*:", config.state_dir)
+        self.store = StateStore(spark, config.state_dir if elsewhere else self.root / config.state_dir)
 
     # -- reading ------------------------------------------------------------------
     def listed(self) -> DataFrame:
@@ -76,11 +78,13 @@ class Runner:
         if not moved and not force and before.complete:
             summary.message = "No file changed since the last run; nothing to do."
             return summary
-        state = State(worktree.current_commit(self.root), before.snapshot, before.fingerprints, complete=False)
+        state = before
         if moved:
             # only paths are shuffled: contents are read again, and only those to be parsed
             due = paths.join(plan.filter("action = 'parse'").select("path"), "path", "left_semi")
-            state.snapshot = self.store.write_snapshot(merge_snapshot(cached, self.parse(due), plan))
+            edited = plan.filter("action <> 'reuse'").select("path")
+            state = self.store.replace(before, edited, lambda some: merge_snapshot(some, self.parse(due), plan))
+        state = replace(state, last_commit=worktree.current_commit(self.root), complete=False)
         self.store.save(state)
         summary.doc_results = self._documents(state, before.fingerprints, force)
         return summary
@@ -115,8 +119,8 @@ def detail_budget(num_ctx: int):
 def package_report(a: Analysis) -> DataFrame:
     """package, class_count and, per declared class, its kind, name, methods and dependencies."""
     deps = a.ranked.select("fqn", "fan_out")
-    rows = lookup_join(a.facts, deps, "fqn", hot=hot_keys(a.facts, "fqn", a.hot_rows))
-    rows = lookup_join(rows, a.packages, "package", hot=hot_keys(a.facts, "package", a.hot_rows))
+    rows = lookup_join(a.facts, deps, "fqn", hot=a.hot(a.facts, "fqn"))
+    rows = lookup_join(rows, a.packages, "package", hot=a.hot(a.facts, "package"))
     return rows.select("package", "class_count", "path", "class_ord", "kind", "name", "n_methods", "fan_out")
 
 

@@ -51,7 +51,10 @@ def _tidy_method(m):
         m["calls"],
         lambda c: c["receiver"].isNull() | (c["receiver"] == "this") | c["receiver"].rlike(PLAIN_RECEIVER),
     )
-    m = m.withField("calls", F.array_distinct(calls))
+    # as strings, among which distinct is hashed: neither part has a dot, and no receiver is empty
+    told = F.array_distinct(F.transform(calls, lambda c: F.concat(F.coalesce(c["receiver"], F.lit("")), F.lit("."), c["method"])))
+    receiver, method = (lambda s: F.nullif(F.substring_index(s, ".", 1), F.lit(""))), (lambda s: F.substring_index(s, ".", -1))
+    m = m.withField("calls", F.transform(told, lambda s: F.struct(receiver(s).alias("receiver"), method(s).alias("method"))))
     return m.withField("creates", F.array_sort(F.array_distinct(m["creates"])))
 
 

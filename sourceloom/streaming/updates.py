@@ -3,7 +3,7 @@
 Each micro-batch of (path, modificationTime, content), the columns of Spark's
 `binaryFile` stream, is what an update is: rows whose bytes are known are passed
 over, others are parsed and replace what the snapshot has for their path.  Replaying a batch changes nothing, so the state is exact after a
-restart from the stream's checkpoint.
+restart from the stream's checkpoint.  Only the buckets of the snapshot that hold the batch's paths are written again.
 """
 
 from __future__ import annotations
@@ -30,9 +30,11 @@ def apply_batch(batch: DataFrame, store: StateStore, languages: list[str]) -> No
     fresh = written(latest.join(known, ["path", "content_hash"], "left_anti"), "batch-fresh")
     if fresh.isEmpty():
         return
-    kept = cached.join(fresh.select("path"), "path", "left_anti")
-    merged = kept.unionByName(parse_files(fresh, languages))
-    store.save(State(before.last_commit, store.write_snapshot(merged), before.fingerprints, complete=False))
+
+    def merge(some: DataFrame) -> DataFrame:
+        return some.join(fresh.select("path"), "path", "left_anti").unionByName(parse_files(fresh, languages))
+
+    store.save(store.replace(before, fresh.select("path"), merge))
 
 
 def start_updates(contents: DataFrame, store: StateStore, checkpoint: str, languages: list[str] | None = None) -> StreamingQuery:
