@@ -7,6 +7,8 @@ part of the README prompt whatever its length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from sourceloom.functions.rules import (
 from sourceloom.operators.cards import render_card
 from sourceloom.operators.fingerprints import ARCHITECTURE, README, SEQUENCE
 from sourceloom.operators.select import fit_to_budget, select_with_coverage
+from sourceloom.plans.analysis import Analysis
 from sourceloom.plans.context import GROUPS, ProjectContext, best_first, group_label
 from sourceloom.session import written
 
@@ -180,6 +183,29 @@ def sequence_prompt(ctx: ProjectContext) -> DataFrame:
 
 
 PROMPTS = {README: readme_prompt, ARCHITECTURE: architecture_prompt, SEQUENCE: sequence_prompt}
+_PRINTS: dict[str, Callable[[Analysis], DataFrame] | None] = {}
+
+
+def register_document(doc: str, prompt: Callable[[ProjectContext], DataFrame], fingerprint: Callable[[Analysis], DataFrame] | None = None) -> None:
+    """Add a document, or put another prompt in place of a known one.
+
+    `prompt` gives one row (doc, prompt), `fingerprint` one row (hash) that moves with what the document
+    shows.  Without it a new document is due whenever one of the three built-in ones is.
+    """
+    if doc not in PROMPTS or fingerprint is not None:
+        _PRINTS[doc] = fingerprint
+    PROMPTS[doc] = prompt
+
+
+def document_fingerprints(analysis: Analysis) -> DataFrame:
+    """(doc, hash) of all known documents."""
+    own = written(analysis.fingerprints, "fingerprints")
+    every = own.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "doc", "hash"))), "|"), 256).alias("hash"))
+    rows = own.filter(~F.col("doc").isin(list(_PRINTS))) if _PRINTS else own
+    for doc, fingerprint in _PRINTS.items():
+        row = fingerprint(analysis) if fingerprint else every
+        rows = rows.unionByName(row.select(F.lit(doc).alias("doc"), "hash"))
+    return rows
 
 
 def prompts(ctx: ProjectContext, docs: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.config import Config
 from sourceloom.documents.generate import DocResult, write_documents
+from sourceloom.documents.prompts import document_fingerprints
 from sourceloom.documents.provider import Provider
 from sourceloom.operators.changes import merge_snapshot, run_counters, update_plan
 from sourceloom.operators.fingerprints import regeneration
@@ -91,7 +92,7 @@ class Runner:
 
     def _documents(self, state: State, previous: dict[str, str] | None, force: bool) -> list[DocResult]:
         analysis = Analysis(self.store.parsed(state), is_written=True)
-        current = written(analysis.fingerprints, "fingerprints")
+        current = written(document_fingerprints(analysis), "document-fingerprints")
         old = self.spark.createDataFrame(list(previous.items()), "doc string, hash string") if previous else None
         budget = self.spark.range(1).select(detail_budget(self.config.model.num_ctx)).first()[0]
         ctx = ProjectContext(analysis, self.root.name, self.config.languages, budget)

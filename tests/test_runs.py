@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from sourceloom import cli
 from sourceloom.config import load_config
+from sourceloom.documents import prompts
 from sourceloom.documents.provider import OllamaProvider, ProviderError, available_providers, get_provider, without_thinking
 from sourceloom.operators import changes
 from sourceloom.operators.fingerprints import regeneration
 from sourceloom.plans.runs import Runner
 from sourceloom.session import scratch, written
 from sourceloom.sources import worktree as wt
-from sourceloom.sources.state import State, StateStore
+from sourceloom.sources.state import State, StateStore, bucket_of
 from sourceloom.streaming.updates import start_updates
 
 TOWER = "quay/control/TowerController.java"
@@ -254,6 +255,41 @@ def test_runs_over_a_changing_tree(spark, worktree, echo):
     assert StateStore(spark, worktree / ".sourceloom").load().complete
 
 
+def test_an_update_writes_the_buckets_it_touches(spark, parse, tmp_path):
+    """On a folder given as URI: other buckets stay in the first table; a removed file and an emptied bucket are gone."""
+    store = StateStore(spark, f"file://{tmp_path}/state dir")
+    files = {f"p{i}/C{i}.java": f"class C{i} {{}}" for i in range(40)}
+    store.save(State("abc", store.write_snapshot(parse(files)), {"d": "1"}))
+    fresh = parse({"p3/C3.java": "class Other {}"})
+    edited = spark.createDataFrame([("p3/C3.java",), ("p5/C5.java",)], "path string")
+    store.save(store.replace(store.load(), edited, lambda some: some.join(edited, "path", "left_anti").unionByName(fresh)))
+    state = store.load()
+    buckets = {r.b for r in edited.select(bucket_of(F.col("path")).alias("b")).collect()}
+    assert {int(b) for b in state.replaced} == buckets and len(state.tables) == 2 and state.fingerprints == {"d": "1"} and not state.complete
+    later = set(state.replaced.values()).pop()
+    assert {int(p.name.split("=")[1]) for p in (tmp_path / "state dir" / later).glob("bucket=*")} <= buckets
+    want = {p: c.split()[1] for p, c in files.items() if p != "p5/C5.java"} | {"p3/C3.java": "Other"}
+    assert {r.path: r.classes[0].name for r in store.parsed(state).collect()} == want
+    every = edited.filter("false").unionByName(store.parsed(state).select("path"))
+    store.save(store.replace(state, every, lambda some: some.filter("false")))
+    state = store.load()
+    assert store.parsed(state).count() == 0 and (tmp_path / "state dir" / later).exists() == (later in state.tables)
+
+
+def test_registered_documents(spark, analyse):
+    analysis = analyse({"p/C.java": "package p; public class C {}"})
+    kept = dict(prompts.PROMPTS), dict(prompts._PRINTS)
+    try:
+        prompts.register_document("API.md", lambda ctx: ctx.counts.select(F.lit("API.md").alias("doc"), F.lit("x").alias("prompt")))
+        prompts.register_document("README.md", prompts.readme_prompt, lambda a: spark.range(1).select(F.lit("h").alias("hash")))
+        got = {r.doc: r.hash for r in prompts.document_fingerprints(analysis).collect()}
+    finally:
+        for now, before in zip((prompts.PROMPTS, prompts._PRINTS), kept):
+            now.clear()
+            now.update(before)
+    assert set(got) == {"README.md", "ARCHITECTURE.md", "SEQUENCE.md", "API.md"} and got["README.md"] == "h" and len(got["API.md"]) == 64
+
+
 def test_an_older_snapshot_lacks_columns(spark, tmp_path):
     """Its lists and maps read as empty ones, also inside classes."""
     store = StateStore(spark, tmp_path)
