@@ -89,14 +89,16 @@ def span_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
             names = zip(*(batch.column(c).to_pylist() for c in ("id", "key1", "key2")))
             for i, (name, key1, key2) in enumerate(names):
                 for mine in runs(batch.column("text")[i].as_py() or ""):
-                    place, n = ((name is None, name, key1, key2, mine[0]), len(found))
+                    place = (name is None, name, key1, key2, mine[0])
                     before = first.get(mine[2:])
+                    if before is not None and place == before[0]:
+                        continue  # the row repeats: the one held stands for both
                     if before is None or place < before[0]:
-                        first[mine[2:]] = (place, n)
+                        first[mine[2:]] = (place, len(found))
                         if before is not None:
                             later[before[1]] = True
                     ids.append(name), keys1.append(key1), keys2.append(key2), found.append(mine)
-                    later.append(before is not None and first[mine[2:]][1] != n)
+                    later.append(before is not None and place > before[0])
                 if len(found) > HELD_RUNS:
                     yield out(kind)
         if found:
@@ -109,11 +111,11 @@ def later_spans(found: DataFrame) -> DataFrame:
     """`stretches` of all runs that are not the first of their content, by (id, key1, key2, begin), null ids last.
 
     Rows known to be later need no comparison and are dealt evenly; the others meet by content, at
-    most one for each stretch of a task.
+    most one for each stretch of a task.  Rows of the same place (documents that repeat) share a rank.
     """
     apart = F.when(F.col("later"), F.pmod(F.xxhash64("key1", "begin"), F.lit(1 << 20)) + 1).otherwise(0).alias("apart")
     order = [F.col("id").isNull(), "id", "key1", "key2", "begin"]
-    number = F.row_number().over(Window.partitionBy("h1", "h2", "apart").orderBy(*order))
+    number = F.rank().over(Window.partitionBy("h1", "h2", "apart").orderBy(*order))
     return stretches(found.select("*", apart).withColumn("number", number).filter("later or number > 1"))
 
 

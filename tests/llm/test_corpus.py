@@ -93,6 +93,15 @@ def test_spans_take_out_later_passages_only(docs):
     assert spans.dedup_spans(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_rows_that_repeat_keep_the_same_passages(docs, parts):
+    """In one task and in several: the first occurrence stays in all rows that repeat it, later ones go from all."""
+    passage = " ".join(" ".join(f"w{k}x{j}" for j in range(8)) + "." for k in range(5))
+    rows = [(7, f"Mine. {passage}"), (7, f"Mine. {passage}"), (1, passage), (1, passage), (1, passage), (None, passage), (None, passage)]
+    got = spans.dedup_spans(docs(rows).repartition(parts, "_k1")).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["n_removed_words"]) for r in got) == sorted([("1", passage, 0)] * 3 + [("7", "Mine. ", 40)] * 2 + [("None", "", 40)] * 2)
+
+
 def test_span_runs_are_the_shortest_and_alike_wherever_they_lie():
     passage = " ".join(f"w{k}{'.' if k % 5 == 4 else ''}" for k in range(60))
     inside = {(a, b) for _, _, a, b in spans.runs(passage)}
