@@ -1,8 +1,9 @@
 """Substring dedup by sliding runs of sentences.
 
-From every sentence on, the shortest run of at least LEAST_SENTENCES sentences with at
-least LEAST_WORDS words is hashed.  Two texts that share a passage have the same runs inside
-it, wherever it lies in them.  Runs are joined globally as in line dedup, and the characters of
+From every sentence on, and up to every sentence, the shortest run of at least LEAST_SENTENCES
+sentences with at least LEAST_WORDS words is hashed.  Two texts that share a passage have the same
+runs inside it, wherever it lies in them, and these cover the same as all longer runs would: what
+can't begin a run inside the passage lies in the one that ends with it.  Runs are joined globally as in line dedup, and the characters of
 all but the first occurrence are taken out.  Sentences end at a full stop, question or
 exclamation mark before white space, or with the line; one of more than LONG_SENTENCE words is
 cut after each such number of words, so that passages with few stops are found as well.
@@ -44,19 +45,30 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def runs(text: str) -> list[tuple[int, int, int, int]]:
-    """(begin, end, h1, h2) of the run from each sentence on; none where the text ends before it is long enough."""
-    units, out = sentences(text), []
-    bodies = [(" ".join(w)).encode("utf-8", "replace") for _, _, w in units]
-    j, words = 0, 0  # units i..j-1 are in the run
+    """(begin, end, h1, h2) of the shortest runs that begin or end with a sentence, where there is one; neither begins nor ends fall."""
+    units = sentences(text)
+    sizes, bodies = [len(w) for _, _, w in units], [(" ".join(w)).encode("utf-8", "replace") for _, _, w in units]
+    found, i, j, words = set(), 0, 0, 0  # units i..j-1 are in the run
     for i in range(len(units)):
         while j < len(units) and (j - i < LEAST_SENTENCES or words < LEAST_WORDS):
-            words += len(units[j][2])
+            words += sizes[j]
             j += 1
         if j - i < LEAST_SENTENCES or words < LEAST_WORDS:
             break
+        found.add((i, j))
+        words -= sizes[i]
+    i, words = 0, 0
+    for j in range(1, len(units) + 1):
+        words += sizes[j - 1]
+        while j - i > LEAST_SENTENCES and words - sizes[i] >= LEAST_WORDS:
+            words -= sizes[i]
+            i += 1
+        if j - i >= LEAST_SENTENCES and words >= LEAST_WORDS:
+            found.add((i, j))
+    out = []
+    for i, j in sorted(found):
         digest = xxhash.xxh3_128_digest(b"\n".join(bodies[i:j]))
         out.append((units[i][0], units[j - 1][1], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-        words -= len(units[i][2])
     return out
 
 
@@ -111,12 +123,14 @@ def later_spans(found: DataFrame) -> DataFrame:
     """`stretches` of all runs that are not the first of their content, by (id, key1, key2, begin), null ids last.
 
     Rows known to be later need no comparison and are dealt evenly; the others meet by content, at
-    most one for each stretch of a task.  Rows of the same place (documents that repeat) share a rank.
+    most one for each stretch of a task, in as few columns as can be.  Rows of the same place (documents that repeat) share a rank.
     """
-    apart = F.when(F.col("later"), F.pmod(F.xxhash64("key1", "begin"), F.lit(1 << 20)) + 1).otherwise(0).alias("apart")
-    order = [F.col("id").isNull(), "id", "key1", "key2", "begin"]
+    apart = F.when(F.col("later"), F.pmod(F.xxhash64("key1", "begin"), F.lit(1 << 20)) + 1).otherwise(0).cast("int").alias("apart")
+    place = (F.shiftleft(F.col("begin").cast("long"), 32) + F.col("end")).alias("place")
+    order = [F.col("id").asc_nulls_last(), "key1", "key2", "place"]
     number = F.rank().over(Window.partitionBy("h1", "h2", "apart").orderBy(*order))
-    return stretches(found.select("*", apart).withColumn("number", number).filter("later or number > 1"))
+    later = found.select("id", "key1", "key2", place, "h1", "h2", apart).withColumn("number", number).filter("apart > 0 or number > 1")
+    return stretches(later.select("key1", "key2", F.shiftright("place", 32).cast("int").alias("begin"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end")))
 
 
 def cut(text: str, stretches: list[dict] | None) -> tuple[str, int]:

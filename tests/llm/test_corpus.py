@@ -111,6 +111,34 @@ def test_span_runs_are_the_shortest_and_alike_wherever_they_lie():
         assert passage[begin:end].split() == words
 
 
+def plain_span_dedup(rows):
+    """What stays of each text if every run of several sentences, of any length, is compared and the first one kept."""
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        units = spans.sentences(text)
+        gone = set()
+        for a in range(len(units)):
+            for b in range(a + 2, len(units) + 1):
+                content = tuple(tuple(w) for _, _, w in units[a:b])
+                if sum(map(len, content)) >= 25:
+                    gone |= set(range(a, b)) if content in seen else set()
+                    seen.add(content)
+        out[i] = ("".join(text[a:b] for k, (a, b, _) in enumerate(units) if k not in gone), sum(len(units[k][2]) for k in gone))
+    return out
+
+
+def test_spans_against_all_runs(docs):
+    """Passages, whole copies and repeats within a text, with sentences of 1 to 11 words and one long one, tails of short ones among them."""
+    rng = random.Random(11)
+    sentence = lambda most: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 99)) for _ in range(rng.randint(1, most))) + rng.choice(".!?")
+    some = [" ".join(sentence(rng.choice((3, 11, 40))) for _ in range(rng.randint(3, 14))) + " Yours. Truly." for _ in range(6)]
+    rows = [(k, rng.choice(" \n").join(sentence(11) if rng.random() < 0.6 else rng.choice(some) for _ in range(rng.randint(0, 7)))) for k in range(50)]
+    rows += [(100 + k, t) for k, (_, t) in enumerate(rows[:10])] + [(None, some[0])]
+    want = plain_span_dedup(rows)
+    assert sum(w[1] for w in want.values()) > 1000
+    assert {r["doc_id"]: (r["text"], r["n_removed_words"]) for r in spans.dedup_spans(docs(rows)).collect()} == want
+
+
 # -- near copies -------------------------------------------------------------------------------------------------
 
 
