@@ -5,8 +5,9 @@ sentences with at least LEAST_WORDS words is hashed.  Two texts that share a pas
 runs inside it, wherever it lies in them, and these cover the same as all longer runs would: what
 can't begin a run inside the passage lies in the one that ends with it.  Runs are joined globally as in line dedup, and the characters of
 all but the first occurrence are taken out.  Sentences end at a full stop, question or
-exclamation mark before white space, or with the line; one of more than LONG_SENTENCE words is
-cut after each such number of words, so that passages with few stops are found as well.
+exclamation mark (of any script, quotes and brackets may follow) before white space, or with the
+line.  Long ones are cut where the words say so, behind the smallest hash of the last NEARBY words of
+the sentence, so that passages with few stops are cut alike wherever they begin or lie.
 """
 
 from __future__ import annotations
@@ -22,22 +23,29 @@ from pyspark.sql import types as T
 from sourceloom.llm.common import fresh, row_key
 from sourceloom.llm.lines import stretches
 
-LEAST_SENTENCES, LEAST_WORDS, LONG_SENTENCE = 2, 25, 12
+LEAST_SENTENCES, LEAST_WORDS = 2, 25
+NEARBY, LEAST_PART, MOST_PART = 6, 4, 24  # words: where to cut long sentences, and how long parts are at least and at most
 HELD_RUNS = 100_000  # runs that a task compares among themselves before it passes them on
 
 _WORD = re.compile(r"\S+")
-_STOPS = (".", "!", "?")
+_STOPS = tuple(".!?…‼⁇⁈⁉。！？．｡؟۔।॥։።፧။។")
+_CLOSING = "\"'”’»›“‘)]}」』）】》〉"
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(begin, end, words) of each sentence, in characters; white space behind it belongs to it."""
+    """(begin, end, words) of each sentence or part of a long one, in characters; white space behind it belongs to it."""
     out: list[tuple[int, int, list[str]]] = []
-    begin, words, last = 0, [], 0
+    begin, words, hashes, last = 0, [], [], 0  # hashes: of the words since the last stop or line end
     for m in _WORD.finditer(text):
-        if words and (words[-1].endswith(_STOPS) or len(words) == LONG_SENTENCE or "\n" in text[last : m.start()]):
-            out.append((begin, m.start(), words))
-            begin, words = m.start(), []
+        if words:
+            ended = words[-1].rstrip(_CLOSING).endswith(_STOPS) or "\n" in text[last : m.start()]
+            if ended or len(words) >= LEAST_PART and len(hashes) >= NEARBY and hashes[-1] == min(hashes[-NEARBY:]) or len(words) == MOST_PART:
+                out.append((begin, m.start(), words))
+                begin, words = m.start(), []
+                if ended:
+                    hashes = []
         words.append(m[0])
+        hashes.append(xxhash.xxh3_64_intdigest(m[0].encode("utf-8", "replace")))
         last = m.end()
     if words:
         out.append((begin, len(text), words))

@@ -111,6 +111,27 @@ def test_span_runs_are_the_shortest_and_alike_wherever_they_lie():
         assert passage[begin:end].split() == words
 
 
+def test_long_sentences_are_cut_alike_wherever_they_begin():
+    """A passage without stops behind any number of words: but for its edges it is in runs of both."""
+    for seed in range(20):
+        rng = random.Random(seed)
+        passage = " ".join(f"p{rng.randint(0, 999)}" for _ in range(90))
+        known = {x[2:] for x in spans.runs(passage)}
+        for before in (1, 5, 7, 17):
+            text = " ".join([*(f"o{rng.randint(0, 999)}" for _ in range(before)), passage])
+            covered = [x[:2] for x in spans.runs(text) if x[2:] in known]
+            assert covered and len(text[min(covered)[0] : covered[-1][1]].split()) >= 45
+            assert text.endswith(text[min(covered)[0] : covered[-1][1]])
+
+
+def test_sentences_end_before_quotes_and_with_stops_of_other_scripts():
+    for stop in ('."', ".)", "?»", "!”", "。", "？", "؟", "।", "…", ".’)"):
+        text = f"one two three{stop} four five"
+        assert [text[a:b] for a, b, _ in spans.sentences(text)] == [f"one two three{stop} ", "four five"]
+    same = "der " * 500
+    assert max(len(w) for _, _, w in spans.sentences(same)) <= spans.MOST_PART
+
+
 def plain_span_dedup(rows):
     """What stays of each text if every run of several sentences, of any length, is compared and the first one kept."""
     seen, out = set(), {}
