@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from support import HARBOUR, git
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -11,55 +12,6 @@ from sourceloom.plans.analysis import Analysis  # noqa: E402
 from sourceloom.session import local_session  # noqa: E402
 from sourceloom.sources.parse import parse_files  # noqa: E402
 
-# Ships and berths: an enum inside a class, two implementors, a nested type whose name another type has as well.
-HARBOUR = {
-    "quay/control/TowerController.java": """package org.quay.control;
-import org.quay.berth.Berthing;
-import org.quay.ship.*;
-import java.util.logging.Logger;
-public class TowerController {
-    private Berthing berthing;
-    private static Logger log;
-    public String dock(Ship ship) {
-        if (!berthing.admit(ship)) { return "wait"; }
-        return note(ship);
-    }
-    private String note(Ship arrived) { log.info("in"); return arrived.callSign(); }
-}
-""",
-    "quay/ship/Ship.java": """package org.quay.ship;
-/** What floats. */
-public class Ship {
-    enum Flag { NORTH, SOUTH; }
-    Flag flag; int draught;
-    public String callSign() { return flag.name() + draught; }
-}
-""",
-    "quay/berth/Berthing.java": """package org.quay.berth;
-import org.quay.ship.Ship;
-public interface Berthing { boolean admit(Ship ship); }
-""",
-    "quay/berth/DeepBerth.java": """package org.quay.berth;
-import org.quay.ship.Ship;
-class DeepBerth implements Berthing {
-    public boolean admit(Ship ship) { return true; }
-}
-""",
-    "quay/berth/TidalBerth.java": """package org.quay.berth;
-import java.time.LocalTime;
-import org.quay.ship.Ship;
-public class TidalBerth implements Berthing {
-    static class Slot { LocalTime from; }
-    private Slot next = new Slot();
-    public boolean admit(Ship ship) { return next.from != null; }
-}
-""",
-    "quay/crane/Slot.java": """package org.quay.crane;
-public record Slot(int row, int tier) { }
-""",
-}
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, 4)
@@ -111,10 +63,6 @@ def echo():
     return EchoProvider
 
 
-def git(root, *arguments):
-    subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *arguments], check=True, capture_output=True)
-
-
 @pytest.fixture
 def worktree(tmp_path):
     """The harbour sources in a Git repository with one commit."""
@@ -126,7 +74,3 @@ def worktree(tmp_path):
     git(root, "add", "-A")
     git(root, "commit", "-qm", "first")
     return root
-
-
-def values(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)

@@ -1,7 +1,7 @@
 """Resolution, graphs, layers and flows on small trees with results derived by hand."""
 
 import pytest
-from conftest import values
+from support import values
 from pyspark.sql import functions as F
 
 from sourceloom.operators import dependencies, mermaid, tables

@@ -6,7 +6,7 @@ from io import BytesIO
 from urllib.error import URLError
 
 import pytest
-from conftest import HARBOUR, git, values
+from support import HARBOUR, git, values
 from pyspark.sql import functions as F
 
 from sourceloom import cli

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import values
+from support import values
 from pyspark.sql import functions as F
 
 from sourceloom.documents import prompts
