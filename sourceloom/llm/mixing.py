@@ -128,7 +128,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
 
     `size` holds the words of each row (a long, not negative; null counts as 0).  `weights` are whole numbers dealt
     in turns to the sources by name, null last.  `prefer`: positive whole numbers with few different values; a
-    document's expected copies are in proportion to it.  Nothing given: all alike.
+    document's expected copies are in proportion to it; null counts as 1.  Nothing given: all alike.
 
     Rows without words have 0 copies.  Rows equal in id, source and size draw the same number and are taken
     alike.  An empty table gives none.  Columns of `docs` with the names of new ones are replaced.  Words taken
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     docs = docs.drop("source_size", "target", "copies")
     n, none, key, pref, number = (fresh(c, docs) for c in ("_size", "_none", "_source", "_prefer", "_draw"))
     rows = docs.withColumn(n, F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))).withColumn(none, F.col(source).isNull())
-    rows = rows.withColumn(key, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(pref, prefer.cast("long") if prefer is not None else F.lit(1).cast("long"))
+    rows = rows.withColumn(key, F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn(pref, F.lit(1).cast("long") if prefer is None else F.greatest(F.coalesce(prefer.cast("long"), F.lit(1)), F.lit(1)))
     rows = rows.withColumn(number, draw(doc_id, source, size, seed))
     plan = written(rows.select(F.col(n).alias("size"), F.col(none).alias("none"), F.col(key).alias("source"), F.col(pref).alias("preference"), F.col(number).alias("draw")), "mix-rows")
 
