@@ -39,10 +39,11 @@ ENDS = {
 SCOPE = frozenset("td th caption table html template button".split())  # an open paragraph beyond these is not ended
 HEAD_ONLY = frozenset("base link meta title script style template noscript head html".split())
 
-WIDEST = 60  # columns wider than this are not padded: their text is prose
+WIDEST = 60  # columns wider than this are not padded, as their text is prose and every row would carry its width
 MOST_SPAN = 1000  # HTML's own limit for colspan
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
+# A quote opens a string only behind "="; <!--> and <!---> are whole comments.
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _HIDING = re.compile(r"display\s*:\s*none", re.I)
@@ -193,7 +194,7 @@ class Table:
     def __init__(self):
         self.rows: list[list[tuple[str, int, int]]] = []  # (text, columns, rows) of each cell
 
-    def lines(self) -> list[str]:
+    def lines(self, widest: int = WIDEST) -> list[str]:
         grid: list[list[list[str]]] = []
         below: dict[int, int] = {}  # column -> rows that a cell from above still takes
         for row in self.rows:
@@ -219,7 +220,7 @@ class Table:
         out = []
         for cells in grid:
             for k in range(max(map(len, cells), default=0)):
-                parts = [(lines[k] if k < len(lines) else "").ljust(widths[c] if widths[c] <= WIDEST else 0) for c, lines in enumerate(cells) if widths[c]]
+                parts = [(lines[k] if k < len(lines) else "").ljust(widths[c] if widths[c] <= widest else 0) for c, lines in enumerate(cells) if widths[c]]
                 out.append("  ".join(parts).rstrip(" "))
         return out
 
@@ -239,8 +240,8 @@ def _unseen(node: Node, parent: Node | None) -> bool:
     return bool(node.attributes) and bool(_HIDING.search(node.attributes.get("style", "")))
 
 
-def render(page: str | None) -> str:
-    """The visible text of a page, as lines."""
+def render(page: str | None, widest: int = WIDEST) -> str:
+    """The visible text of a page, as lines; columns of tables are aligned up to a width of `widest`."""
     if not page:
         return ""
     root = build(page)
@@ -271,7 +272,7 @@ def render(page: str | None) -> str:
             pre += _enter(child, writers, tables, lists)
         else:
             walk.pop()
-            pre -= _leave(node, writers, tables, lists)
+            pre -= _leave(node, writers, tables, lists, widest)
     return writers[0].result()
 
 
@@ -286,6 +287,8 @@ def _enter(node: Node, writers: list, tables: list, lists: list) -> int:
         tables[-1].rows.append([])
     elif tag in ("td", "th") and tables:
         writers.append(Writer())
+    elif tag in ("td", "th"):
+        w.text(" ")  # a cell without a table still stands apart
     elif tag in ("ul", "ol", "menu"):
         w.block(1 if lists else 2)
         start = node.attributes.get("start", "1")
@@ -305,10 +308,10 @@ def _enter(node: Node, writers: list, tables: list, lists: list) -> int:
     return tag in ("pre", "textarea", "listing", "xmp")
 
 
-def _leave(node: Node, writers: list, tables: list, lists: list) -> int:
+def _leave(node: Node, writers: list, tables: list, lists: list, widest: int) -> int:
     tag, w = node.tag, writers[-1]
     if tag == "table" and tables:
-        lines = tables.pop().lines()
+        lines = tables.pop().lines(widest)
         w.block(2)
         w.lines(lines)
         w.block(2)
@@ -332,10 +335,10 @@ def _leave(node: Node, writers: list, tables: list, lists: list) -> int:
     return tag in ("pre", "textarea", "listing", "xmp")
 
 
-def extract(pages: DataFrame, column: str = "html", name: str = "text") -> DataFrame:
+def extract(pages: DataFrame, column: str = "html", name: str = "text", widest: int = WIDEST) -> DataFrame:
     """`pages` with the visible text of `column`.
 
     Null and empty pages have the empty text; text without any tag is one block.  Every
-    page is rendered whole and by itself.  A column `name` of `pages` is replaced.
+    page is rendered whole and by itself; columns of tables wider than `widest` are not aligned.  A column `name` of `pages` is replaced.
     """
-    return with_columns_from(pages, column, [T.StructField(name, T.StringType())], lambda: lambda pages: [[render(p) for p in pages]])
+    return with_columns_from(pages, column, [T.StructField(name, T.StringType())], lambda: lambda pages: [[render(p, widest) for p in pages]])

@@ -150,6 +150,27 @@ def test_layout_survives(page):
     assert isinstance(layout.render(page), str)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p title=don't>Hello</p><p>It's here</p>", "Hello\n\nIt's here"),
+        ("<!-->Visible text<p>more", "Visible text\n\nmore"),
+        ("<!--->a<!-- b --!>c<!-- d -->e", "ace"),
+        ('<a href="x"">link</a> on', "link on"),
+        ("<td>a<td>b", "a b"),
+        ('<p title="a>b" class = \'c>d\'>x', "x"),
+        ('<p title="never closed>x</p>y', "x\n\ny"),
+        (f"<table><tr><td>{'a' * 61}<td>b<tr><td>c<td>d</table>", "a" * 61 + "  b\nc  d"),
+    ],
+)
+def test_layout_of_malformed_tags(page, text):
+    assert layout.render(page) == text
+
+
+def test_layout_aligns_as_wide_as_asked():
+    assert layout.render(f"<table><tr><td>{'a' * 61}<td>b<tr><td>c<td>d</table>", widest=80) == "a" * 61 + "  b\n" + "c".ljust(61) + "  d"
+
+
 def test_layout_ends_paragraphs_however_deep():
     for depth in (1, 63, 64, 500):
         assert layout.render("<p>a" + "<i>" * depth + "x<div>b</div>c<p>d</p></p>e") == "ax\n\nb\nc\n\nd\n\ne"
