@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from sourceloom.llm.common import with_columns_from
 
 SAMPLE = 6000  # marked documents it learns from at most, those with the smallest hashes of their ids
-SAMPLE_LINES = 120  # consecutive lines of each of them at most
+SAMPLE_LINES = 120  # consecutive lines of each of them at most; only learning is bounded, whole texts are scored
 STEPS, RATE, L2 = 300, 0.1, 1e-5
 
 _LOWER = bytes(range(97, 123)) + bytes(range(128, 256))
@@ -159,15 +159,17 @@ def train(documents: list[np.ndarray], marks: list[int], steps: int = STEPS) ->
     return Model(w, edges)
 
 
-def fit(docs: DataFrame, marks: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "text", mark: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, marks: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "text", mark: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model:
     """A model from documents that `marks` (id, mark 0 or 1) knows and `allowed` (on the marks' rows) admits.
 
-    It sees at most `sample` documents and SAMPLE_LINES lines of each, a stretch at a place that
-    follows from the id.  Ids that are null, marked differently or not with 0 or 1 teach nothing.
+    It sees at most `sample` documents and `sample_lines` lines of each, a stretch at a place that
+    follows from the id; with the two as given that is at most 132 MB on the driver.  Ids that are null, marked
+    differently or not with 0 or 1 teach nothing.  Of rows with the same id the one with the least text teaches.
     """
     known = marks.filter(allowed & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(mark).alias("_low"), F.max(mark).alias("_high"))
     known = known.filter("_low = _high and _low in (0, 1)").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")  # bounded by `sample`
+    rows = rows.groupBy("_id", "_low").agg(F.min("_text").alias("_text"))
     schema = T.StructType([T.StructField("mark", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("x", T.BinaryType())])
 
     def run(batches):
@@ -175,12 +177,12 @@ def fit(docs: DataFrame, marks: DataFrame, allowed: Column, doc_id: str = "doc_i
             out = []
             for t, place in zip(batch.column("_text").to_pylist(), batch.column("place").to_pylist()):
                 lines = lines_of(t)
-                start = place % max(1, len(lines) - SAMPLE_LINES + 1)
-                out.append(matrix(lines[start : start + SAMPLE_LINES]).astype(np.float32).tobytes())
+                start = place % max(1, len(lines) - sample_lines + 1)
+                out.append(matrix(lines[start : start + sample_lines]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("place"), pa.array(out, pa.binary())], names=schema.names)
 
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
-    found = rows.select("_text", F.col("_low").cast("int").alias("mark"), place.alias("place")).mapInArrow(run, schema).limit(sample).collect()
+    found = rows.select("_text", F.col("_low").cast("int").alias("mark"), place.alias("place")).mapInArrow(run, schema).collect()
     found.sort(key=lambda r: (r["place"], bytes(r["x"])))  # the same sums whatever the order of tasks
     documents = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, 3 * N_FEATURES + 1).astype(np.float64) for r in found]
     return train(documents, [r["mark"] for r in found])
