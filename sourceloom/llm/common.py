@@ -34,8 +34,12 @@ def text_or_empty(column: str) -> Column:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
-    """128 bits that stand for (id, text).  Never null; rows that repeat both share it."""
-    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), doc_id, text)
+    """128 bits that stand for (id, text).  Never null; rows that repeat both share it.
+
+    The hash passes over nulls, so which of the two are null is hashed as well.
+    """
+    nulls = F.col(doc_id).isNull().cast("int") + F.col(text).isNull().cast("int") * 2
+    return F.xxhash64(nulls, doc_id, text), F.xxhash64(nulls + 4, doc_id, text)
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

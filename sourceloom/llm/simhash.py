@@ -117,10 +117,11 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, key1, key2, fingerprint, component_id) for every row of `docs`.
+    """(id, key1, key2, fingerprint, root, component_id) for every row of `docs`.
 
-    component_id is the smallest id among documents that chains of links reach, the own
-    one included; null ids are passed over for it, and it is null where all are.  Texts
+    root is the smallest fingerprint that chains of links reach, and names a component.
+    component_id is the smallest id in it, the own one included; null ids are passed over for it, and it is null
+    where all are.  Where ids repeat, several components may have the same component_id.  Texts
     without words (null, empty) have the fingerprint 0 and are linked like any other.
     Rows that repeat share fingerprint and component.
     """
@@ -132,8 +133,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(links(each.select("fp")), "a", "b")
     rooted = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return hashed.join(of, "fp").select("id", "key1", "key2", F.col("fp").alias("fingerprint"), "component_id")
+    of = rooted.join(least, "root").select("fp", "root", "component_id")
+    return hashed.join(of, "fp").select("id", "key1", "key2", F.col("fp").alias("fingerprint"), "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -141,8 +142,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     found = near_duplicates(docs, doc_id, text, size)
     order = F.struct(F.col("id").isNull(), "id", "key1", "key2")
     a, b = fresh("_k1", docs), fresh("_k2", docs)
-    # Components without any id have no name; they can't be told apart by it, so their rows are named by fingerprint.
-    named = found.withColumn("name", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint").cast("string"))))
-    first = named.groupBy("name").agg(F.min(order).alias("first")).select(F.col("first.key1").alias(a), F.col("first.key2").alias(b))
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key1").alias(a), F.col("first.key2").alias(b))
     k1, k2 = row_key(doc_id, text)
     return docs.withColumn(a, k1).withColumn(b, k2).join(first, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)

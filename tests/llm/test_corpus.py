@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from sourceloom.llm import lattice, lines, pivots, postings, simhash, spans
-from sourceloom.llm.common import components
+from sourceloom.llm.common import components, row_key
 
 
 def merge_find(nodes, pairs):
@@ -212,6 +212,25 @@ def test_near_documents(docs):
     assert simhash.keep_one(docs([])).count() == 0
 
 
+def test_equal_ids_with_unrelated_texts_are_all_kept(docs):
+    """A component is named by its fingerprint, since ids may repeat."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(3))
+    kept = simhash.keep_one(docs([(1, a), (1, b), (2, c), (2, a), (None, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = [("x", None), (None, "x"), (None, None), ("", None), (None, ""), ("x", ""), ("", "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    keys = df.select(*row_key()).collect()
+    assert len({k[0] for k in keys}) == len({k[1] for k in keys}) == len(rows)
+    text = "a\nb\nc"
+    df = spark.createDataFrame([(None, text), (text, None), ("z", text)], "doc_id string, text string")
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in lines.dedup_lines(df).collect()}
+    assert got == {(None, ""): 3, (text, None): 0, ("z", text): 0}
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(9)
     rows, centres = [], rng.normal(size=(40, 16))
