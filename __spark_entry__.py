@@ -33,6 +33,7 @@ from sourceloom.operators.select import fit_to_budget, select_with_coverage  # n
 from sourceloom.operators.skew import first_per_group, hot_keys  # noqa: E402
 from sourceloom.plans.analysis import Analysis  # noqa: E402
 from sourceloom.plans.context import ProjectContext  # noqa: E402
+from sourceloom.plans.incremental import Graph  # noqa: E402
 from sourceloom.plans.runs import package_report  # noqa: E402
 from sourceloom.sources.parse import file_hash, parse_files  # noqa: E402
 from sourceloom.sources.worktree import has_extension, is_excluded  # noqa: E402
@@ -768,6 +769,68 @@ def fingerprint_decisions(spark, sf_dir):
     return regeneration(after, analysis(spark, sf_dir).fingerprints).select("doc", "reason")
 
 
+# -- edits of a kept graph ------------------------------------------------------------------------------------
+
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
+def updated_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The kept graph of the tree after an edit: region 0 and customers in debt are gone, every fifth nation calls nothing any more.
+
+    Nations of region 0 are resolved again because a key of theirs lost its meaning, not because they were edited.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        root, end = F.lit("src/main/java/com/acme/"), F.lit(".java")
+        debt = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.concat(root, F.lit("customer/Customer"), F.col("c_custkey").cast("string"), end).alias("path"))
+        region = table(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.concat(root, F.lit("region/RegionStore"), F.col("r_regionkey").cast("string"), end).alias("path"))
+        quiet = table(spark, sf_dir, "nation").filter("n_nationkey % 5 = 1").select(F.concat(root, F.lit("nation/NationService"), F.col("n_nationkey").cast("string"), end).alias("path"))
+        silent = F.replace(F.col("content").cast("string"), F.lit("store.load();"), F.lit("")).cast("binary")
+        edited = star_corpus(spark, sf_dir).join(quiet, "path", "left_semi").select("path", silent.alias("content"))
+        graph = Graph.build(analysis(spark, sf_dir).parsed)
+        _graphs[key] = graph.update(parse_files(edited), debt.union(region))[0]
+    return _graphs[key]
+
+
+_KEPT = """ WHERE dst <> 'com.acme.region.RegionStore0'
+  AND src NOT IN (SELECT 'com.acme.customer.Customer' || c_custkey FROM customer WHERE c_acctbal < 0)"""
+
+
+@query(_TREE + "SELECT src, dst, kinds FROM edge" + _KEPT)
+def updated_dependency_edges(spark, sf_dir):
+    """Class edges after an edit, from the references of what it concerns."""
+    e = updated_graph(spark, sf_dir).dependency_edges
+    return e.select("src", "dst", strings(dependencies.kind_names(F.col("kind_mask"))).alias("kinds"))
+
+
+@query(
+    _TREE
+    + """SELECT caller_class, caller_method, callee_class, callee_method FROM call WHERE callee_class <> 'com.acme.region.RegionStore0'
+  AND caller_class NOT IN (SELECT 'com.acme.nation.NationService' || n_nationkey FROM nation WHERE n_nationkey % 5 = 1)"""
+)
+def updated_calls(spark, sf_dir):
+    """Calls after an edit."""
+    return updated_graph(spark, sf_dir).calls.rows().select("caller_class", "caller_method", "callee_class", "callee_method")
+
+
+@query(_TREE + "SELECT DISTINCT s.package AS src_package, d.package AS dst_package FROM edge JOIN cls s ON s.fqn = src JOIN cls d ON d.fqn = dst" + _KEPT)
+def updated_package_graph(spark, sf_dir):
+    """Package edges after an edit, from the counts of class edges behind each."""
+    return updated_graph(spark, sf_dir).pairs.rows().select("src_package", "dst_package")
+
+
+@query(
+    _TREE
+    + """, shown AS (FROM entry WHERE n_regionkey = 0 OR s_nationkey % 5 = 1)
+SELECT doc, CASE WHEN doc = 'SEQUENCE.md' AND NOT EXISTS (FROM shown) THEN 'unchanged' ELSE 'changed' END AS reason
+FROM (SELECT unnest(['README.md', 'ARCHITECTURE.md', 'SEQUENCE.md']) AS doc)"""
+)
+def updated_decisions(spark, sf_dir):
+    """What to write after an edit, from digests that rows were taken from and added to."""
+    after = updated_graph(spark, sf_dir).analysis().fingerprints
+    return regeneration(after, analysis(spark, sf_dir).fingerprints).select("doc", "reason")
+
+
 @query(
     _TREE
     + """, small AS (SELECT flow_ord FROM entry JOIN supplier USING (s_suppkey) WHERE s_acctbal < 5000),

@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--log-level", help="DEBUG, INFO, WARNING or ERROR")
         if verb != "scan":
             p.add_argument("--force", action="store_true", help="write every document, changed or not")
+            p.add_argument("--keep-graph", action="store_true", help="keep edges and calls beside the snapshot and change them by what was edited")
     return main
 
 
@@ -63,7 +64,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None, provid
             print(f"Error: model {config.model.name!r} is not available at {config.model.host}", file=sys.stderr)
             return 1
     spark = spark or local_session()
-    runner = Runner(spark, root, config, provider)
+    runner = Runner(spark, root, config, provider, keep_graph=getattr(args, "keep_graph", False))
     with scratch(spark):
         if args.verb == "scan":
             for line in runner.report():

@@ -10,22 +10,29 @@ Only files that were edited or that the index names for such a key are resolved
 again; their former references count -1, their present ones +1, and an edge is gone when
 nothing stands behind it any more.  All tables are in buckets, and a bucket that
 nothing of this falls into is neither read nor written.
+
+Digests of what the documents show are sums over rows, so rows that go are subtracted and rows
+that come added; the sets themselves aren't read again.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourceloom.functions.naming import last_segment
 from sourceloom.operators import calls, dependencies, resolve, symbols, tables
+from sourceloom.operators import fingerprints as prints
+from sourceloom.plans.analysis import Analysis
 from sourceloom.session import shared_folder, written
 from sourceloom.sources.buckets import BucketTable, touched
 
-_KEYS = {"parsed": "path", "declared": "name", "wanted": "key", "resolved": "path", "calls": "path", "edges": "src"}
+_KEYS = {"parsed": "path", "declared": "name", "wanted": "key", "resolved": "path", "calls": "path", "edges": "src", "packages": "package", "pairs": "src_package"}
 _EDGE = ["src", "dst", "dst_package", "dst_layer"]
 _COUNTS = [f"n_{k}" for k in dependencies.KINDS]
 
@@ -69,6 +76,9 @@ class Graph:
     resolved: BucketTable
     calls: BucketTable
     edges: BucketTable
+    packages: BucketTable  # package, n: its declarations
+    pairs: BucketTable  # src_package, dst_package, n: class edges between the two
+    lanes: prints.Lanes
 
     # -- from scratch ---------------------------------------------------------------
     @classmethod
@@ -81,15 +91,16 @@ class Graph:
 
         files = table("parsed", parsed)
         classes = written(tables.classes(files.rows()), "classes")
-        declared = table("declared", tables.class_facts(classes))
+        declared = table("declared", declarations(classes))
         found, sites = _references(classes)
         names = written(dictionary_of(declared.rows()), "names")
         resolved = table("resolved", resolve.resolve(found, names, dependencies.REFERENCE))
         called = table("calls", calls.call_edges(tables.call_sites(classes), resolve.resolve(sites, names, calls.CALL_ORDER)))
-        return cls(
-            files, declared, table("wanted", _pairs(found, sites)), resolved, called,
-            table("edges", edge_counts(resolved.rows(), F.lit(1).cast("long"))),
-        )
+        edges = table("edges", edge_counts(resolved.rows(), F.lit(1).cast("long")))
+        packages = table("packages", declared.rows().groupBy("package").agg(F.count(F.lit(1)).alias("n")))
+        pairs = table("pairs", package_pairs(edges.rows(), declared.rows()))
+        lanes = prints.lanes_of([*symbol_bags(declared.rows(), 1), prints.bag(edges.rows(), "edges", 1, "src", "dst"), *count_bags(packages.rows(), pairs.rows(), 1)])
+        return cls(files, declared, table("wanted", _pairs(found, sites)), resolved, called, edges, packages, pairs, lanes)
 
     # -- what they say ----------------------------------------------------------------
     @property
@@ -101,6 +112,15 @@ class Graph:
             mask = mask.bitwiseOR(b)
         return self.edges.rows().select(*_EDGE, mask.alias("kind_mask"))
 
+    def analysis(self) -> Analysis:
+        """The analysis of the tree with symbols, edges, calls and digests as they are here."""
+        return _Kept(self)
+
+    def fingerprints(self, roots: DataFrame, systems: DataFrame, flows: DataFrame) -> DataFrame:
+        """(doc, hash) as `fingerprints.fingerprints` gives them; of sets only the stored sums are looked at."""
+        sets = {p: prints.lanes_digest(self.lanes.get(p)) for p in ("packages", "names", "public", "layers", "shapes", "edges", "package pairs")}
+        return prints.document_hashes(sets, roots, systems, flows)
+
     # -- after an edit ----------------------------------------------------------------
     def update(self, edited: DataFrame, removed: DataFrame | None = None) -> tuple[Graph, DataFrame]:
         """The graph after `edited` (parsed rows of new and changed files) and `removed` (path), and the paths resolved again.
@@ -115,13 +135,13 @@ class Graph:
         parsed = self.parsed.replaced(in_paths, self.parsed.rows(in_paths).join(paths, "path", "left_anti").unionByName(edited))
 
         old_classes, new_classes = tables.classes(earlier), tables.classes(edited)
-        old_facts, new_facts = tables.class_facts(old_classes), tables.class_facts(new_classes)
+        old_facts, new_facts = declarations(old_classes), declarations(new_classes)
         lost, gained = written(old_facts.exceptAll(new_facts), "facts-lost"), written(new_facts.exceptAll(old_facts), "facts-gained")
         names = written(lost.select("name").union(gained.select("name")).distinct(), "names-changed")
         in_names = touched(names, "name")
         declared = self.declared.replaced(in_names, self.declared.rows(in_names).exceptAll(lost).unionByName(gained))
-        before, after = (dictionary_of(t.rows(in_names).join(names, "name", "left_semi").select(*t.schema.names)) for t in (self.declared, declared))
-        keys = written(changed_keys(before, after), "keys-changed")
+        before, after = (written(t.rows(in_names).join(names, "name", "left_semi").select(*t.schema.names), "declared-of-names") for t in (self.declared, declared))
+        keys = written(changed_keys(dictionary_of(before), dictionary_of(after)), "keys-changed")
         again = written(self.wanted.of(keys).select("path").union(paths).distinct(), "paths-resolved")
 
         in_again = touched(again, "path")
@@ -137,33 +157,108 @@ class Graph:
         in_edges = touched(moved, "src")
         sums = self.edges.rows(in_edges).unionByName(moved).groupBy(*_EDGE).agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
+        edges = self.edges.replaced(in_edges, _present(sums))
+
         kept = lambda t: t.rows(in_again).join(again, "path", "left_anti").select(*t.schema.names)
         old_pairs, new_pairs = _pairs(*_references(old_classes)), _pairs(*_references(new_classes))
         less, more = written(old_pairs.exceptAll(new_pairs), "wanted-less"), written(new_pairs.exceptAll(old_pairs), "wanted-more")
         in_keys = touched(less.select("key").union(more.select("key")), "key")
         wanted = self.wanted.rows(in_keys).join(less, ["key", "path"], "left_anti").unionByName(more)
+
+        # Classes whose edges moved, or whose own package may have: what their edges were, and what they are.
+        sources = written(moved.select("src").union(before.select("fqn")).union(after.select("fqn")).distinct(), "sources-moved")
+        edges_before, edges_after = (written(t.of(sources), "edges-of-sources") for t in (self.edges, edges))
+        source_names = written(sources.select(last_segment(F.col("src")).alias("name")).distinct(), "source-names")
+        gone, come = (package_pairs(e, t.of(source_names)) for e, t in ((edges_before, self.declared), (edges_after, declared)))
+        pairs, pair_bags = _recounted(self.pairs, ["src_package", "dst_package"], gone, come, "package pairs")
+        per_package = [rows.groupBy("package").agg(F.count(F.lit(1)).alias("n")) for rows in (lost, gained)]
+        packages, package_bags = _recounted(self.packages, ["package"], *per_package, "packages")
+        change = prints.lanes_of([
+            *symbol_bags(before, -1), *symbol_bags(after, 1), *pair_bags, *package_bags,
+            prints.bag(edges_before, "edges", -1, "src", "dst"), prints.bag(edges_after, "edges", 1, "src", "dst"),
+        ])
         graph = Graph(
             parsed, declared, self.wanted.replaced(in_keys, wanted),
             self.resolved.replaced(in_again, kept(self.resolved).unionByName(resolved_now)),
             self.calls.replaced(in_again, kept(self.calls).unionByName(calls_now)),
-            self.edges.replaced(in_edges, _present(sums)),
+            edges, packages, pairs, prints.added(self.lanes, change),
         )
         return graph, again
 
     # -- keeping it -------------------------------------------------------------------
     def manifest(self) -> str:
-        """What `load` needs: where every bucket of every table lies."""
-        return json.dumps({f.name: {"folder": t.folder, "schema": t.schema.json(), "parts": t.manifest()} for f in fields(self) for t in [getattr(self, f.name)]})
+        """What `load` needs: where every bucket of every table lies, and the sums."""
+        told = {n: {"folder": t.folder, "schema": t.schema.json(), "parts": t.manifest()} for n in _KEYS for t in [getattr(self, n)]}
+        return json.dumps({"tables": told, "lanes": {p: list(map(str, v)) for p, v in self.lanes.items()}})
 
     @classmethod
-    def load(cls, spark, manifest: str) -> Graph:
-        from pyspark.sql.types import StructType
-
+    def load(cls, spark: SparkSession, manifest: str) -> Graph:
         said = json.loads(manifest)
-        return cls(*(
-            BucketTable(spark, said[f.name]["folder"], f.name, _KEYS[f.name], StructType.fromJson(json.loads(said[f.name]["schema"])), {int(b): p for b, p in said[f.name]["parts"].items()})
-            for f in fields(cls)
-        ))
+        kept = {
+            n: BucketTable(spark, t["folder"], n, _KEYS[n], T.StructType.fromJson(json.loads(t["schema"])), {int(b): p for b, p in t["parts"].items()})
+            for n, t in said["tables"].items()
+        }
+        return cls(**kept, lanes={p: list(map(int, v)) for p, v in said["lanes"].items()})
+
+
+class _Kept(Analysis):
+    """An analysis that reads from a graph what it holds."""
+
+    def __init__(self, graph: Graph):
+        super().__init__(graph.parsed.rows(), is_written=True)
+        self.graph = graph
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return written(symbols.symbols(self.graph.declared.rows()), "symbols")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return written(dependencies.with_source(self.graph.dependency_edges, self.symbols), "edges")
+
+    @property
+    def calls(self) -> DataFrame:
+        return self.graph.calls.rows()
+
+    @property
+    def fingerprints(self) -> DataFrame:
+        return self.graph.fingerprints(self.external_roots, self.external_systems, self.flows)
+
+
+def declarations(classes: DataFrame) -> DataFrame:
+    """Facts and shape of every class."""
+    return tables.class_facts(classes).join(prints.shapes(classes), ["path", "class_ord"])
+
+
+def symbol_bags(declared: DataFrame, sign: int) -> list[DataFrame]:
+    """The sets of names, public names, layers and shapes, of all declarations of some simple names."""
+    syms = symbols.symbols(declared)
+    shown = declared.join(syms.select("path", "class_ord"), ["path", "class_ord"], "left_semi")
+    return [
+        prints.bag(syms, "names", sign, "fqn"), prints.bag(syms.filter("is_public"), "public", sign, "fqn"),
+        prints.bag(syms, "layers", sign, "fqn", "layer"), prints.bag(shown, "shapes", sign, "shape"),
+    ]
+
+
+def count_bags(packages: DataFrame, pairs: DataFrame, sign: int) -> list[DataFrame]:
+    return [prints.bag(packages, "packages", sign, "package"), prints.bag(pairs, "package pairs", sign, "src_package", "dst_package")]
+
+
+def package_pairs(edges: DataFrame, declared: DataFrame) -> DataFrame:
+    """(src_package, dst_package, n): class edges between different packages."""
+    between = dependencies.with_source(edges.select("src", "dst_package"), symbols.symbols(declared)).filter(F.col("src_package") != F.col("dst_package"))
+    return between.groupBy("src_package", "dst_package").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _recounted(table: BucketTable, by: list[str], gone: DataFrame, come: DataFrame, part: str) -> tuple[BucketTable, list[DataFrame]]:
+    """`table` (by, n) after some counts went and some came, and which rows that took away or brought."""
+    signed = gone.withColumn("n", -F.col("n")).unionByName(come).groupBy(*by).agg(F.sum("n").alias("n")).filter("n <> 0")
+    signed = written(signed, f"{table.name}-moved")
+    buckets = touched(signed, table.key)
+    both = table.rows(buckets).select(*by, F.col("n").alias("n"), F.lit(1).alias("was")).unionByName(signed.select(*by, "n", F.lit(0).alias("was")))
+    sums = written(both.groupBy(*by).agg(F.sum("n").alias("n"), F.max("was").alias("was")), f"{table.name}-sums")
+    bags = [prints.bag(sums.filter("was = 1 and n = 0"), part, -1, *by), prints.bag(sums.filter("was = 0 and n > 0"), part, 1, *by)]
+    return table.replaced(buckets, sums.filter("n > 0").select(*by, "n")), bags
 
 
 def _references(classes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,7 @@ from sourceloom.operators.fingerprints import regeneration
 from sourceloom.operators.skew import lookup_join
 from sourceloom.plans.analysis import Analysis
 from sourceloom.plans.context import ProjectContext
+from sourceloom.plans.incremental import Graph
 from sourceloom.session import written
 from sourceloom.sources import worktree
 from sourceloom.sources.parse import file_hash, parse_files
@@ -39,8 +40,11 @@ class RunSummary:
 
 
 class Runner:
-    def __init__(self, spark: SparkSession, root: str | Path, config: Config, provider: Provider | None = None):
-        self.spark, self.root, self.config, self.provider = spark, Path(root).resolve(), config, provider
+    """`keep_graph`: references, edges, calls and digests are kept as tables beside the snapshot, and an update
+    changes them by what was edited.  It pays for large trees; small ones are analysed anew as quickly."""
+
+    def __init__(self, spark: SparkSession, root: str | Path, config: Config, provider: Provider | None = None, keep_graph: bool = False):
+        self.spark, self.root, self.config, self.provider, self.keep_graph = spark, Path(root).resolve(), config, provider, keep_graph
         elsewhere = re.match(r"[a-z][a-z0-9+.-]*:", config.state_dir)
         self.store = StateStore(spark, config.state_dir if elsewhere else self.root / config.state_dir)
 
@@ -59,10 +63,10 @@ class Runner:
         sources = worktree.source_files(self.listed(), self.config.languages)
         snapshot = self.store.write_snapshot(self.parse(sources))
         state = State(worktree.current_commit(self.root), snapshot, complete=False)
-        self.store.save(state)
+        graph = Graph.build(self.store.parsed(state), self.store.folder) if self.keep_graph else None
         n = self.store.parsed(state).count()
         summary = RunSummary(mode, files_scanned=n, files_parsed=n)
-        summary.doc_results = self._documents(state, None, force)
+        summary.doc_results = self._documents(state, None, force, graph)
         return summary
 
     def update(self, force: bool = False) -> RunSummary:
@@ -79,19 +83,25 @@ class Runner:
         if not moved and not force and before.complete:
             summary.message = "No file changed since the last run; nothing to do."
             return summary
-        state = before
+        state, graph = before, None
+        if self.keep_graph:
+            graph = Graph.load(self.spark, before.graph) if before.graph else Graph.build(cached, self.store.folder)
         if moved:
             # only paths are shuffled: contents are read again, and only those to be parsed
             due = paths.join(plan.filter("action = 'parse'").select("path"), "path", "left_semi")
             edited = plan.filter("action <> 'reuse'").select("path")
-            state = self.store.replace(before, edited, lambda some: merge_snapshot(some, self.parse(due), plan))
+            parsed = written(self.parse(due), "parsed-due") if graph else self.parse(due)
+            state = self.store.replace(before, edited, lambda some: merge_snapshot(some, parsed, plan))
+            if graph:
+                graph, _ = graph.update(parsed, plan.filter("action = 'remove'").select("path"))
         state = replace(state, last_commit=worktree.current_commit(self.root), complete=False)
-        self.store.save(state)
-        summary.doc_results = self._documents(state, before.fingerprints, force)
+        summary.doc_results = self._documents(state, before.fingerprints, force, graph)
         return summary
 
-    def _documents(self, state: State, previous: dict[str, str] | None, force: bool) -> list[DocResult]:
-        analysis = Analysis(self.store.parsed(state), is_written=True)
+    def _documents(self, state: State, previous: dict[str, str] | None, force: bool, graph: Graph | None) -> list[DocResult]:
+        state.graph = graph.manifest() if graph else ""
+        self.store.save(state)
+        analysis = graph.analysis() if graph else Analysis(self.store.parsed(state), is_written=True)
         current = written(document_fingerprints(analysis), "document-fingerprints")
         old = self.spark.createDataFrame(list(previous.items()), "doc string, hash string") if previous else None
         budget = self.spark.range(1).select(detail_budget(self.config.model.num_ctx)).first()[0]

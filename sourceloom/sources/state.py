@@ -29,9 +29,12 @@ class State:
     complete: bool = True  # all documents of this snapshot were written
     replaced: dict[str, str] = field(default_factory=dict)  # bucket -> later table that has it instead of `snapshot`
 
+    graph: str = ""  # where the tables that follow from the snapshot lie, if they are kept
+
     @property
     def tables(self) -> set[str]:
-        return {self.snapshot, *self.replaced.values()}
+        kept = json.loads(self.graph)["tables"].values() if self.graph else []
+        return {self.snapshot, *self.replaced.values(), *(part for t in kept for part in t["parts"].values())}
 
 
 def bucket_of(path: Column) -> Column:
@@ -77,7 +80,7 @@ class StateStore:
                 data = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
             finally:
                 stream.close()
-            state = State(data["last_commit"], data["snapshot"], data["fingerprints"], data["complete"], data.get("replaced", {}))
+            state = State(data["last_commit"], data["snapshot"], data["fingerprints"], data["complete"], data.get("replaced", {}), data.get("graph", ""))
             return state if all(self._files.exists(self._path(t)) for t in state.tables) else None
         except (Py4JJavaError, ValueError, KeyError, TypeError):
             return None
@@ -114,7 +117,7 @@ class StateStore:
         """
         touched = [r["b"] for r in paths.select(bucket_of(F.col("path")).alias("b")).distinct().collect()]
         has_buckets = self._table(state.snapshot).filter("bucket is null").isEmpty()
-        if not has_buckets or len(state.tables) >= MAX_TABLES:
+        if not has_buckets or len({state.snapshot, *state.replaced.values()}) >= MAX_TABLES:
             return State(state.last_commit, self.write_snapshot(merge(self.parsed(state))), state.fingerprints, complete=False)
         table = self.write_snapshot(merge(self.parsed(state, touched)))
         return State(state.last_commit, state.snapshot, state.fingerprints, False, {**state.replaced, **{str(b): table for b in touched}})
