@@ -30,7 +30,7 @@ from sourceloom.operators import calls, dependencies, resolve, symbols, tables
 from sourceloom.operators import fingerprints as prints
 from sourceloom.plans.analysis import Analysis
 from sourceloom.session import shared_folder, written
-from sourceloom.sources.buckets import BucketTable, touched
+from sourceloom.sources.buckets import BucketTable, side_by_side, touched
 
 _KEYS = {"parsed": "path", "declared": "name", "wanted": "key", "resolved": "path", "calls": "path", "edges": "src", "packages": "package", "pairs": "src_package"}
 _EDGE = ["src", "dst", "dst_package", "dst_layer"]
@@ -91,16 +91,18 @@ class Graph:
 
         files = table("parsed", parsed)
         classes = written(tables.classes(files.rows()), "classes")
-        declared = table("declared", declarations(classes))
         found, sites = _references(classes)
+        declared, wanted = side_by_side(lambda: table("declared", declarations(classes)), lambda: table("wanted", _pairs(found, sites)))
         names = written(dictionary_of(declared.rows()), "names")
-        resolved = table("resolved", resolve.resolve(found, names, dependencies.REFERENCE))
-        called = table("calls", calls.call_edges(tables.call_sites(classes), resolve.resolve(sites, names, calls.CALL_ORDER)))
+        resolved, called, packages = side_by_side(
+            lambda: table("resolved", resolve.resolve(found, names, dependencies.REFERENCE)),
+            lambda: table("calls", calls.call_edges(tables.call_sites(classes), resolve.resolve(sites, names, calls.CALL_ORDER))),
+            lambda: table("packages", declared.rows().groupBy("package").agg(F.count(F.lit(1)).alias("n"))),
+        )
         edges = table("edges", edge_counts(resolved.rows(), F.lit(1).cast("long")))
-        packages = table("packages", declared.rows().groupBy("package").agg(F.count(F.lit(1)).alias("n")))
         pairs = table("pairs", package_pairs(edges.rows(), declared.rows()))
         lanes = prints.lanes_of([*symbol_bags(declared.rows(), 1), prints.bag(edges.rows(), "edges", 1, "src", "dst"), *count_bags(packages.rows(), pairs.rows(), 1)])
-        return cls(files, declared, table("wanted", _pairs(found, sites)), resolved, called, edges, packages, pairs, lanes)
+        return cls(files, declared, wanted, resolved, called, edges, packages, pairs, lanes)
 
     # -- what they say ----------------------------------------------------------------
     @property
@@ -177,12 +179,12 @@ class Graph:
             *symbol_bags(before, -1), *symbol_bags(after, 1), *pair_bags, *package_bags,
             prints.bag(edges_before, "edges", -1, "src", "dst"), prints.bag(edges_after, "edges", 1, "src", "dst"),
         ])
-        graph = Graph(
-            parsed, declared, self.wanted.replaced(in_keys, wanted),
-            self.resolved.replaced(in_again, kept(self.resolved).unionByName(resolved_now)),
-            self.calls.replaced(in_again, kept(self.calls).unionByName(calls_now)),
-            edges, packages, pairs, prints.added(self.lanes, change),
-        )
+        index, resolved, called = side_by_side(
+            lambda: self.wanted.replaced(in_keys, wanted),
+            lambda: self.resolved.replaced(in_again, kept(self.resolved).unionByName(resolved_now)),
+            lambda: self.calls.replaced(in_again, kept(self.calls).unionByName(calls_now)),
+        )
+        graph = Graph(parsed, declared, index, resolved, called, edges, packages, pairs, prints.added(self.lanes, change))
         return graph, again
 
     # -- keeping it -------------------------------------------------------------------

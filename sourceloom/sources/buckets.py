@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,12 @@ def bucket_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
+def side_by_side(*jobs: Callable) -> list:
+    """Results of jobs that don't wait for each other; each mostly waits for Spark."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def touched(rows: DataFrame, key: str) -> list[int]:
     """The buckets that the values of `key` lie in: BUCKETS numbers at most."""
     return sorted(r["b"] for r in rows.select(bucket_of(key).alias("b")).distinct().collect())
