@@ -29,6 +29,7 @@ from sourceloom.functions import layers, naming, text  # noqa: E402
 from sourceloom.operators import changes, components, dependencies, flows, mermaid, resolve, symbols, tables  # noqa: E402
 from sourceloom.operators.cards import render_card  # noqa: E402
 from sourceloom.operators.fingerprints import regeneration  # noqa: E402
+from sourceloom.operators.renames import renames  # noqa: E402
 from sourceloom.operators.select import fit_to_budget, select_with_coverage  # noqa: E402
 from sourceloom.operators.skew import first_per_group, hot_keys  # noqa: E402
 from sourceloom.plans.analysis import Analysis  # noqa: E402
@@ -736,6 +737,38 @@ def change_set_paths(spark, sf_dir):
     return changed.unionByName(changes.removed_paths(rows).withColumn("side", F.lit("removed")))
 
 
+@query(
+    r"""WITH RECURSIVE old AS (SELECT source || '/' || doc_id AS p, coalesce(text, '') AS t FROM documents),
+new AS (SELECT 'moved/' || doc_id AS p, coalesce(regexp_replace(text, '\n[^\n]*\z', ''), '') AS t FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'benchmark/' || item_id, text FROM benchmark),
+same AS (SELECT o.p AS old_path, n.p AS path FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p) AS k FROM old) o
+         JOIN (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p) AS k FROM new) n ON o.t = n.t AND o.k = n.k),
+a AS (SELECT p, line, sum(strlen(line) + 1) AS b FROM (SELECT p, unnest(string_split(t, chr(10))) AS line FROM old WHERE t <> '' AND p NOT IN (SELECT old_path FROM same)) GROUP BY ALL),
+z AS (SELECT p, line, sum(strlen(line) + 1) AS b FROM (SELECT p, unnest(string_split(t, chr(10))) AS line FROM new WHERE t <> '' AND p NOT IN (SELECT path FROM same)) GROUP BY ALL),
+size AS (SELECT p, sum(b) AS n FROM a GROUP BY p UNION ALL SELECT p, sum(b) FROM z GROUP BY p),
+common AS (SELECT a.p AS old_path, z.p AS path, sum(least(a.b, z.b)) AS n FROM a JOIN z USING (line) GROUP BY ALL),
+pair AS (SELECT old_path, path, CAST(c.n * 100 // greatest(x.n, y.n) AS INTEGER) AS score FROM common c JOIN size x ON x.p = old_path JOIN size y ON y.p = path WHERE c.n * 100 >= greatest(x.n, y.n) * 50),
+found AS (
+  SELECT old_path, path, score, FALSE AS taken FROM pair
+  UNION ALL
+  SELECT old_path, path, score, best FROM (
+    SELECT *, bool_or(best) OVER (PARTITION BY old_path) OR bool_or(best) OVER (PARTITION BY path) AS settled FROM (
+      SELECT old_path, path, score, row_number() OVER (PARTITION BY old_path ORDER BY score DESC, path) = 1
+        AND row_number() OVER (PARTITION BY path ORDER BY score DESC, old_path) = 1 AS best FROM found WHERE NOT taken)) WHERE best OR NOT settled)
+SELECT path, old_path, 100 AS score FROM same UNION ALL SELECT path, old_path, score FROM found WHERE taken"""
+)
+def renamed_files(spark, sf_dir):
+    """Which file moved where, after all documents moved without their last line, toxic ones went and benchmark items came."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    name = F.col("doc_id").cast("string")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    old = docs.select(F.concat("source", F.lit("/"), name).alias("path"), F.col("text").alias("content"))
+    shorter = F.regexp_replace("text", r"\n[^\n]*\z", "")
+    new = docs.join(toxic, "doc_id", "left_anti").select(F.concat(F.lit("moved/"), name).alias("path"), shorter.alias("content"))
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return renames(old, new.unionByName(items)).select("path", "old_path", "score")
+
+
 @query(_ACTIONS + "SELECT path, action, in_change_set FROM act")
 def update_actions(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
