@@ -220,6 +220,44 @@ def test_equal_ids_with_unrelated_texts_are_all_kept(docs):
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b), (2, c)])
 
 
+def plain_shingles(text, size=5):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1)))
+
+
+def test_similar_texts_against_all_pairs(docs, monkeypatch):
+    """Edited copies around the threshold, a long pair, a group larger than a block, and texts short or without words."""
+    monkeypatch.setattr(simhash, "SIMILAR_BLOCK", 8)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([20, 60, 200]))]
+        texts.append(base)
+        for edits in (1, 2, 3, 4):
+            texts.append([w if rng.random() > edits / len(base) else "new" for w in base])
+    group = [word() for _ in range(150)]
+    texts += [[*group[:n], "x", *group[n + 1 :]] for n in range(0, 150, 3)]
+    long = [word() for _ in range(9000)]
+    texts += [long, [*long[:8500], *(word() for _ in range(500))], [word() for _ in range(4)], ["one", "two"], ["ONE", "two"]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(9000, None), (9001, ""), (9002, " \n"), (3, " ".join(texts[3])), (None, "one two")]
+    found = simhash.near_duplicates(docs(rows), similarity=0.8).collect()
+    assert len(found) == len(rows)
+    root = {(r["id"], r["fingerprint"]): r["root"] for r in found}
+    at = [root[(i, f - (1 << 64) if f >> 63 else f)] for i, f in ((i, plain_fingerprint(t)) for i, t in rows)]
+    sets = [plain_shingles(t) for _, t in rows]
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if share(a, b) >= 0.8]
+    hit = sum(at[a] == at[b] for a, b in pairs)
+    assert len(pairs) > 1200 and hit >= 0.98 * len(pairs)
+    # Nothing but such pairs, and those within few bits, is connected.
+    prints = [plain_fingerprint(t) for _, t in rows]
+    allowed = merge_find(range(len(rows)), pairs + [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    assert all(allowed[a] == allowed[b] for a in range(len(rows)) for b in range(a) if at[a] == at[b])
+    kept = simhash.keep_one(docs(rows), similarity=0.8).collect()
+    assert len(kept) == len(set(at)) and simhash.keep_one(docs([]), similarity=0.8).count() == 0
+
+
 def test_row_keys_tell_nulls_apart(spark):
     rows = [("x", None), (None, "x"), (None, None), ("", None), (None, ""), ("x", ""), ("", "x")]
     df = spark.createDataFrame(rows, "doc_id string, text string")
