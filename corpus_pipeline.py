@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies (few differing bits, or a shingle similarity of 0.8): the one with the smallest id."""
+    return simhash.keep_one(docs, similarity=simhash.SIMILARITY).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
