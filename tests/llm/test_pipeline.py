@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 from compare import difference, oracle
-from test_corpus import merge_find, plain_contamination, plain_fingerprint, plain_line_dedup
+from test_corpus import merge_find, plain_contamination, plain_fingerprint, plain_line_dedup, plain_shingles
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -35,11 +35,10 @@ def test_stages_against_plain_versions(spark):
     assert len(gone & bad) >= 0.8 * len(bad & set(text[0])) and len(gone & known - bad) <= 0.05 * len(known)
     assert text[2] == {i: t for i, (t, _) in plain_line_dedup(list(text[1].items())).items()}
     prints = {i: plain_fingerprint(t) for i, t in text[2].items()}
-    root = merge_find(set(prints.values()), [(a, b) for a in prints.values() for b in prints.values() if a < b and (a ^ b).bit_count() <= 4])
-    first = {}
-    for i in sorted(prints):
-        first.setdefault(root[prints[i]], i)
-    assert text[3] == {i: text[2][i] for i in first.values()}
+    sets = {i: plain_shingles(t) for i, t in text[2].items()}
+    alike = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    root = merge_find(prints, [(a, b) for a in prints for b in prints if a < b and alike(a, b)])
+    assert text[3] == {i: text[2][i] for i in prints if root[i] == i}
     contaminated = {x[0] for x in plain_contamination(list(text[3].items()), items) if x[4]}
     assert contaminated and set(text[4]) == set(text[3]) - contaminated
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
