@@ -13,9 +13,10 @@ Four bits of 64 miss most texts of a shingle similarity of 0.8, which lie 5 to 1
 and with budgets for 13 bits a segment selects nothing.  `near_duplicates(similarity=...)`
 therefore also searches a ring whose places are not bits but whole numbers: 60 smallest
 hashes of the distinct shingles, each of which two texts share with the probability of their
-Jaccard similarity.  At most 19 of them may differ, 20 segments of three places, so from some
-segment on chains of 1, 2, 3, ... segments differ in at most 0, 1, 2, ... places.  The equal first
-segment is the join key, the other chains filter, and the shingles themselves decide.
+Jaccard similarity.  Of its 20 segments of three places one is equal wherever at most 19 places
+differ, and then some start keeps all chains within 0, 1, 2, ... places.  Texts that share a
+segment meet in memory, where the last chain, the whole ring, is counted at once; then the
+shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -145,12 +146,12 @@ def ring(text: str | None, size: int = SIMILAR_SHINGLE) -> tuple[bytes, bytes, b
     return xxhash.xxh3_128_digest(hashes.tobytes()), high(places).tobytes(), np.unique(high(hashes))[:SKETCH].tobytes(), len(hashes)
 
 
-_RING_FIELDS = [T.StructField(n, t) for n, t in (("digest", T.BinaryType()), ("places", T.BinaryType()), ("sketch", T.BinaryType()), ("n", T.LongType()))]
+_RING_FIELDS = [T.StructField(n, t) for n, t in (("fp", T.LongType()), ("digest", T.BinaryType()), ("places", T.BinaryType()), ("sketch", T.BinaryType()), ("n", T.LongType()))]
 
 
-def with_rings(df: DataFrame, column: str = "text", size: int = SIMILAR_SHINGLE) -> DataFrame:
-    """`df` with what `ring` says of `column`: digest, places, sketch, n."""
-    return with_columns_from(df, column, _RING_FIELDS, lambda: lambda texts: list(zip(*(ring(t, size) for t in texts))))
+def with_rings(df: DataFrame, column: str = "text", size: int = SHINGLE) -> DataFrame:
+    """`df` with the fingerprint of `column` as `fp` and what `ring` says of it, in one Python worker for each task."""
+    return with_columns_from(df, column, _RING_FIELDS, lambda: lambda texts: list(zip(*((fingerprint(t, size), *ring(t)) for t in texts))))
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, whole: bool) -> float:
@@ -163,9 +164,8 @@ def _similarity(a: np.ndarray, b: np.ndarray, whole: bool) -> float:
 
 def _similar(similarity: float):
     def near(table: pa.Table) -> pa.Table:
-        """A tree for each component among the texts that share the segment `segment`."""
-        order = (table.column("segment")[0].as_py() + np.arange(RING)) % RING
-        places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32).reshape(-1, RING, SEGMENT)[:, order]
+        """A tree for each component among texts that share a segment."""
+        places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint32).reshape(-1, RING * SEGMENT)
         sketches = [np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()]
         whole = table.column("n").to_numpy() <= SKETCH
         root = np.full(len(places), -1)
@@ -176,8 +176,7 @@ def _similar(similarity: float):
             while reached:
                 x = reached.pop()
                 rest = np.nonzero(root < 0)[0]
-                differ = (places[rest] != places[x]).sum(axis=2).cumsum(axis=1)
-                for y in rest[(differ <= np.arange(RING)).all(axis=1)]:
+                for y in rest[(places[rest] != places[x]).sum(axis=1) < RING]:
                     if _similarity(sketches[x], sketches[y], whole[x] and whole[y]) >= similarity:
                         root[y] = first
                         reached.append(y)
@@ -194,16 +193,21 @@ def similar_links(rings: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     Rows with the same set and fingerprint are one point.  Of pairs at exactly 0.8, 0.99 have few
     enough differing places to be found, of those at 0.9 all but one in 10^5; a lower
     `similarity` finds less.  Of texts with more than SKETCH distinct shingles the similarity is
-    that of SKETCH of them, with a standard deviation of 0.0125 at 0.8.  Many texts that share a
+    that of SKETCH of them, with a standard deviation of 0.0125 at 0.8.  Two copies share most
+    segments; of segments that the same texts share one is looked at.  Many texts that share a
     segment are compared in blocks, and each gives a tree, every member tied to the first of its component.
     """
-    points = rings.groupBy("digest", "fp").agg(*(F.first(c).alias(c) for c in ("places", "sketch", "n")))
-    points = written(points.select(F.xxhash64("digest", "fp").alias("uid"), "fp", "places", "sketch", "n"), "rings")
+    uid = F.xxhash64("digest", "fp").alias("uid")
     width = SEGMENT * 4
-    keys = F.array(*(F.struct(F.lit(i).alias("segment"), F.xxhash64(F.substring("places", i * width + 1, width), F.lit(i)).alias("key")) for i in range(RING)))
-    slim = points.select("uid", F.explode(keys).alias("k")).select("uid", "k.segment", "k.key")
-    dealt = block_pairs(slim, ["key", "segment"], "uid", SIMILAR_BLOCK).drop("_mine").join(points, "uid")
-    return dealt.groupBy("key", "segment", "block_a", "block_b").applyInArrow(_similar(similarity), "a long, b long")
+    keys = F.array(*(F.xxhash64(F.substring("places", i * width + 1, width), F.lit(i)) for i in range(RING)))
+    slim = rings.select(uid, "places").groupBy("uid").agg(F.first("places").alias("places")).select("uid", F.explode(keys).alias("key"))
+    slim = written(slim, "ring-keys")
+    members = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("uid").alias("x"), F.min("uid").alias("low"), F.max("uid").alias("high"))
+    chosen = members.filter("n > 1").groupBy("n", "x", "low", "high").agg(F.min("key").alias("key")).select("key")
+    dealt = block_pairs(slim.join(chosen, "key"), ["key"], "uid", SIMILAR_BLOCK).drop("_mine")
+    point = rings.select(uid, F.struct("fp", "places", "sketch", "n").alias("p")).groupBy("uid").agg(F.first("p").alias("p"))
+    groups = dealt.join(point, "uid").select("key", "block_a", "block_b", "p.*").groupBy("key", "block_a", "block_b")
+    return groups.applyInArrow(_similar(similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -217,8 +221,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     SIMILAR_SHINGLE words are at least so similar are linked as well (see `similar_links`).
     """
     k1, k2 = row_key(doc_id, text)
-    hashed = with_fingerprint(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), k1.alias("key1"), k2.alias("key2")), "text", "fp", size)
-    hashed = written((hashed if similarity is None else with_rings(hashed)).drop("text"), "fingerprints")
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), k1.alias("key1"), k2.alias("key2"))
+    hashed = with_fingerprint(keyed, "text", "fp", size) if similarity is None else with_rings(keyed, "text", size)
+    hashed = written(hashed.drop("text"), "fingerprints")
     each = written(hashed.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints-distinct")
     linked = links(each.select("fp"))
     if similarity is not None:
