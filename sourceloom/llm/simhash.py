@@ -221,9 +221,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     SIMILAR_SHINGLE words are at least so similar are linked as well (see `similar_links`).
     """
     k1, k2 = row_key(doc_id, text)
-    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), k1.alias("key1"), k2.alias("key2"))
-    hashed = with_fingerprint(keyed, "text", "fp", size) if similarity is None else with_rings(keyed, "text", size)
-    hashed = written(hashed.drop("text"), "fingerprints")
+    # Texts go in under the name of a new column, so that they don't come back out of Python.
+    goes_in = "fp" if similarity is None else "sketch"
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias(goes_in), k1.alias("key1"), k2.alias("key2"))
+    hashed = with_fingerprint(keyed, goes_in, "fp", size) if similarity is None else with_rings(keyed, goes_in, size)
+    hashed = written(hashed, "fingerprints")
     each = written(hashed.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints-distinct")
     linked = links(each.select("fp"))
     if similarity is not None:
