@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from sourceloom.session import written
 
-SLICE_BYTES = 8 << 20  # text that a task holds as Python objects at a time (one longer text is taken whole)
+SLICE_BYTES = 2 << 20  # text that a task holds as Python objects at a time (one longer text is taken whole)
+BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to Python, unless the session sets a limit; buffers double as they fill
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -54,6 +55,13 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def _bound_batches(df: DataFrame) -> None:
+    """Spark limits Arrow batches by rows alone; long texts need a limit in bytes as well.  One set by the user stays."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def with_columns_from(df: DataFrame, column: str, fields: list[T.StructField], maker: Callable) -> DataFrame:
     """`df` with new columns computed from the texts of `column` in Arrow batches.
 
@@ -66,6 +74,7 @@ def with_columns_from(df: DataFrame, column: str, fields: list[T.StructField], m
     text = fresh("_text", df)
     schema = T.StructType([f for f in df.schema.fields if f.name not in new] + fields)
     kinds = [_arrow(f.dataType) for f in fields]
+    _bound_batches(df)
 
     def run(batches):
         apply = maker()
