@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -36,6 +37,8 @@ from sourceloom.plans.analysis import Analysis  # noqa: E402
 from sourceloom.plans.context import ProjectContext  # noqa: E402
 from sourceloom.plans.incremental import Graph  # noqa: E402
 from sourceloom.plans.runs import package_report  # noqa: E402
+from sourceloom.plans.trees import SnapshotTree, changed_files, changed_folders  # noqa: E402
+from sourceloom.session import shared_folder  # noqa: E402
 from sourceloom.sources.parse import file_hash, parse_files  # noqa: E402
 from sourceloom.sources.worktree import has_extension, is_excluded  # noqa: E402
 
@@ -720,6 +723,48 @@ def snapshot_diff(spark, sf_dir):
     return changes.compare_snapshots(*_snapshots(spark, sf_dir))
 
 
+def _trees(spark, sf_dir):
+    """The document store as a tree of folders, and after an edit: of toxic documents good ones are rewritten in capitals
+    and the others taken away; benchmark items come in."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("toxic = 1")
+    path = F.concat_ws("/", "source", F.coalesce("lang", F.lit("none")), (F.length("text") / 256).cast("long").cast("string"), F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", path.alias("path"))
+    location = f"{shared_folder(spark).rstrip('/')}/sourceloom-tables/trees-{uuid.uuid4().hex}"
+    old = SnapshotTree.build(docs.select("path", F.sha2("text", 256).alias("content_hash")), location)
+    toxic = docs.join(labels, "doc_id")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")), F.sha2("text", 256))
+    put = toxic.filter("quality = 1").select("path", F.sha2(F.upper("text"), 256).alias("content_hash")).union(items)
+    return old, old.edited(toxic.filter("quality = 0").select("path"), put)
+
+
+_TREES = """WITH named AS (SELECT doc_id, text, concat_ws('/', source, coalesce(lang, 'none'), length(text) // 256, doc_id) AS path FROM documents),
+old AS (SELECT path, sha256(text) AS h FROM named WHERE text IS NOT NULL),
+new AS (SELECT path, sha256(CASE WHEN l.doc_id IS NULL THEN text ELSE upper(text) END) AS h FROM named n
+        LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1 AND quality = 1) l ON l.doc_id = n.doc_id
+        WHERE text IS NOT NULL AND n.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0)
+        UNION ALL SELECT 'benchmark/' || item_id, sha256(text) FROM benchmark),
+diff AS (SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'removed' ELSE 'modified' END AS change,
+         old.path AS old_path, new.path AS new_path, old.h IS DISTINCT FROM new.h AS differs FROM old FULL JOIN new ON old.path = new.path)
+"""
+
+
+@query(_TREES + "SELECT path, change FROM diff WHERE differs")
+def tree_changed_files(spark, sf_dir):
+    return changed_files(*_trees(spark, sf_dir))
+
+
+@query(
+    _TREES
+    + """, parts AS (SELECT *, string_split(path, '/') AS p FROM diff),
+deep AS (SELECT *, unnest(range(0, least(len(p) - 1, 4) + 1)) AS level FROM parts)
+SELECT level::INTEGER AS level, array_to_string(p[1:level], '/') AS folder,
+CASE WHEN count(old_path) = 0 THEN 'added' WHEN count(new_path) = 0 THEN 'removed' ELSE 'modified' END AS change,
+count(old_path) AS old_files, count(new_path) AS new_files FROM deep GROUP BY 1, 2 HAVING bool_or(differs)"""
+)
+def tree_changed_folders(spark, sf_dir):
+    return changed_folders(*_trees(spark, sf_dir))
+
+
 @query(
     """SELECT 'docs/' || doc_id AS path, 'changed' AS side FROM documents WHERE n_chars > 1000
 UNION ALL SELECT 'old/' || doc_id, 'removed' FROM documents WHERE n_chars > 1000
