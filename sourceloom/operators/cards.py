@@ -17,7 +17,7 @@ from sourceloom.operators.tables import zipped
 def ranking(syms: DataFrame, edges: DataFrame) -> DataFrame:
     """Every class with fan_in, fan_out and importance.  Both sides have one row per name."""
     zero = F.lit(0).cast("bigint")
-    ranked = syms.join(fan(edges), "fqn", "left")
+    ranked = syms.join(fan(edges).hint("merge"), "fqn", "left")
     fan_in, fan_out = F.coalesce("fan_in", zero), F.coalesce("fan_out", zero)
     bonus = F.when(F.col("is_route"), ROUTE_BONUS).otherwise(0)
     return ranked.select(
@@ -51,15 +51,17 @@ def class_cards(rows: DataFrame, ranked: DataFrame, edges: DataFrame, few: DataF
         "is_public",
     )
     out_edges = in_edges = edges
-    if few is not None:
+    if few is None:
+        heads = heads.hint("merge")
+    else:
         small = F.broadcast(few.select("fqn"))
         heads = F.broadcast(heads.join(small, "fqn", "left_semi"))
         out_edges = edges.join(small, edges["src"] == F.col("fqn"), "left_semi")
         in_edges = edges.join(small, edges["dst"] == F.col("fqn"), "left_semi")
     cards = (
         texts.join(heads, ["path", "class_ord"])
-        .join(_neighbours(out_edges, "src", "dst", "depends_on", MAX_CARD_METHODS), "fqn", "left")
-        .join(_neighbours(in_edges, "dst", "src", "depended_on_by", MAX_CARD_METHODS), "fqn", "left")
+        .join(_neighbours(out_edges, "src", "dst", "depends_on", MAX_CARD_METHODS).hint("merge"), "fqn", "left")
+        .join(_neighbours(in_edges, "dst", "src", "depended_on_by", MAX_CARD_METHODS).hint("merge"), "fqn", "left")
     )
     none = F.array().cast("array<string>")
     return cards.select(

@@ -82,7 +82,7 @@ def shapes(rows: DataFrame) -> DataFrame:
 
 def class_shapes(rows: DataFrame, syms: DataFrame) -> DataFrame:
     """Shapes of the declarations that count."""
-    return shapes(rows).join(syms.select("path", "class_ord"), ["path", "class_ord"], "left_semi")
+    return shapes(rows).join(syms.select("path", "class_ord").hint("merge"), ["path", "class_ord"], "left_semi")
 
 
 def fingerprints(rows, syms, packages, edges, package_graph, roots, systems, flows) -> DataFrame:

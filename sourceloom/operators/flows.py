@@ -42,8 +42,8 @@ def entry_points(methods: DataFrame, edges: DataFrame, limit: int = MAX_FLOWS) -
     called = edges.select(*[F.col(c).alias(k) for c, k in zip(_CALLEE, key)]).distinct().withColumn("is_called", F.lit(True))
     order = [F.desc("has_route"), F.asc("is_called"), F.desc("n_calls"), *map(F.asc, key)]
     best = (
-        wanted.join(outgoing, key)
-        .join(called, key, "left")
+        wanted.join(outgoing.hint("merge"), key)
+        .join(called.hint("merge"), key, "left")
         .withColumn("is_called", F.coalesce("is_called", F.lit(False)))
         .orderBy(*order)
         .limit(limit)

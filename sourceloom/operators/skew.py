@@ -29,12 +29,14 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
     Hot keys meet their right rows (at most one each, so at most
     MAX_HOT_KEYS rows) by broadcast where they lie; all others are shuffled.
+    Both sides grow with the tree, and a written table takes a small part of the room its
+    rows take in memory, so no side is left to be broadcast by the size of its files.
     """
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge"), key, how)
     is_hot = F.col(key).isin(*hot)
     apart = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
-    rest = left.filter(~is_hot | F.col(key).isNull()).join(right, key, how)
+    rest = left.filter(~is_hot | F.col(key).isNull()).join(right.hint("merge"), key, how)
     return rest.unionByName(apart)
 
 

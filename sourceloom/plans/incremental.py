@@ -229,13 +229,13 @@ class _Kept(Analysis):
 
 def declarations(classes: DataFrame) -> DataFrame:
     """Facts and shape of every class."""
-    return tables.class_facts(classes).join(prints.shapes(classes), ["path", "class_ord"])
+    return tables.class_facts(classes).join(prints.shapes(classes).hint("merge"), ["path", "class_ord"])
 
 
 def symbol_bags(declared: DataFrame, sign: int) -> list[DataFrame]:
     """The sets of names, public names, layers and shapes, of all declarations of some simple names."""
     syms = symbols.symbols(declared)
-    shown = declared.join(syms.select("path", "class_ord"), ["path", "class_ord"], "left_semi")
+    shown = declared.join(syms.select("path", "class_ord").hint("merge"), ["path", "class_ord"], "left_semi")
     return [
         prints.bag(syms, "names", sign, "fqn"), prints.bag(syms.filter("is_public"), "public", sign, "fqn"),
         prints.bag(syms, "layers", sign, "fqn", "layer"), prints.bag(shown, "shapes", sign, "shape"),

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom.operators import calls, components, dependencies, mermaid, resolve
-from sourceloom.operators.skew import first_per_group, lookup_join
+from sourceloom.operators import calls, cards, components, dependencies, mermaid, resolve
+from sourceloom.operators.skew import HOT_ROWS, first_per_group, lookup_join
+from sourceloom.plans.analysis import Analysis
 from sourceloom.plans.context import shortlist
 
 
@@ -71,3 +72,23 @@ def test_hot_rows_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in hot and "SortMergeJoin" in hot
     assert "BroadcastHashJoin" not in cold
+
+
+def test_growing_sides_are_not_broadcast(spark, harbour):
+    """Written tables of a tree are small as files long after their rows stop being so."""
+    small = spark.range(9).select(F.col("id").cast("string").alias("k"))
+    found = resolve.candidates(dependencies.references(harbour.classes))
+    for df in (
+        lookup_join(small, small.withColumn("v", F.lit(1)), "k"),
+        resolve.resolve(found, harbour.names, dependencies.REFERENCE),
+        dependencies.with_source(harbour.edges.select("src", "dst"), harbour.symbols),
+        cards.ranking(harbour.symbols, harbour.edges),
+        harbour.cards,
+    ):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
+def test_hot_names_are_looked_for_unless_rows_are_few(harbour):
+    a = Analysis(harbour.parsed, is_written=True)
+    rows = a.names.sparkSession.range(HOT_ROWS + 1).select(F.lit("F:Ship").alias("key"))
+    assert a.hot(rows, "key") == ["F:Ship"] and a.hot(rows.limit(9), "key") is None
