@@ -4,6 +4,9 @@ Similarity is the share of bytes in common lines, of the larger file.  Lines are
 files have them; two files with at least half their bytes in common have a common line among
 the rarest ones that make up half of each.  Only those lines are joined, so common lines
 cost nothing and no pair is missed.
+
+Files with the same text are compared once, by the first of them, and matched in runs: n copies on
+either side take neither n * n comparisons nor n rounds.
 """
 
 from __future__ import annotations
@@ -49,21 +52,65 @@ def similar(removed: DataFrame, added: DataFrame, percent: int = LEAST_PERCENT)
     return scored.filter(F.col("common") * 100 >= F.col("larger") * percent).select("old_path", "path", "common", "larger")
 
 
-def one_to_one(pairs: DataFrame) -> DataFrame:
+def _each_alone(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.col(name).alias("text"), F.col(name).alias("file"), F.lit(1).alias("k")).distinct()
+
+
+def one_to_one(pairs: DataFrame, old: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
     """(old_path, path, score) of `pairs` (the same columns): the best first, each path in one pair; ties by old_path, then path.
 
+    A path in `pairs` stands for all files with its text: `old` and `new` have each of them (text: that path;
+    file; k: its number among them by name, from 1), and are not needed if there is one only.
+
     Pairs that are the best one on both sides are taken in rounds, which gives what going through all of
-    them in order would.
+    them in order would.  As many files of both texts follow at once as come before the first one of
+    any other text that is as similar to either.
     """
-    left, taken = written(pairs.select("old_path", "path", "score"), "rename-pairs"), None
+    members = {"old": old, "new": new}
+    members = {side: written(_each_alone(pairs, n) if members[side] is None else members[side].select("text", "file", "k"), f"files-{side}") for side, n in (("old", "old_path"), ("new", "path"))}
+    first = {side: m.filter("k = 1").select(F.col("text").alias(side), F.col("file").alias(f"{side}_next")) for side, m in members.items()}
+    left = pairs.select(F.col("old_path").alias("old"), F.col("path").alias("new"), "score")
+    for side, rows in first.items():
+        left = left.join(rows.hint("merge"), side).withColumn(f"{side}_used", F.lit(0))
+    left, taken = written(left, "rename-pairs"), None
     while not left.isEmpty():
-        place = F.struct(-F.col("score"), "old_path", "path")
-        of_old = left.groupBy("old_path").agg(F.min(place).alias("b")).select("b.*")
-        of_new = left.groupBy("path").agg(F.min(place).alias("b")).select("b.*")
-        best = written(of_old.join(of_new.select("old_path", "path"), ["old_path", "path"]).join(left, ["old_path", "path"]).select("old_path", "path", "score"), "renames")
-        left = written(left.join(best.select("old_path"), "old_path", "left_anti").join(best.select("path"), "path", "left_anti").select("old_path", "path", "score"), "rename-pairs")
-        taken = best if taken is None else taken.unionByName(best)
-    return left if taken is None else taken
+        best = left
+        for side, other in (("old", "new"), ("new", "old")):
+            order = Window.partitionBy(side).orderBy(F.desc("score"), f"{other}_next")
+            best = best.withColumn(f"{side}_rank", F.row_number().over(order))
+            best = best.withColumn(f"{other}_end", F.when(F.lead("score").over(order) == F.col("score"), F.lead(f"{other}_next").over(order)))
+        best = best.filter("old_rank = 1 and new_rank = 1").select("old", "new", "score", "old_used", "new_used", "old_end", "new_end")
+        best = written(best, "rename-best")
+        run = best
+        for side, m in members.items():
+            free = m.join(best.select(F.col(side).alias("text"), f"{side}_used", f"{side}_end").hint("merge"), "text")
+            free = free.filter((F.col("k") > F.col(f"{side}_used")) & (F.col(f"{side}_end").isNull() | (F.col("file") < F.col(f"{side}_end"))))
+            run = run.join(free.groupBy(F.col("text").alias(side)).agg(F.count(F.lit(1)).alias(f"{side}_free")).hint("merge"), side)
+        run = run.select("old", "new", "score", "old_used", "new_used", F.least("old_free", "new_free").cast("int").alias("n"))
+        run = written(run, "renames")
+        for side, m in members.items():
+            after = run.select(F.col(side).alias("text"), (F.col(f"{side}_used") + F.col("n")).alias("used"))
+            following = m.select("text", F.col("file").alias("next"), (F.col("k") - 1).alias("used"))
+            after = after.join(following.hint("merge"), ["text", "used"], "left").select(F.col("text").alias(side), "used", "next", F.lit(True).alias("moved"))
+            kept = F.col("moved").isNull()
+            left = left.join(after.hint("merge"), side, "left").filter(kept | F.col("next").isNotNull())
+            left = left.withColumn(f"{side}_used", F.coalesce("used", f"{side}_used")).withColumn(f"{side}_next", F.coalesce("next", f"{side}_next")).drop("used", "next", "moved")
+        left = written(left, "rename-pairs")
+        taken = run if taken is None else taken.unionByName(run)
+    if taken is None:
+        return pairs.select("old_path", "path", "score")
+    files = members["old"].select(F.col("text").alias("old"), F.col("file").alias("old_path"), "k")
+    found = taken.join(files.hint("merge"), "old").filter("k > old_used and k <= old_used + n").withColumn("k", F.col("k") - F.col("old_used") + F.col("new_used"))
+    return found.join(members["new"].select(F.col("text").alias("new"), F.col("file").alias("path"), "k").hint("merge"), ["new", "k"]).select("old_path", "path", "score")
+
+
+def _copies(files: DataFrame) -> DataFrame:
+    """(text, file, k): every file with the first path that has its text, and its number among those by path."""
+    by_text = Window.partitionBy("h").orderBy("file")
+    # a path that comes twice is one file of all its rows, as it is to `line_bags`
+    digests = F.array_sort(F.collect_list(F.sha2("content", 256)))
+    rows = files.filter("path is not null").groupBy(F.col("path").alias("file")).agg(F.concat_ws("", digests).alias("h"))
+    return rows.select(F.first("file").over(by_text).alias("text"), "file", F.row_number().over(by_text).alias("k"))
 
 
 def renames(removed: DataFrame, added: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -82,8 +129,10 @@ def renames(removed: DataFrame, added: DataFrame, percent: int = LEAST_PERCENT)
     same = written(same, "renames-same")
     rest_old = removed.filter("content <> ''").join(same.select(F.col("old_path").alias("path")), "path", "left_anti")
     rest_new = added.filter("content <> ''").join(same.select("path"), "path", "left_anti")
-    scored = similar(rest_old, rest_new, percent).select("old_path", "path", F.floor(F.col("common") * 100 / F.col("larger")).cast("int").alias("score"))
-    return same.unionByName(one_to_one(scored)).select(F.lit("R").alias("status"), "path", "old_path", "score")
+    old, new = written(_copies(rest_old), "copies-removed"), written(_copies(rest_new), "copies-added")
+    one_old, one_new = (f.join(c.filter("k = 1").select(F.col("file").alias("path")).hint("merge"), "path", "left_semi") for f, c in ((rest_old, old), (rest_new, new)))
+    scored = similar(one_old, one_new, percent).select("old_path", "path", F.floor(F.col("common") * 100 / F.col("larger")).cast("int").alias("score"))
+    return same.unionByName(one_to_one(scored, old, new)).select(F.lit("R").alias("status"), "path", "old_path", "score")
 
 
 def with_renames(changes: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+from sourceloom.operators import renames as module
 from sourceloom.operators.changes import changed_paths, removed_paths
 from sourceloom.operators.renames import one_to_one, renames, similar, with_renames
 
@@ -54,6 +55,26 @@ def test_renames_of_edited_files(spark):
     assert {r["status"] for r in got} == {"R"}
 
 
+def test_copies_of_edited_files(spark, monkeypatch):
+    """Copies whose edited copies are as similar to those of other texts: what comparing every pair gives, in few rounds."""
+    rng = random.Random(5)
+    base = [f"line {i:02}" for i in range(40)]
+    old, new, names = [], [], rng.sample(range(10**6), 400)
+    for text in range(6):
+        lines = [*base[: 30 + text % 3], f"own {text % 2} {text}"] if text < 4 else [f"apart {text} {i}" for i in range(20)]
+        old += [(f"old/{names.pop()}", "\n".join(lines)) for _ in range(rng.randrange(1, 25))]
+        new += [(f"new/{names.pop()}", "\n".join(lines[:-1] + [""] * (text == 2))) for _ in range(rng.randrange(1, 25))]
+    got = renames(spark.createDataFrame(old, FILE), spark.createDataFrame(new, FILE)).collect()
+    assert sorted((r["old_path"], r["path"], r["score"]) for r in got) == plain(old, new)
+
+    one = "\n".join(base)
+    rounds, keep = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (rounds.append(name), keep(df, name))[1])
+    found = renames(spark.createDataFrame([(f"o{i:03}", one) for i in range(150)], FILE), spark.createDataFrame([(f"n{i:03}", one + "x") for i in range(150)], FILE))
+    assert sorted((r["old_path"], r["path"]) for r in found.collect()) == [(f"o{i:03}", f"n{i:03}") for i in range(150)]
+    assert rounds.count("renames") == 1
+
+
 def test_half_the_bytes_are_enough(spark):
     """At exactly the bound a pair counts, one byte below it doesn't."""
     old = spark.createDataFrame([("o", "abc\nxyz")], FILE)
