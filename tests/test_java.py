@@ -182,3 +182,12 @@ def test_record_patterns_are_no_calls():
         switch (o) { case Line(Point(var a, var b), var c) -> go(a); case Point p -> stop(); default -> { } } } }"""
     method = scan_java(source)["classes"][0]["methods"][0]
     assert [(c["receiver"], c["method"]) for c in method["calls"]] == [("q", "ok"), (None, "run"), (None, "go"), (None, "stop")]
+
+
+def test_lines_and_texts_between_comments_and_odd_spaces():
+    source = "package p; // one\n/** Two. */\nclass A {\n  class B {\n    int f() { return 1; } /* x */\n  }\n  java . util\n.List<é> g(Map<K,\n V> m) { }\n}\n \x1c\n"
+    unit = scan_java(source)
+    assert [(c["name"], c["start_line"], c["end_line"], c["doc_comment"]) for c in unit["classes"]] == [("A", 3, 10, "/** Two. */"), ("B", 4, 6, None)]
+    outer, inner = (c["methods"][0] for c in unit["classes"])
+    assert (outer["start_line"], outer["end_line"], outer["return_type"]) == (7, 9, "java . util\n.List<é>")
+    assert (inner["start_line"], outer["parameters"]) == (5, [{"name": "m", "type": "Map<K,\n V>"}])
