@@ -843,7 +843,7 @@ def fingerprint_decisions(spark, sf_dir):
     edited = star_corpus(spark, sf_dir).withColumn(
         "content", F.replace(F.col("content").cast("string"), F.lit("store.load();"), F.lit("")).cast("binary")
     )
-    after = Analysis(parse_files(edited)).fingerprints
+    after = Analysis(parse_files(spread(edited))).fingerprints
     return regeneration(after, analysis(spark, sf_dir).fingerprints).select("doc", "reason")
 
 
