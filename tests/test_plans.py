@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rendered.star import port_corpus, star_corpus
+from rendered.yard import yard_corpus
 from sourceloom.operators import calls, cards, components, dependencies, mermaid, resolve
 from sourceloom.operators.skew import HOT_ROWS, first_per_group, lookup_join
 from sourceloom.plans.analysis import Analysis
@@ -92,3 +94,30 @@ def test_hot_names_are_looked_for_unless_rows_are_few(harbour):
     a = Analysis(harbour.parsed, is_written=True)
     rows = a.names.sparkSession.range(HOT_ROWS + 1).select(F.lit("F:Ship").alias("key"))
     assert a.hot(rows, "key") == ["F:Ship"] and a.hot(rows.limit(9), "key") is None
+
+
+@pytest.mark.parametrize("corpus, kinds", [(star_corpus, 2), (port_corpus, 3), (yard_corpus, 1)])
+def test_files_to_parse_are_dealt_to_all_tasks(spark, tmp_path, corpus, kinds):
+    """A table in one row group is read by one task however many splits it has; its files are parsed by all."""
+    n, key = 4_000, F.col("id")
+    tables = {
+        "region": spark.range(2).select(key.alias("r_regionkey")),
+        "nation": spark.range(2).select(key.alias("n_nationkey"), key.alias("n_regionkey")),
+        "supplier": spark.range(n).select(key.alias("s_suppkey"), (key % 2).alias("s_nationkey")),
+        "customer": spark.range(n).select(key.alias("c_custkey"), (key % 2).alias("c_nationkey")),
+        "part": spark.range(n).select(key.alias("p_partkey"), (key % 50).alias("p_size")),
+        "orders": spark.range(n).select(key.alias("o_orderkey")),
+        "lineitem": spark.range(n).select(key.alias("l_orderkey"), key.alias("l_suppkey")),
+    }
+    for name, rows in tables.items():
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    settings = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        files = corpus(spark, str(tmp_path))
+        per_task = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert max(per_task) < n / 2 and sum(per_task) >= kinds * n
