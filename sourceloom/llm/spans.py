@@ -13,6 +13,9 @@ the sentence, so that passages with few stops are cut alike wherever they begin
 from __future__ import annotations
 
 import re
+import struct
+from itertools import accumulate, count
+from operator import add
 
 import pyarrow as pa
 import xxhash
@@ -25,30 +28,60 @@ from sourceloom.llm.lines import stretches
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 25
 NEARBY, LEAST_PART, MOST_PART = 6, 4, 24  # words: where to cut long sentences, and how long parts are at least and at most
+MAX_CACHED, MAX_WORD = 200_000, 64  # hashes of words that a worker keeps, and how long these words are at most
 HELD_RUNS = 100_000  # runs that a task compares among themselves before it passes them on
 
 _WORD = re.compile(r"\S+")
 _STOPS = tuple(".!?…‼⁇⁈⁉。！？．｡؟۔।॥։።፧။។")
 _CLOSING = "\"'”’»›“‘)]}」』）】》〉"
+_MAY_END = frozenset((*_STOPS, *_CLOSING))  # last characters of a word that may end a sentence
+
+
+class _Hashes(dict):
+    """Hashes of words met before; of bounded size."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        if len(word) <= MAX_WORD:
+            if len(self) >= MAX_CACHED:
+                self.clear()
+            self[word] = h
+        return h
+
+    def __reduce__(self):
+        return _Hashes, ()  # goes to tasks empty
+
+
+_hashes = _Hashes()
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(begin, end, words) of each sentence or part of a long one, in characters; white space behind it belongs to it."""
     out: list[tuple[int, int, list[str]]] = []
-    begin, words, hashes, last = 0, [], [], 0  # hashes: of the words since the last stop or line end
-    for m in _WORD.finditer(text):
-        if words:
-            ended = words[-1].rstrip(_CLOSING).endswith(_STOPS) or "\n" in text[last : m.start()]
-            if ended or len(words) >= LEAST_PART and len(hashes) >= NEARBY and hashes[-1] == min(hashes[-NEARBY:]) or len(words) == MOST_PART:
-                out.append((begin, m.start(), words))
-                begin, words = m.start(), []
-                if ended:
-                    hashes = []
-        words.append(m[0])
-        hashes.append(xxhash.xxh3_64_intdigest(m[0].encode("utf-8", "replace")))
-        last = m.end()
-    if words:
-        out.append((begin, len(text), words))
+    words, starts, line_ends, at = [], [], set(), 0  # line_ends: numbers of the first words behind a line end
+    for line in text.split("\n"):
+        here = line.split()
+        if here:
+            line_ends.add(len(words))
+            words += here
+            if " ".join(here) == line:
+                starts += map(add, accumulate(map(len, here[:-1]), initial=at), count())
+            else:
+                starts += [at + m.start() for m in _WORD.finditer(line)]
+        at += len(line) + 1
+    starts.append(len(text))
+    hashes = list(map(_hashes.__getitem__, words))
+    begin, first, since = 0, 0, 0  # in characters; words: the first one, and the first one behind the last stop or line end
+    for i, word in enumerate(words):
+        if word[-1] in _MAY_END and word.rstrip(_CLOSING).endswith(_STOPS) or i + 1 in line_ends:
+            since = i + 1
+        elif i - first + 1 != MOST_PART:
+            if hashes[i] > hashes[i - 1] or i - first < LEAST_PART - 1 or i - since < NEARBY - 1 or hashes[i] > min(hashes[i - NEARBY + 1 : i]):
+                continue
+        out.append((begin, starts[i + 1], words[first : i + 1]))
+        begin, first = starts[i + 1], i + 1
+    if first < len(words):
+        out.append((begin, len(text), words[first:]))
     return out
 
 
@@ -75,8 +108,7 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
             found.add((i, j))
     out = []
     for i, j in sorted(found):
-        digest = xxhash.xxh3_128_digest(b"\n".join(bodies[i:j]))
-        out.append((units[i][0], units[j - 1][1], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+        out.append((units[i][0], units[j - 1][1], *struct.unpack("<qq", xxhash.xxh3_128_digest(b"\n".join(bodies[i:j])))))
     return out
 
 

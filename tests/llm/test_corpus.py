@@ -132,6 +132,30 @@ def test_sentences_end_before_quotes_and_with_stops_of_other_scripts():
     assert max(len(w) for _, _, w in spans.sentences(same)) <= spans.MOST_PART
 
 
+def test_spans_hash_a_word_once(monkeypatch):
+    """However often it stands in the texts; sentences are those of the plain way, word by word."""
+    hashed = []
+    real = spans.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(spans.xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or real(w))
+    rng = random.Random(4)
+    words = [f"once{i}" for i in range(9)] + ["end.", "(end?)", '"']
+    for _ in range(200):
+        text = rng.choice(("", "\n ")) + "".join(rng.choice(words) + rng.choice((" ", " ", " ", "  ", "\t", " \n", "\n\n", "\x1c")) for _ in range(rng.randint(0, 90)))
+        want, begin, held, since = [], 0, [], []
+        found = list(spans._WORD.finditer(text))
+        for m, after in zip(found, [*found[1:], None]):
+            end = after.start() if after else len(text)
+            held.append(m[0])
+            since.append(real(m[0].encode()))
+            ended = m[0].rstrip(spans._CLOSING).endswith(spans._STOPS) or "\n" in text[m.end() : end]
+            cut = len(held) >= spans.LEAST_PART and len(since) >= spans.NEARBY and since[-1] == min(since[-spans.NEARBY :])
+            if ended or cut or len(held) == spans.MOST_PART or after is None:
+                want.append((begin, end, held))
+                begin, held, since = end, [], [] if ended else since
+        assert spans.sentences(text) == want
+    assert len(hashed) == len(set(hashed))
+
+
 def plain_span_dedup(rows):
     """What stays of each text if every run of several sentences, of any length, is compared and the first one kept."""
     seen, out = set(), {}
