@@ -11,6 +11,7 @@ marked, so each place is given up at most once and the whole is linear.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import ahocorasick
@@ -24,6 +25,18 @@ from sourceloom.llm.common import with_columns_from
 
 # Fixed value: the pattern by which byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: letters and numbers of later Unicode versions, which the tables of that pattern's engine don't hold; to it they are signs.
+UNKNOWN = (
+    "\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C\uAB6D"
+    "\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB"
+    "\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016EA0-\U00016EB8"
+    "\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20"
+    "\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6"
+    "\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE"
+    "\U0001E6E0-\U0001E6E2\U0001E6E4\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE\U0001E6FF"
+    "\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+_ANY_UNKNOWN = re.compile(f"[{UNKNOWN}]")
 MAX_CACHED, MAX_WORD, MAX_PAIRS = 200_000, 64, 1_000_000  # entries of a worker's tables; beyond them they start anew
 DECODE_STEP = 1 << 20  # ids decoded at a time
 
@@ -67,7 +80,11 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         contents = sorted(self.special, key=len, reverse=True)
         self._specials = regex.compile("|".join(map(regex.escape, contents))) if contents else None
-        self._words = regex.compile(PATTERN)
+        self._words = regex.compile(PATTERN).findall
+        known = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{UNKNOWN}]]")
+        for kind in "LN":
+            known = known.replace(rf" ?\p{{{kind}}}+", rf" ?[\p{{{kind}}}--[{UNKNOWN}]]+")
+        self._known_words = regex.compile(known, regex.V1).findall
         self._fits: dict[int, bool] = {}
         self._cache: dict[str, bytes] = _Cache(self)
 
@@ -123,14 +140,15 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; special tokens' texts become their ids."""
         cached = self._cache.__getitem__
+        words = self._words if text.isascii() or not _ANY_UNKNOWN.search(text) else self._known_words
         if self._specials is None:
-            return b"".join(map(cached, self._words.findall(text)))
+            return b"".join(map(cached, words(text)))
         out, at = [], 0
         for m in self._specials.finditer(text):
-            out += map(cached, self._words.findall(text[at : m.start()]))
+            out += map(cached, words(text[at : m.start()]))
             out.append(self.special[m[0]].to_bytes(4, "little"))
             at = m.end()
-        out += map(cached, self._words.findall(text[at:] if at else text))
+        out += map(cached, words(text[at:] if at else text))
         return b"".join(out)
 
     # -- decoding

@@ -48,6 +48,12 @@ def test_bpe_any_text(text):
         same(bpe.load(file.read()), _tokenizer(), text)
 
 
+@pytest.mark.parametrize("one", "\u0558\u088f\ua7ce\U00010940\U00011de0\U00016ea0\U0001e6c0\U0003251a\U0003fc3f")
+def test_bpe_letters_and_numbers_of_later_unicode_versions(vocabulary, tokenizer, one):
+    for text in (one, f"{one}退", f"a{one}b 1{one}2", f" {one}{one}", f"x {one}!é{one}'s<|endoftext|>{one}"):
+        same(vocabulary, tokenizer, text)
+
+
 def test_bpe_every_token_is_its_own_encoding(vocabulary):
     special = set(vocabulary.special.values())
     assert all(vocabulary.encode_word(t) == [i] for i, t in enumerate(vocabulary.tokens) if i not in special)
