@@ -37,6 +37,7 @@ UNKNOWN = (
     "\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
 )
 _ANY_UNKNOWN = re.compile(f"[{UNKNOWN}]")
+_FROM_FIRST = re.compile(f"[{UNKNOWN[0]}-\U0010FFFF]")  # one range, which is looked for much faster
 MAX_CACHED, MAX_WORD, MAX_PAIRS = 200_000, 64, 1_000_000  # entries of a worker's tables; beyond them they start anew
 DECODE_STEP = 1 << 20  # ids decoded at a time
 
@@ -140,7 +141,8 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; special tokens' texts become their ids."""
         cached = self._cache.__getitem__
-        words = self._words if text.isascii() or not _ANY_UNKNOWN.search(text) else self._known_words
+        far = None if text.isascii() else _FROM_FIRST.search(text)
+        words = self._known_words if far and _ANY_UNKNOWN.search(text, far.start()) else self._words
         if self._specials is None:
             return b"".join(map(cached, words(text)))
         out, at = [], 0
