@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rendered.star import port_corpus, star_corpus
 from rendered.yard import yard_corpus
 from sourceloom.operators import calls, cards, components, dependencies, mermaid, resolve
-from sourceloom.operators.skew import HOT_ROWS, first_per_group, lookup_join
+from sourceloom.operators.skew import HOT_ROWS, first_per_group, hot_keys, lookup_join
 from sourceloom.plans.analysis import Analysis
 from sourceloom.plans.context import shortlist
 
@@ -121,3 +121,34 @@ def test_files_to_parse_are_dealt_to_all_tasks(spark, tmp_path, corpus, kinds):
         for name in settings:
             spark.conf.unset(name)
     assert max(per_task) < n / 2 and sum(per_task) >= kinds * n
+
+
+@pytest.mark.parametrize("corpus", [star_corpus, yard_corpus])
+def test_tasks_get_files_of_all_kinds(spark, tmp_path, corpus):
+    """Suppliers are few beside customers and orders; on their own they would make tasks with next to nothing in them."""
+    n, key = 4_000, F.col("id")
+    tables = {
+        "region": spark.range(1).select(key.alias("r_regionkey")),
+        "nation": spark.range(1).select(key.alias("n_nationkey"), key.alias("n_regionkey")),
+        "supplier": spark.range(n // 100).select(key.alias("s_suppkey"), F.lit(0).alias("s_nationkey")),
+        "customer": spark.range(n).select(key.alias("c_custkey"), F.lit(0).alias("c_nationkey")),
+        "orders": spark.range(n).select(key.alias("o_orderkey")),
+        "lineitem": spark.range(n).select(key.alias("l_orderkey"), (key % (n // 100)).alias("l_suppkey")),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    files = corpus(spark, str(tmp_path))
+    per_task = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(c < max(per_task) / 2 for c in per_task) <= 2  # files that are one of a kind
+
+
+def test_candidates_are_made_for_hot_names_only(spark):
+    row = "name string, package string, import_paths array<string>"
+    rare = [(f"N{i}", "p", []) for i in range(400)]
+    refs = spark.createDataFrame([("Ship", "p", ["a.Ship"]), ("a.Ship", "q", []), *rare] * 50, row)
+    found = resolve.candidates(refs)
+    assert sorted(resolve.hot_candidate_keys(refs, 60)) == sorted(hot_keys(found, "key", 60)) == ["F:a.Ship", "S:Ship"]
+    assert resolve.hot_candidate_keys(refs, 200) == []
+    names = spark.createDataFrame([("S:Ship", "a.Ship", "a", "class", None)], "key string, target string, target_package string, target_kind string, target_layer string")
+    apart = plan(resolve.resolve(found, names, ["name"], ["S:Ship"])).split("Union")[1].split("Generate")
+    assert sum("substring_index(name" in part and "Filter" in part for part in apart) >= 1
