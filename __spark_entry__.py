@@ -30,7 +30,7 @@ from sourceloom.functions import layers, naming, text  # noqa: E402
 from sourceloom.operators import changes, components, dependencies, flows, mermaid, resolve, symbols, tables  # noqa: E402
 from sourceloom.operators.cards import render_card  # noqa: E402
 from sourceloom.operators.fingerprints import regeneration  # noqa: E402
-from sourceloom.operators.renames import renames  # noqa: E402
+from sourceloom.operators.renames import digests, renames  # noqa: E402
 from sourceloom.operators.select import fit_to_budget, select_with_coverage  # noqa: E402
 from sourceloom.operators.skew import first_per_group, hot_keys  # noqa: E402
 from sourceloom.plans.analysis import Analysis  # noqa: E402
@@ -802,10 +802,13 @@ def renamed_files(spark, sf_dir):
     name = F.col("doc_id").cast("string")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     old = docs.select(F.concat("source", F.lit("/"), name).alias("path"), F.col("text").alias("content"))
-    shorter = F.regexp_replace("text", r"\n[^\n]*\z", "")
-    new = docs.join(toxic, "doc_id", "left_anti").select(F.concat(F.lit("moved/"), name).alias("path"), shorter.alias("content"))
+    length = F.char_length("text") - F.char_length(F.substring_index("text", "\n", -1)) - 1
+    shorter = F.when(F.contains("text", F.lit("\n")), F.left("text", length)).otherwise(F.col("text"))
+    new = docs.select("doc_id", F.concat(F.lit("moved/"), name).alias("path"), shorter.alias("content"))
     items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    return renames(old, new.unionByName(items)).select("path", "old_path", "score")
+    # written before the join, which would otherwise come first and move the texts
+    new = written(digests(new), "digests-moved").join(toxic, "doc_id", "left_anti").drop("doc_id")
+    return renames(old, new.unionByName(written(digests(items), "digests-items"))).select("path", "old_path", "score")
 
 
 @query(_ACTIONS + "SELECT path, action, in_change_set FROM act")

@@ -1,6 +1,7 @@
 """Moved files against comparing every pair."""
 
 import random
+import re
 from collections import Counter
 
 from sourceloom.operators import renames as module
@@ -96,3 +97,39 @@ def test_change_set_with_renames(spark):
     told = with_renames(changes, found)
     assert sorted(map(repr, (tuple(r) for r in told.collect()))) == sorted(map(repr, [("R", "n", "o"), ("D", "gone", None), ("M", "m", None)]))
     assert {r["path"] for r in changed_paths(told).collect()} == {"n", "m"} and {r["path"] for r in removed_paths(told).collect()} == {"o", "gone"}
+
+
+def test_files_all_alike_are_gone_through_in_order(spark, monkeypatch):
+    """Texts that are all as similar to one another: a round takes few of their pairs, so few steps follow it, whole or in pieces."""
+    rng = random.Random(7)
+    base = [f"line {i:02}" for i in range(12)]
+    names, old, new = rng.sample(range(10**6), 400), [], []
+    for text in range(40):
+        old += [(f"old/{names.pop()}", "\n".join([*base, f"own {text:02}"])) for _ in range(rng.choice((1, 1, 1, 3)))]
+        new += [(f"new/{names.pop()}", "\n".join([*base[text % 3 :], f"new {text:02}"])) for _ in range(rng.choice((1, 1, 1, 4)))]
+    old += [(f"é/{i}", "\n".join([*base, *f"{i}"])) for i in range(3)]
+    steps, keep = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (steps.append(name), keep(df, name))[1])
+    for at_once, most in ((module.AT_ONCE, 1), (250, 12)):
+        monkeypatch.setattr(module, "AT_ONCE", at_once)
+        steps.clear()
+        got = renames(spark.createDataFrame(old, FILE), spark.createDataFrame(new, FILE)).collect()
+        assert sorted((r["old_path"], r["path"], r["score"]) for r in got) == plain(old, new)
+        assert steps.count("renames") + steps.count("renames-in-order") <= 1 + most
+    monkeypatch.setattr(module, "AT_ONCE", 4)  # too few for any text: rounds as before
+    got = renames(spark.createDataFrame(old[:9], FILE), spark.createDataFrame(new[:9], FILE)).collect()
+    assert sorted((r["old_path"], r["path"], r["score"]) for r in got) == plain(old[:9], new[:9])
+
+
+def test_the_last_lines_of_moved_documents(spark, tmp_path):
+    """`renamed_files` cuts the last line off, whatever the text ends in."""
+    import __spark_entry__ as entry
+
+    texts = ["a\nb\nc", "one line", "ends\n", "two\n\n", "ä ö\r\nü", "", None, "\n", "x\ny\n z"]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(8, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a\nb\nc")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    moved = [(f"moved/{i}", re.sub(r"\n[^\n]*\Z", "", t or "")) for i, t in enumerate(texts) if i != 8] + [("benchmark/1", texts[0])]
+    got = entry.renamed_files(spark, str(tmp_path)).collect()
+    assert sorted((r["old_path"], r["path"], r["score"]) for r in got) == plain([(f"s/{i}", t) for i, t in enumerate(texts)], moved)
