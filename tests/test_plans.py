@@ -9,6 +9,8 @@ from sourceloom.operators import calls, cards, components, dependencies, mermaid
 from sourceloom.operators.skew import HOT_ROWS, first_per_group, hot_keys, lookup_join
 from sourceloom.plans.analysis import Analysis
 from sourceloom.plans.context import shortlist
+from sourceloom.sources.parse import parse_files
+from support import values
 
 
 def plan(df):
@@ -152,3 +154,48 @@ def test_candidates_are_made_for_hot_names_only(spark):
     names = spark.createDataFrame([("S:Ship", "a.Ship", "a", "class", None)], "key string, target string, target_package string, target_kind string, target_layer string")
     apart = plan(resolve.resolve(found, names, ["name"], ["S:Ship"])).split("Union")[1].split("Generate")
     assert sum("substring_index(name" in part and "Filter" in part for part in apart) >= 1
+
+
+def test_names_shared_by_files_are_resolved_once(analyse, monkeypatch):
+    """Files of a package that write the same name with the same import ask the same."""
+    users = {f"u/U{i}.java": f"package u; import b.Ship; class U{i} {{ Ship s; Dock d; void go() {{ s.sail(); }} }}" for i in range(20)}
+    a = analyse({"b/Ship.java": "package b; class Ship { void sail() {} }", "u/Dock.java": "package u; class Dock {}", **users})
+    made, inner = [], resolve.candidates
+    monkeypatch.setattr(resolve, "candidates", lambda refs, *rest: made.append(refs.count()) or inner(refs, *rest))
+    assert a.edges.count() == 40 and a.calls.filter("callee_class = 'b.Ship'").count() == 20
+    assert sum(made) == 3  # Ship and Dock in u for the edges, Ship in u for the calls
+
+
+def test_rows_of_a_path_that_comes_twice_are_told_once(spark):
+    """Two files under one path: a place in the tree is told once, as one of them has it."""
+    text = "package p; class User { Ship s; Ship t; void go() { s.sail(); t.sail(); } }"
+    sources = [("p/Ship.java", b"package p; class Ship { void sail() {} }"), ("p/User.java", text.encode()), ("p/User.java", text.encode())]
+    twice = Analysis(parse_files(spark.createDataFrame(sources, "path string, content binary")))
+    asked = resolve.asking(dependencies.references(twice.classes))
+    old = resolve.resolve(resolve.candidates(dependencies.references(twice.classes)), twice.names, dependencies.REFERENCE)
+    new = resolve.told(asked, resolve.answers(resolve.questions(asked), twice.names), dependencies.REFERENCE, is_unique=False)
+    assert not twice._has_paths_once and values(new, *old.columns) == values(old, *old.columns) and old.count() == 1
+    assert twice.calls.filter("callee_class = 'p.Ship'").count() == 2
+
+
+def test_questions_tell_imports_and_packages_apart(spark):
+    row = "path string, name string, package string, import_paths array<string>"
+    refs = spark.createDataFrame(
+        [("1", "Ship", "p", ["a.Ship"]), ("2", "Ship", "p", ["b.Ship"]), ("3", "Ship", "p", ["x.Y", "a.Ship"]), ("4", "Ship", "q", []),
+         ("5", "Ship", None, []), ("6", "Ship", "", []), ("7", None, "p", []), ("8", "Ship", "p", None)], row)
+    names = spark.createDataFrame(
+        [(f"F:{c}", c, c[0], "class", None) for c in ("a.Ship", "b.Ship", "q.Ship")] + [("S:Ship", "z.Ship", "z", "class", None)],
+        "key string, target string, target_package string, target_kind string, target_layer string",
+    )
+    asked = resolve.asking(refs)
+    each, old = resolve.questions(asked), resolve.resolve(resolve.candidates(refs), names, ["path"])
+    for hot in (None, [r["question"] for r in each.limit(2).collect()]):
+        new = resolve.told(asked, resolve.answers(each, names), ["path"], is_unique=True, hot=hot)
+        assert values(new, *old.columns) == values(old, *old.columns)
+    assert dict(old.select("path", "target").collect()) == {"1": "a.Ship", "2": "b.Ship", "3": "a.Ship", "4": "q.Ship", "5": "z.Ship", "6": "z.Ship"}
+
+
+def test_joins_on_names_sort_by_a_hash(spark):
+    key = F.concat(F.lit("yard.orders.Order"), F.col("id").cast("string")).alias("k")
+    text = plan(lookup_join(spark.range(9).select(key), spark.range(9).select(key, F.lit(1).alias("v")), "k"))
+    assert "[_key_hash" in text and "SortMergeJoin" in text
